@@ -59,7 +59,7 @@ def p6_value_counts(spark: SparkSession, folder: str) -> DataFrame:
 _KEY = "lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g'))"
 _P3_ROWS = f"""
 refs AS (
-  SELECT 'FindingVerdict' AS record_type, record_id, 'finding' AS t, {_KEY.format('finding_id')} AS k, created_at AS at FROM finding_verdict
+  SELECT 'FindingVerdict' AS record_type, record_id, 'finding' AS t, {_KEY.format('finding_id')} AS k, created_at AS at_t FROM finding_verdict
   UNION ALL SELECT record_type, record_id, CASE record_type WHEN 'InvestigationResult' THEN 'batch' WHEN 'PortUnitClosure' THEN 'implementation' ELSE 'assignment' END,
     CASE record_type WHEN 'InvestigationResult' THEN {_KEY.format('batch_id')} WHEN 'PortUnitClosure' THEN {_KEY.format('implementation_id')} ELSE {_KEY.format('assignment_id')} END, created_at
   FROM completion WHERE record_type IN ('InvestigationResult', 'PortUnitClosure', 'DefenseVerificationCompletion')),
@@ -69,12 +69,12 @@ parents AS (
   UNION ALL SELECT 'assignment', {_KEY.format('assignment_id')}, created_at, deleted_at FROM dispatch
   UNION ALL SELECT 'implementation', {_KEY.format('implementation_id')}, created_at, deleted_at FROM work_result),
 judged AS (
-  SELECT r.record_type, r.record_id, r.at, count(p.k) AS known, coalesce(bool_or(p.c <= r.at), false) AS seen,
-    coalesce(bool_or(p.c <= r.at AND (p.d IS NULL OR p.d > r.at)), false) AS held
+  SELECT r.record_type, r.record_id, r.at_t, count(p.k) AS known, coalesce(bool_or(p.c <= r.at_t), false) AS seen,
+    coalesce(bool_or(p.c <= r.at_t AND (p.d IS NULL OR p.d > r.at_t)), false) AS held
   FROM (SELECT DISTINCT * FROM refs WHERE k <> '') r LEFT JOIN parents p ON p.t = r.t AND p.k = r.k
-  GROUP BY r.record_type, r.record_id, r.t, r.k, r.at),
+  GROUP BY r.record_type, r.record_id, r.t, r.k, r.at_t),
 found AS (
-  SELECT DISTINCT record_type, record_id, strftime(at, '%Y-%m') AS created_month,
+  SELECT DISTINCT record_type, record_id, strftime(at_t, '%Y-%m') AS created_month,
     CASE WHEN known = 0 THEN 'missing' WHEN NOT seen THEN 'late' ELSE 'deleted' END AS reason FROM judged WHERE NOT held)"""
 
 QUERIES = {
