@@ -6,7 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.engine.session import table
-from millrace.llm import containers, leaks, quality
+from millrace.llm import containers, leaks, pieces, quality
+
+
+def _paged(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose ``pages`` names pages; in workbooks it names a sheet."""
+    return table(spark, folder, "ocr_document").where(~F.coalesce(F.lower("file_format"), F.lit("")).isin("xlsx", "ods"))
+
+
+def p4_page_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Page lists of at most 20 pages for every document that asks for more."""
+    ranges = pieces.page_ranges(_paged(spark, folder), "record_id", "pages", "page_count").distinct()
+    return ranges.join(ranges.where("piece = 2").select("record_id"), "record_id", "left_semi")
+
+
+def p4_text_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.text_pieces(table(spark, folder, "ocr_document"), "record_id", "markdown").distinct()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "ocr_document")
+    parts = (
+        ("pages", pieces.page_ranges(_paged(spark, folder), "record_id", "pages", "page_count").where("piece = 2")),
+        ("markdown", pieces.text_pieces(documents, "record_id", "markdown").where("piece = 2")),
+        ("next_cursor", pieces.open_cursors(documents, "record_id", "next_cursor", "is_complete")),
+    )
+    found = [df.select("record_id", F.lit(name).alias("field_name")) for name, df in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,6 +77,9 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_page_ranges": p4_page_ranges,
+    "p4_text_pieces": p4_text_pieces,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
@@ -60,4 +89,42 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
 }
-SQL: dict[str, str] = {}
+#: Words as lists, in DuckDB; only ASCII letters change case.
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+
+_RUNS = f"""
+runs AS (
+  SELECT doc_id, array_to_string(list_slice(w, i, i + 11), ' ') AS run FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL))),
+grams AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 11), ' ') AS run FROM (
+    SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_item WHERE text IS NOT NULL))),
+leaked AS (SELECT DISTINCT doc_id, item_id FROM runs JOIN grams USING (run))"""
+
+_NAMED_PAGES = """
+tokens AS (
+  SELECT record_id, page_count, unnest(regexp_extract_all(regexp_replace(pages, '\\s*[-–—]\\s*', '-', 'g'), '[0-9]*-[0-9]*|[0-9]+')) AS t
+  FROM ocr_document WHERE file_format NOT IN ('xlsx', 'ods') AND trim(pages) <> ''),
+ends AS (
+  SELECT record_id, CASE WHEN contains(t, '-') THEN coalesce(try_cast(split_part(t, '-', 1) AS BIGINT), 1) ELSE CAST(t AS BIGINT) END AS a,
+    CASE WHEN contains(t, '-') THEN coalesce(try_cast(split_part(t, '-', 2) AS BIGINT), page_count, 0) ELSE CAST(t AS BIGINT) END AS b,
+    contains(t, '-') AND split_part(t, '-', 2) = '' AS opened
+  FROM tokens WHERE t <> '-'),
+named AS (
+  SELECT record_id, count(DISTINCT p) AS n FROM (
+    SELECT record_id, unnest(generate_series(least(a, b), greatest(a, b))) AS p FROM ends WHERE NOT (opened AND a > b)) GROUP BY record_id
+  UNION ALL SELECT record_id, page_count FROM ocr_document WHERE file_format NOT IN ('xlsx', 'ods') AND coalesce(trim(pages), '') = '')"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"""
+WITH {_NAMED_PAGES},
+cursors AS (
+  SELECT record_id, regexp_extract(next_cursor, '^ocr1[.]([A-Za-z0-9_-]+)[.][0-9a-zA-Z]+$', 1) AS c FROM ocr_document WHERE is_complete = false),
+bodies AS (
+  SELECT record_id, decode(from_base64(rpad(translate(c, '-_', '+/'), CAST(4 * ceil(length(c) / 4.0) AS INT), '='))) AS j FROM cursors WHERE c <> '')
+SELECT DISTINCT record_id, 'pages' AS field_name FROM named WHERE n > 20
+UNION SELECT record_id, 'markdown' FROM ocr_document WHERE strlen(markdown) > 6000
+UNION SELECT record_id, 'next_cursor' FROM bodies WHERE regexp_matches(j, '"at":[{{][^}}]*"joint":0[,}}]')""",
+    "p8_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM leaked",
+    "p8_clean": f"WITH {_RUNS} SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked)",
+}
