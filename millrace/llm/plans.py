@@ -6,7 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.engine.session import table
-from millrace.llm import containers, leaks, pieces, quality
+from millrace.llm import containers, leaks, neardup, pieces, quality
+
+
+_FINDING_TEXT = ("path", "title", "detail", "evidence")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = neardup.similar_pairs(table(spark, folder, "candidate_finding"), "finding_id", neardup.joined_text(*_FINDING_TEXT))
+    return pairs.select(F.col("a").alias("finding_a"), F.col("b").alias("finding_b"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(table(spark, folder, "candidate_finding"), "finding_id", neardup.joined_text(*_FINDING_TEXT))
+
+
+def p2_document_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share runs of five words, at a similarity of 0.8 or more."""
+    return neardup.groups(table(spark, folder, "documents"), "doc_id", neardup.joined_text("text"), threshold=0.8, features=neardup.shingle_hashes(5))
 
 
 def _paged(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,6 +94,9 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p2_document_groups": p2_document_groups,
     "p4_found": p4_found,
     "p4_page_ranges": p4_page_ranges,
     "p4_text_pieces": p4_text_pieces,
@@ -115,7 +135,17 @@ named AS (
     SELECT record_id, unnest(generate_series(least(a, b), greatest(a, b))) AS p FROM ends WHERE NOT (opened AND a > b)) GROUP BY record_id
   UNION ALL SELECT record_id, page_count FROM ocr_document WHERE file_format NOT IN ('xlsx', 'ods') AND coalesce(trim(pages), '') = '')"""
 
+_ALIKE = f"""
+sets AS (SELECT DISTINCT finding_id, {_WORDS.format("concat_ws(' ', coalesce(path, ''), coalesce(title, ''), coalesce(detail, ''), coalesce(evidence, ''))")} AS w FROM candidate_finding),
+tokens AS (SELECT DISTINCT finding_id, unnest(w) AS t FROM sets),
+sizes AS (SELECT finding_id, count(*) AS n FROM tokens GROUP BY finding_id),
+common AS (SELECT a.finding_id AS finding_a, b.finding_id AS finding_b, count(*) AS k FROM tokens a JOIN tokens b ON a.t = b.t AND a.finding_id < b.finding_id GROUP BY ALL),
+alike AS (
+  SELECT finding_a, finding_b FROM common JOIN sizes x ON x.finding_id = finding_a JOIN sizes y ON y.finding_id = finding_b
+  WHERE 10 * k >= 6 * (x.n + y.n - k))"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"WITH {_ALIKE} SELECT finding_a, finding_b FROM alike",
     "p4_found": f"""
 WITH {_NAMED_PAGES},
 cursors AS (
