@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.engine.session import table
-from millrace.llm import containers, leaks, neardup, pieces, quality
+from millrace.llm import containers, leaks, neardup, pieces, quality, scans
+
+
+def _scanned(spark: SparkSession, folder: str) -> list[scans.Part]:
+    return [
+        scans.Part(table(spark, folder, "ocr_page"), "OcrPage", "page_id", "markdown", page="page"),
+        scans.Part(table(spark, folder, "ocr_document"), "OcrDocument", "record_id", "markdown", finished="is_complete"),
+        scans.Part(table(spark, folder, "ocr_figure"), "OcrFigure", "figure_id", "text"),
+    ]
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.damaged_lines(_scanned(spark, folder))
 
 
 _FINDING_TEXT = ("path", "title", "detail", "evidence")
@@ -94,6 +106,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p2_document_groups": p2_document_groups,
