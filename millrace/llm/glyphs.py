@@ -42,6 +42,24 @@ def _deletions(shape: str) -> set[str]:
     return {shape} | {shape[:i] + shape[i + 1 :] for i in range(len(shape))}
 
 
+def _one_stroke(rare: str, word: str) -> bool:
+    """Whether the two differ, besides like shapes, in one sign that is no plain letter, or by one run of strokes."""
+    a = 0
+    while a < min(len(rare), len(word)) and rare[a] == word[a]:
+        a += 1
+    b = 0
+    while b < min(len(rare), len(word)) - a and rare[-1 - b] == word[-1 - b]:
+        b += 1
+    x, y = rare[a : len(rare) - b], word[a : len(word) - b]
+    if len(x) == 1 and len(y) <= 2 and not (x.isascii() and x.isalpha()):
+        return True
+    return any(not (c.isascii() and c.isalpha()) for c in x) and abs(len(x) - len(y)) <= 1 and _matched(x, y)
+
+
+def _matched(x: str, y: str) -> bool:
+    return len(x) == len(y) and sum(folded(p) != folded(q) for p, q in zip(x, y)) <= 1
+
+
 class Lexicon:
     """The frequent words of a corpus and what rare words may be read as."""
 
@@ -80,7 +98,8 @@ class Lexicon:
             if not found and len(word) >= 4:
                 bare = plain(word)
                 near = {w for s in (bare, folded(word)) for d in _deletions(s) for w in self.by_deletion.get(d, ())}
-                found = {w for w in near if abs(len(w) - len(bare)) <= 2}
+                # Scanners take letters for like ones; another letter instead, or one more or less, is another word.
+                found = {w for w in near if abs(len(w) - len(bare)) <= 2 and _one_stroke(bare, w)}
             found.discard(word)
             got = self.memo[word] = tuple(sorted(found, key=lambda w: (-self.counts[w], w)))
         return got

@@ -13,7 +13,7 @@ def _scanned(spark: SparkSession, folder: str) -> list[scans.Part]:
     return [
         scans.Part(table(spark, folder, "ocr_page"), "OcrPage", "page_id", "markdown", page="page"),
         scans.Part(table(spark, folder, "ocr_document"), "OcrDocument", "record_id", "markdown", finished="is_complete"),
-        scans.Part(table(spark, folder, "ocr_figure"), "OcrFigure", "figure_id", "text"),
+        scans.Part(table(spark, folder, "ocr_figure"), "OcrFigure", "figure_id", "text", paged=False),
     ]
 
 

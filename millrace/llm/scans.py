@@ -156,11 +156,11 @@ def looks_running(text: str) -> bool:
         return False
     if _NUMBERED.match(t) and not t[0].islower():
         return True
-    body = re.sub(r"\W*\|.*$|\s{2,}\d+$", "", t)
-    words = re.findall(r"[^\W\d_]{2,}", body)
-    small = {"of", "the", "and", "for", "in", "on", "to"}
-    big = [w for w in words if w.lower() not in small]
-    return 2 <= len(words) <= 7 and all(w[0].isupper() or len(w) <= 3 and not w.islower() for w in big) and bool(big) and sum(w[0].isupper() for w in big) >= 2
+    words = [w for w in re.sub(r"\W*\|.*$|\s{2,}\d+$", "", t).split() if any(c.isalpha() for c in w)]
+    big = [w for w in words if w.lower() not in ("of", "the", "and", "for", "in", "on", "to")]
+    low = [w for w in big if not w[0].isupper()]
+    # One word may have been parted by a blank.
+    return 2 <= len(words) <= 7 and len(big) - len(low) >= 2 and (not low or len(low) == 1 and len(low[0]) <= 5 and big[0] != low[0] and len(big) >= 4)
 
 
 def edges_of(lines: list[Line]) -> list[tuple]:
@@ -290,7 +290,7 @@ class Reader:
         found = self.lexicon.links(w) if len(w) >= 5 else ()
         return found[0] if found else None
 
-    def broken(self, left: str, mark: str, right: str | None, around: list[str]) -> tuple[bool, str | None]:
+    def broken(self, left: str, mark: str, right: str | None, around: list[str], beyond: list[str]) -> tuple[bool, str | None]:
         """(whether the line ends inside a word, the whole word if known) of ``left`` + mark at a line's end."""
         lex = self.lexicon
         if mark != "-":
@@ -302,7 +302,8 @@ class Reader:
             compound = any(w.startswith(f"{left}-{tail}-") for w in lex.words) if f"{left}-{tail}" in lex.starts else False
         whole = left + tail if tail and left + tail in lex.words else None
         if compound and whole:
-            return (True, whole) if self.likely(whole, around) > self.likely(f"{left}-{tail}", around) else (False, None)
+            one, two = (self.likely(w, around[-1:]) + self.likely(w, beyond[:1]) for w in (whole, f"{left}-{tail}"))
+            return (True, whole) if one > two else (False, None)
         if compound:
             return False, None
         if whole:
@@ -374,7 +375,9 @@ class Reader:
             if nxt is not None:
                 r = re.match(r"\s*([^\W_]+)", nxt.text)
                 right = r[1].lower() if r and not r[1][0].isupper() else None
-            ends_in, whole = self.broken(left, m[2], right, [c for _, _, c in cores[-4:-1]])
+            beyond = [t.strip(_MARKS).lower() for t in nxt.text.split()[1:2]] if nxt is not None else []
+            beyond = [w if w in lex.words else (*lex.links(w), w)[0] for w in beyond]
+            ends_in, whole = self.broken(left, m[2], right, [c for _, _, c in cores[-3:-1]], beyond)
             if ends_in and not cut_off:
                 out.append((line.no, "hyphen", m.start(1), len(raw), whole or ""))
             fragment = self._fragment(left, right, ends_in, whole)
@@ -436,17 +439,14 @@ class Reader:
         return float(self.vectors[i] @ self.contexts[j]) < 0
 
     def unknown_counts(self, core: str) -> bool:
-        """Unlinked rare words are damage when the letters of one another's kind are mixed in them, or when they are
-        no word beginning: fragments of frequent words, or two misreadings in one."""
-        lex = self.lexicon
-        if core in lex.starts or core in lex.ends or core in lex.parts:
-            return True
+        """Unlinked rare words are damage when digits or signs are mixed into their letters, or when most of their shape
+        begins or ends frequent words: two misreadings in one."""
         if re.search(r"[a-z]\d[a-z]|\d[a-z]{2,}|[a-z]{2,}\d", core) or not core.isascii():
             return True
         shape = folded(core)
         near = sum(shape[:n] in self._shape_starts for n in range(3, len(shape) + 1))
         back = sum(shape[-n:] in self._shape_ends for n in range(3, len(shape) + 1))
-        return near + back >= max(2, len(shape) // 2 - 1)
+        return len(core) > 5 and near + back >= len(shape) - 3
 
     @property
     def _shape_starts(self) -> set[str]:
@@ -485,7 +485,8 @@ class Reader:
 @dataclass(frozen=True)
 class Part:
     """Texts of one kind of record. page: the column with the page a text is, None where it has page markers or none.
-    finished: a column that tells whether a text's last line is whole, None where all are."""
+    finished: a column that tells whether a text's last line is whole, None where all are. paged: whether the texts are
+    of whole pages, with headers, footers and labels."""
 
     df: DataFrame
     record_type: str
@@ -494,6 +495,7 @@ class Part:
     source: str = "source"
     page: str | None = None
     finished: str | None = None
+    paged: bool = True
 
 
 def records(parts: list[Part]) -> DataFrame:
@@ -507,6 +509,7 @@ def records(parts: list[Part]) -> DataFrame:
             (F.col(p.page).cast("int") if p.page else F.lit(None).cast("int")).alias("page"),
             F.col(p.text).cast("string").alias("text"),
             (F.coalesce(F.col(p.finished), F.lit(False)) if p.finished else F.lit(True)).alias("finished"),
+            F.lit(p.paged).alias("paged"),
         )
         out = one if out is None else out.unionByName(one)
     return out
@@ -536,7 +539,9 @@ def _census(df: DataFrame) -> DataFrame:
         for b in batches:
             count_tokens(list(b["text"]), raw)
             rows = []
-            for kind, key, source, page, text in zip(b["record_type"], b["record_id"], b["source"], b["page"], b["text"]):
+            for kind, key, source, page, text, paged in zip(b["record_type"], b["record_id"], b["source"], b["page"], b["text"], b["paged"]):
+                if not paged:
+                    continue
                 for no, p, top, rank, t, form, number, guarded in edges_of(lines_of(text, None if pd.isna(page) else int(page))):
                     keys = [] if form else [*shape_keys(t), *rims(t)]
                     if form or keys and t[-1] not in ".,;:":
@@ -553,8 +558,8 @@ def _census(df: DataFrame) -> DataFrame:
 
 def rims(text: str) -> list[str]:
     """A line's first and last ten letters: what headers of different sources may have in common."""
-    s = letters_of(text)
-    return [f"<{s[:10]}", f">{s[-10:]}"] if len(s) >= 12 else []
+    s, n = letters_of(text), len(text.split())
+    return [f"<{n} {s[:10]}", f">{n} {s[-10:]}"] if len(s) >= 12 else []
 
 
 #: Sources whose headers begin or end alike before the wording counts as a header's in any source.
@@ -671,8 +676,9 @@ def damaged_lines(parts: list[Part], share: float = SHARE) -> DataFrame:
         r = Reader(*made.value)
         for b in batches:
             rows = []
-            for kind, key, page, text, finished in zip(b["record_type"], b["record_id"], b["page"], b["text"], b["finished"]):
-                found = {(no, d) for no, d, *_ in r.damage(lines_of(text, None if pd.isna(page) else int(page)), None, bool(finished))}
+            for kind, key, page, text, finished, paged in zip(b["record_type"], b["record_id"], b["page"], b["text"], b["finished"], b["paged"]):
+                lines = lines_of(text, None if pd.isna(page) else int(page))
+                found = {(no, d) for no, d, *_ in r.damage(lines, None if paged else frozenset(), bool(finished))}
                 rows += [(kind, key, no, d) for no, d in found]
             yield pd.DataFrame(rows, columns=["record_type", "record_id", "line_no", "damage"])
 
