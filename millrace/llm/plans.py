@@ -21,6 +21,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.damaged_lines(_scanned(spark, folder))
 
 
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repaired_texts(_scanned(spark, folder))
+
+
 _FINDING_TEXT = ("path", "title", "detail", "evidence")
 
 
@@ -107,6 +111,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p2_document_groups": p2_document_groups,

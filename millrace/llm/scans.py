@@ -460,6 +460,57 @@ class Reader:
             self._se = {folded(w)[-i:] for w in self.lexicon.words for i in range(3, len(w) + 1)}
         return self._se
 
+    def repair(self, lines: list[Line], furniture: frozenset[int] = frozenset(), finished: bool = True) -> str:
+        """The text corrected, without furniture and markers, in paragraphs of one line each. Code, lists, headings and
+        rows of tables keep their lines; a paragraph goes on over a page end where its sentence does."""
+        wrong: dict[int, list[tuple[str, int, int, str]]] = {}
+        for no, kind, a, b, fix in self.damage(lines, furniture, finished):
+            wrong.setdefault(no, []).append((kind, a, b, fix))
+        blocks: list[str] = []
+        open_, glue, pending, turned = False, " ", "", False
+        for line in lines:
+            if line.kind in ("fence", "code"):
+                blocks, open_ = self._put(blocks, line.text, line.kind == "code" and bool(blocks)), False
+                continue
+            if line.kind == "marker" or line.no in furniture:
+                turned = True
+                continue
+            if line.kind == "blank":
+                open_ = open_ and turned
+                continue
+            text, whole, broken = line.text, "", False
+            for kind, a, b, fix in sorted(wrong.get(line.no, ()), key=lambda x: -x[1]):
+                if kind == "hyphen":
+                    whole, broken = fix, True
+                    text = text[:a] + text[a:b].rstrip().rstrip(BREAKS)
+                elif fix and b <= len(text):
+                    was = text[a:b]
+                    text = text[:a] + (fix.capitalize() if was[:1].isupper() and not was.isupper() else fix.upper() if was.isupper() and len(was) > 1 else fix) + text[b:]
+            text = text.rstrip()
+            if pending:
+                # The word that the line before began is known whole.
+                head, _, rest = text.lstrip().partition(" ")
+                marks = head[len(head.rstrip(".,;:!?)")) :]
+                blocks[-1] = blocks[-1][: blocks[-1].rfind(" ") + 1] + pending + marks
+                text, glue = rest, " "
+            starts = bool(_LIST.match(text))
+            goes_on = open_ and not starts and (not turned or blocks and blocks[-1][-1:] not in ".!?:" or glue == "")
+            if goes_on and blocks:
+                blocks[-1] += (glue if text else "") + text.lstrip()
+            elif text:
+                blocks.append(text.strip() if not starts else text)
+            m = _BROKEN.search(line.text)
+            pending, glue, open_, turned = whole if broken and self.follows(lines, line) else "", "" if m else " ", True, False
+        return "\n\n".join(b for b in blocks if b)
+
+    @staticmethod
+    def follows(lines: list[Line], line: Line) -> bool:
+        return any(x.kind == "text" and x.no > line.no for x in lines)
+
+    @staticmethod
+    def _put(blocks: list[str], text: str, go_on: bool) -> list[str]:
+        return [*blocks[:-1], f"{blocks[-1]}\n{text}"] if go_on else [*blocks, text]
+
     def _fragment(self, left: str, right: str | None, ends_in: bool, whole: str | None) -> str | None:
         """Which piece of a word parted at a line's end is misread: ``left``, ``right`` or neither."""
         lex = self.lexicon
@@ -686,3 +737,24 @@ def damaged_lines(parts: list[Part], share: float = SHARE) -> DataFrame:
     at = ["record_type", "record_id", "line_no"]
     fixed = fixed.groupBy(*at).agg(F.max("damage").alias("damage"))
     return lines.join(fixed.select(*at), at, "left_anti").unionByName(fixed)
+
+
+def repaired_texts(parts: list[Part], share: float = SHARE) -> DataFrame:
+    """(record_type, record_id, text): every text corrected and reflowed into paragraphs. A record delivered twice gives
+    one row; null texts give none."""
+    df = records(parts)
+    census = cut(_census(df))
+    made = df.sparkSession.sparkContext.broadcast(reader(df, census, share))
+    at = ["record_type", "record_id"]
+    drop = furniture(census.where("word IS NULL")).groupBy(*at).agg(F.collect_set("line_no").alias("drop"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = Reader(*made.value)
+        for b in batches:
+            rows = []
+            for kind, key, page, text, finished, gone in zip(b["record_type"], b["record_id"], b["page"], b["text"], b["finished"], b["drop"]):
+                lines = lines_of(text, None if pd.isna(page) else int(page))
+                rows.append((kind, key, r.repair(lines, frozenset() if gone is None else frozenset(gone), bool(finished))))
+            yield pd.DataFrame(rows, columns=["record_type", "record_id", "text"])
+
+    return df.join(drop, at, "left").mapInPandas(run, "record_type string, record_id bigint, text string").distinct()
