@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import records
+from millrace.plans import records, relational
 
-MODULES = (records,)
+MODULES = (relational, records)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def all_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return records.p3_orphan_counts(spark, folder)
+    return relational.region_revenue(spark, folder)
