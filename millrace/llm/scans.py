@@ -32,7 +32,7 @@ LEAST = 3
 VECTOR_WORDS = 2_048
 WINDOW = 2
 #: Lines at either edge of a page that may be furniture, and their longest length.
-EDGE, EDGE_CHARS = 2, 100
+EDGE, EDGE_CHARS = 2, 72
 
 BREAKS = "-‐‑=¬\xad"
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -163,35 +163,61 @@ def looks_running(text: str) -> bool:
     return 2 <= len(words) <= 7 and len(big) - len(low) >= 2 and (not low or len(low) == 1 and len(low[0]) <= 5 and big[0] != low[0] and len(big) >= 4)
 
 
-def edges_of(lines: list[Line]) -> list[tuple]:
+_MARKERS = re.compile(r"^<!-- (?:page|sheet) (\d+) -->[ \t\r]*$", re.M)
+_SENTENCE = re.compile(r"[a-z,;][.!?:]? [a-z].*[a-z][.!?] |[a-z][.!?] [A-Z]")
+
+
+def _sections(text: str, page: int | None) -> Iterator[tuple[int | None, int, list[str]]]:
+    """(page, number of the first line, lines) of each page in a text."""
+    at, no = 0, 1
+    for m in _MARKERS.finditer(text):
+        part = text[at : m.start()]
+        yield page, no, part.split("\n")[:-1]
+        no += part.count("\n") + 1
+        page, at = int(m[1]), m.end() + 1
+    yield page, no, text[at:].split("\n")
+
+
+def edges_of(text: str, page: int | None) -> list[tuple]:
     """(line_no, page, top, rank, text, label form, number, guarded) of the lines at the edges of each page.
 
     A label is guarded when the text next to it continues through it: numbers in a row, or after a colon.
     """
-    out, pages = [], []
-    for line in lines:
-        if line.kind == "marker" or not pages:
-            pages.append([])
-        if line.kind in ("text",):
-            pages[-1].append(line)
-    for held in pages:
-        n = len(held)
+    out = []
+    for p, start, lines in _sections(text, page):
+        if any(x.startswith(("```", "~~~")) for x in lines):
+            kept = [x.no for x in lines_of("\n".join(lines), p) if x.kind == "text"]
+        else:
+            n, kept, tail = len(lines), [], []
+            i = 0
+            while i < n and len(kept) <= EDGE:
+                if lines[i].strip():
+                    kept.append(i + 1)
+                i += 1
+            j = n - 1
+            while j >= i and len(tail) <= EDGE:
+                if lines[j].strip():
+                    tail.append(j + 1)
+                j -= 1
+            kept += reversed(tail)
+        n = len(kept)
         for top in (True, False):
             for rank in range(min(EDGE, n)):
                 at = rank if top else n - 1 - rank
                 if n <= EDGE and not top and at < EDGE:
                     continue
-                line = held[at]
-                t = line.text.strip()
-                if len(t) > EDGE_CHARS or _LIST.match(t) and label_of(t) is None:
+                t = lines[kept[at] - 1].strip()
+                if len(t) > EDGE_CHARS:
                     continue
                 label = label_of(t)
-                inward = held[at + 1 if top else at - 1] if 0 <= (at + 1 if top else at - 1) < n else None
+                if label is None and (_LIST.match(t) or _SENTENCE.search(t)):
+                    continue
+                next_in = at + 1 if top else at - 1
                 guarded = False
-                if label and inward is not None and abs(inward.no - line.no) == 1:
-                    near = inward.text.strip()
+                if label and 0 <= next_in < n and abs(kept[next_in] - kept[at]) == 1:
+                    near = lines[kept[next_in] - 1].strip()
                     guarded = bool(re.fullmatch(rf"[\W\d_]*|{_NUM}\s+of\s+{_NUM}", near)) or (near.endswith(":") if not top else near[:1].islower() and label[0] in ("bare", "of", "dash"))
-                out.append((line.no, line.page, top, rank, t, label[0] if label else None, label[1] if label else None, guarded))
+                out.append((start + kept[at] - 1, p, top, rank, t, label[0] if label else None, label[1] if label else None, guarded))
     return out
 
 
@@ -593,7 +619,7 @@ def _census(df: DataFrame) -> DataFrame:
             for kind, key, source, page, text, paged in zip(b["record_type"], b["record_id"], b["source"], b["page"], b["text"], b["paged"]):
                 if not paged:
                     continue
-                for no, p, top, rank, t, form, number, guarded in edges_of(lines_of(text, None if pd.isna(page) else int(page))):
+                for no, p, top, rank, t, form, number, guarded in edges_of(text, None if pd.isna(page) else int(page)):
                     keys = [] if form else [*shape_keys(t), *rims(t)]
                     if form or keys and t[-1] not in ".,;:":
                         rows.append((None, None, kind, key, source, no, p, top, rank, form, number, guarded, looks_running(t), keys))
