@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import records, relational
+from millrace.plans import charts, records, relational
 
-MODULES = (relational, records)
+MODULES = (relational, charts, records)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
