@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import charts, records, relational
+from millrace.plans import charts, records, relational, text
 
-MODULES = (relational, charts, records)
+MODULES = (relational, charts, text, records)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
