@@ -120,7 +120,11 @@ def _bounded(name: str, node) -> None:
 
 def sentence(x: BaseException) -> str:
     """The root cause of an error in one sentence."""
-    text = str(x.getMessage() if isinstance(x, PySparkException) and hasattr(x, "getMessage") else getattr(x, "java_exception", x)).split("\n")[0].strip()
+    root = getattr(x, "java_exception", None)
+    while root is not None and root.getCause() is not None:
+        root = root.getCause()
+    text = str(root.getMessage()).split("\n")[0] if root is not None and root.getMessage() else ""
+    text = text or str(x.getMessage() if isinstance(x, PySparkException) and hasattr(x, "getMessage") else getattr(x, "java_exception", x)).split("\n")[0].strip()
     if "DIVIDE_BY_ZERO" in text:
         return "a number was divided by zero; NULLIF(divisor, 0) avoids it"
     if "ARITHMETIC_OVERFLOW" in text:

@@ -131,8 +131,8 @@ def correlation(df: DataFrame, x: str, y: str, group: str | None = None) -> Data
     """(series, n, r): Pearson's, none under three points or without spread, kept within -1 and 1."""
     g = F.col(group) if group else F.lit("")
     rows = df.select(g.alias("series"), finite(x).alias("x"), finite(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    a = rows.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    r = F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
+    a = rows.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    r = F.when((F.col("n") >= 3) & (F.col("sx") > 0) & (F.col("sy") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("c") / (F.col("sx") * F.col("sy")))))
     return a.select("series", "n", r.alias("r"))
 
 
