@@ -24,6 +24,8 @@ from millrace.engine.session import cut
 
 CAPACITY = 2_048
 BLOCK = 2_048
+#: Tasks that pack blocks at most; beyond, a task packs several.
+MOST_TASKS = 4_096
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's tokenizer splits text before it merges bytes.
@@ -131,7 +133,8 @@ def fill(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
         g["place"] = g.groupby("container").cumcount() + 1
         return g[["id_", "piece", "container", "place", "start", "size"]]
 
-    packed = rest.groupBy("block_").applyInPandas(one, f"id_ {kind}, piece bigint, container string, place bigint, start bigint, size bigint")
+    # By number, or adaptive execution would see few bytes and leave the work to few tasks.
+    packed = rest.repartition(min(blocks, MOST_TASKS), "block_").groupBy("block_").applyInPandas(one, f"id_ {kind}, piece bigint, container string, place bigint, start bigint, size bigint")
     return full.unionByName(packed).withColumnRenamed("id_", id_col)
 
 
