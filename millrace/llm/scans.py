@@ -316,8 +316,9 @@ class Reader:
         found = self.lexicon.links(w) if len(w) >= 5 else ()
         return found[0] if found else None
 
-    def broken(self, left: str, mark: str, right: str | None, around: list[str], beyond: list[str]) -> tuple[bool, str | None]:
-        """(whether the line ends inside a word, the whole word if known) of ``left`` + mark at a line's end."""
+    def broken(self, left: str, mark: str, right: str | None, around: list[str], beyond: list[str]) -> tuple[bool | None, str | None]:
+        """(whether the line ends inside a word, the whole word if known) of ``left`` + mark at a line's end; None when
+        a compound may have been parted as well and its rest isn't here."""
         lex = self.lexicon
         if mark != "-":
             return True, self.joins(left, right) if right else None
@@ -344,6 +345,8 @@ class Reader:
         heads, openings = lex.heads.get(left, 0), lex.openings.get(left, 0)
         if heads and heads * 3 >= openings:
             return False, None
+        if heads and not tail:
+            return None, None
         if "-" in left and last not in lex.starts:
             return True, None
         return True, None
@@ -404,6 +407,9 @@ class Reader:
             beyond = [t.strip(_MARKS).lower() for t in nxt.text.split()[1:2]] if nxt is not None else []
             beyond = [w if w in lex.words else (*lex.links(w), w)[0] for w in beyond]
             ends_in, whole = self.broken(left, m[2], right, [c for _, _, c in cores[-3:-1]], beyond)
+            if ends_in is None:
+                # The end of a record: broken where the record has other damage.
+                ends_in = bool(out)
             if ends_in and not cut_off:
                 out.append((line.no, "hyphen", m.start(1), len(raw), whole or ""))
             fragment = self._fragment(left, right, ends_in, whole)
@@ -411,7 +417,9 @@ class Reader:
                 out.append((line.no, "misread", m.start(1), m.start(2), ""))
             elif fragment == "right" and r is not None:
                 out.append((nxt.no, "misread", r.start(1), r.end(1), ""))
-        lo, hi = first + skip, last - bool(m) - (cut_off and not m)
+        # The last word of a text that was cut is whole only before a mark that ends something.
+        torn = cut_off and not m and raw.rstrip()[-1:] not in ".!?:;,)"
+        lo, hi = first + skip, last - bool(m) - torn
         i = lo
         while i <= hi:
             a, b, core = cores[i]
