@@ -34,8 +34,11 @@ def folded(word: str, pairs: tuple = PAIRS) -> str:
 
 
 def shapes(word: str) -> set[str]:
-    """Its shapes when overlapping pairs are taken from either side."""
-    return {folded(word), folded(word, PAIRS[::-1])}
+    """Its shapes when overlapping pairs are taken from either side, and with h as the two letters it may stand for."""
+    out = {folded(word), folded(word, PAIRS[::-1]), folded(word[::-1], tuple((m[::-1], o) for m, o in PAIRS))[::-1]}
+    if "h" in word or "li" in word:
+        out.add("+" + folded(word.replace("h", "li")))
+    return out
 
 
 def _deletions(shape: str) -> set[str]:

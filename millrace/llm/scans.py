@@ -124,7 +124,7 @@ def label_of(text: str) -> tuple[str, int] | None:
                 return name if name == "roman" else "page", n
             continue
         number = raw.translate(_DIGITS)
-        if number.isdigit() and (any(c.isdigit() for c in raw) or name in ("page", "page of", "p", "slash", "bracket", "dash")):
+        if number.isdigit() and (any(c.isdigit() for c in raw) or name in ("page", "page of", "p", "slash", "bracket", "dash") or re.fullmatch("[lIO|]{1,3}", raw)):
             return name, int(number)
     return None
 
