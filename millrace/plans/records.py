@@ -77,6 +77,50 @@ found AS (
   SELECT DISTINCT record_type, record_id, strftime(at_t, '%Y-%m') AS created_month,
     CASE WHEN known = 0 THEN 'missing' WHEN NOT seen THEN 'late' ELSE 'deleted' END AS reason FROM judged WHERE NOT held)"""
 
+
+
+def _dec(x: str) -> str:
+    """A JSON member, or the value its text encodes."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({x} ->> '$', '^\\s*[\\[{{]') AND json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) ELSE {x} END"
+
+
+def _items(x: str) -> str:
+    """Elements of a repeated member; an object is its only one."""
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+
+
+_SOME = "{0} IS NOT NULL AND json_type({0}) <> 'NULL'"
+_P5_ROWS = f"""
+docs AS (SELECT DISTINCT case_id, j FROM (SELECT case_id, try_cast(ltrim(doc, chr(65279)) AS JSON) AS j FROM plugin_case) WHERE json_type(j) = 'OBJECT'),
+parts AS (SELECT case_id, {_dec("(j -> '$.input.caller')")} AS caller, {_dec("(j -> '$.input.data')")} AS data, {_dec("(j -> '$.expect.progress')")} AS p1, {_dec("(j -> '$.expect.effects.progress')")} AS p2 FROM docs),
+progress AS (SELECT case_id, CASE WHEN {_SOME.format('p1')} THEN p1 ELSE p2 END AS p FROM parts),
+sets AS (SELECT case_id, unnest(l) AS d, generate_subscripts(l, 1) AS i FROM (SELECT case_id, {_items('data')} AS l FROM parts)),
+rows_ AS (SELECT case_id, i, unnest(l) AS e, generate_subscripts(l, 1) AS k FROM (SELECT case_id, i, {_items('r')} AS l FROM (SELECT case_id, i, {_dec("(d -> '$.rows')")} AS r FROM sets))),
+phases AS (SELECT case_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (SELECT case_id, {_items('f')} AS l FROM (SELECT case_id, {_dec("(p -> '$.phases')")} AS f FROM progress))),
+slots AS (SELECT case_id, i, unnest(l) AS e, generate_subscripts(l, 1) AS k FROM (SELECT case_id, i, {_items('a')} AS l FROM (SELECT case_id, i, {_dec("(e -> '$.active')")} AS a FROM phases)))
+SELECT case_id, 'caller' AS entity, CAST(0 AS BIGINT) AS parent_pos, CAST(1 AS BIGINT) AS pos FROM parts WHERE json_type(caller) = 'OBJECT' AND {_SOME.format("(caller -> '$.agent_id')")}
+UNION SELECT case_id, 'data_row', i, k FROM rows_ WHERE {_SOME.format('e')}
+UNION SELECT case_id, 'progress', 0, 1 FROM progress WHERE json_type(p) = 'OBJECT' AND {_SOME.format("(p -> '$.state')")}
+UNION SELECT case_id, 'phase', 1, i FROM phases WHERE {_SOME.format('e')}
+UNION SELECT case_id, 'slot', i, k FROM slots WHERE {_SOME.format('e')}"""
+
+#: Packed fields in DuckDB, told apart by whole-value patterns instead of quote pieces.
+_MARK = "(?m)^[ \\t]*(?:[-*•–]|[0-9]{1,9}[.)])(?:[ \\t]+|$)"
+_ITEM = '(?:"(?:[^"]|"")*"|[(][^)]*[)]|<[^>]*>|[^,;|\\n\\t"(<])+'
+_WORD = '(?:"(?:[^"]|"")*"|[^\\s"])+'
+_P6_ROWS = f"""
+fields AS (
+  SELECT DISTINCT record_id, f.field_name, regexp_replace(f.v, '\\r\\n?', chr(10), 'g') AS v FROM work_result,
+  LATERAL (VALUES ('surface_ids', surface_ids), ('changed_paths', changed_paths), ('column_list', column_list), ('coverage', coverage)) f(field_name, v) WHERE f.v IS NOT NULL AND lower(trim(f.v)) NOT IN ('', 'none', 'n/a', '-', '[]')),
+parsed AS (
+  SELECT record_id, field_name, CASE WHEN v LIKE '[%' AND json_valid(v) THEN list_transform(json_extract(v, '$[*]'), lambda e: CASE WHEN json_type(e) = 'OBJECT' THEN e ->> '$.name' ELSE e ->> '$' END) END AS j,
+    regexp_matches(v, '{_MARK}') AS listed, regexp_replace(replace(regexp_replace(v, '{_MARK}', '', 'g'), '`', '"'), CASE WHEN field_name = 'surface_ids' THEN '\\s+and\\s+' ELSE '^$' END, ',', 'g') AS b FROM fields),
+cut AS (SELECT *, CASE WHEN j IS NOT NULL THEN j WHEN field_name IN ('surface_ids', 'changed_paths') AND NOT listed AND len(regexp_extract_all(b, '{_ITEM}')) = 1 AND NOT regexp_matches(b, '^[,;|\\n\\t]|[,;|\\n\\t]$') THEN regexp_extract_all(b, '{_WORD}') ELSE regexp_extract_all(b, '{_ITEM}') END AS l FROM parsed),
+cleaned AS (
+  SELECT record_id, field_name, list_filter(list_transform(l, lambda x: trim(CASE WHEN j IS NOT NULL THEN x WHEN field_name = 'column_list' AND contains(x, '"') THEN replace(regexp_extract(x, '"((?:[^"]|"")*)"', 1), '""', '"')
+    WHEN field_name = 'column_list' THEN regexp_replace(x, '\\s*[:(](?s:.*)$', '') WHEN contains(x, '"') THEN replace(regexp_replace(trim(x), '^"(.*)"$', '\\1'), '""', '"') ELSE x END)), lambda x: x <> '') AS l FROM cut)
+SELECT DISTINCT record_id, field_name, CAST(pos AS BIGINT) AS pos, item_value FROM (SELECT record_id, field_name, unnest(l) AS item_value, generate_subscripts(l, 1) AS pos FROM cleaned)"""
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_orphan_counts": p3_orphan_counts,
@@ -86,6 +130,9 @@ QUERIES = {
     "p6_value_counts": p6_value_counts,
 }
 SQL = {
+    "p5_found": f"WITH {_P5_ROWS}",
+    "p6_found": f"WITH {_P6_ROWS}",
+    "p6_value_counts": f"SELECT field_name, item_value, count(*) AS uses FROM (WITH {_P6_ROWS}) GROUP BY 1, 2",
     "p3_found": f"WITH {_P3_ROWS} SELECT * FROM found",
     "p3_orphan_counts": f"WITH {_P3_ROWS} SELECT record_type, created_month, reason, count(*) AS orphan_count FROM found GROUP BY ALL",
 }
