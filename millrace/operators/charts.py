@@ -226,14 +226,18 @@ def downsample(df: DataFrame, x: str, y: str, most: int, series: str | None = No
     placed = placed.withColumn("bucket", bucket.cast("long")).withColumn("part", F.floor(F.col("i") / 50_000))
 
     def hulls(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["x", "y"])
-        keep = _hull(list(zip(g["x"], g["y"], g["i"])))
-        out = pd.DataFrame(keep, columns=["x", "y", "i"]).astype({"i": "int64"})
-        return out.assign(series=g["series"].iloc[0], n=g["n"].iloc[0], bucket=g["bucket"].iloc[0], sx=g["x"].sum(), sy=g["y"].sum(), k=len(g))[["series", "x", "y", "i", "n", "bucket", "sx", "sy", "k"]]
+        g = g.sort_values("i")
+        rows = []
+        for bucket, h in g.groupby("bucket", sort=False):
+            x, y, i = h["x"].to_numpy(), h["y"].to_numpy(), h["i"].to_numpy()
+            total = (int(bucket), float(x.sum()), float(y.sum()), len(h))
+            rows += [(*q, *total) for q in _hull(list(zip(x.tolist(), y.tolist(), i.tolist())))]
+        out = pd.DataFrame(rows, columns=["x", "y", "i", "bucket", "sx", "sy", "k"])
+        return out.assign(series=g["series"].iloc[0], n=g["n"].iloc[0])[["series", "x", "y", "i", "n", "bucket", "sx", "sy", "k"]]
 
     shape = "series string, x double, y double, i long, n long, bucket long, sx double, sy double, k long"
     few = placed.where(F.col("n") <= most).select("series", "x", "y")
-    reduced = placed.where(F.col("n") > most).groupBy("series", "bucket", "part").applyInPandas(hulls, shape)
+    reduced = placed.where(F.col("n") > most).groupBy("series", "part").applyInPandas(hulls, shape)
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
         means = g.drop_duplicates(["bucket", "sx", "sy", "k"]).groupby("bucket")[["sx", "sy", "k"]].sum()
