@@ -233,14 +233,14 @@ def downsample(df: DataFrame, x: str, y: str, most: int, series: str | None = No
             total = (int(bucket), float(x.sum()), float(y.sum()), len(h))
             rows += [(*q, *total) for q in _hull(list(zip(x.tolist(), y.tolist(), i.tolist())))]
         out = pd.DataFrame(rows, columns=["x", "y", "i", "bucket", "sx", "sy", "k"])
-        return out.assign(series=g["series"].iloc[0], n=g["n"].iloc[0])[["series", "x", "y", "i", "n", "bucket", "sx", "sy", "k"]]
+        return out.assign(series=g["series"].iloc[0], n=g["n"].iloc[0], part=g["part"].iloc[0])[["series", "x", "y", "i", "n", "bucket", "sx", "sy", "k", "part"]]
 
-    shape = "series string, x double, y double, i long, n long, bucket long, sx double, sy double, k long"
+    shape = "series string, x double, y double, i long, n long, bucket long, sx double, sy double, k long, part long"
     few = placed.where(F.col("n") <= most).select("series", "x", "y")
     reduced = placed.where(F.col("n") > most).groupBy("series", "part").applyInPandas(hulls, shape)
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
-        means = g.drop_duplicates(["bucket", "sx", "sy", "k"]).groupby("bucket")[["sx", "sy", "k"]].sum()
+        means = g.drop_duplicates(["bucket", "part"]).groupby("bucket")[["sx", "sy", "k"]].sum()
         by = {b: list(zip(h["x"], h["y"])) for b, h in g.sort_values("i").groupby("bucket")}
         keys = sorted(by)
         at = by[keys[0]][0]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import charts, records, relational, streams, text
+from millrace.plans import charts, engine, records, relational, streams, text
 
-MODULES = (relational, charts, text, streams, records)
+MODULES = (relational, engine, charts, text, streams, records)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
