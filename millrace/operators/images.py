@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.engine.batches import keyed, restored
+
 
 def decode(data: bytes) -> np.ndarray:
     """Grey values (height, width) from 0 to 255; ValueError for what can't be read."""
@@ -118,8 +120,8 @@ def hashes(images: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
                     rows.append((key, None, None, None, None, str(x) or "the image is damaged"))
             yield pd.DataFrame(rows, columns=["id_", "width", "height", "dhash", "phash", "error"], dtype=object)
 
-    some = images.where(F.col(bytes_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(bytes_col).alias("data_"))
-    return some.mapInPandas(run, f"id_ {kind}, width bigint, height bigint, dhash bigint, phash bigint, error string").withColumnRenamed("id_", id_col)
+    some = images.where(F.col(bytes_col).isNotNull()).select(keyed(id_col), F.col(bytes_col).alias("data_"))
+    return restored(some.mapInPandas(run, f"id_ string, width bigint, height bigint, dhash bigint, phash bigint, error string"), id_col, kind)
 
 
 def distance(a: Column, b: Column) -> Column:

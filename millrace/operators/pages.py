@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.engine.batches import keyed, restored
 from millrace.engine.session import cut
 from millrace.functions import text as X
 
@@ -117,8 +118,8 @@ def blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             rows = [(i, *x) for i, h in zip(b["id_"], b["html_"]) for x in blocks_of(h)]
             yield pd.DataFrame(rows, columns=["id_", "pos", "kind", "level", "text", "path"]).astype({"level": "Int64"})
 
-    some = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(html_col).alias("html_"))
-    return some.mapInPandas(run, f"id_ {kind}, {BLOCK}").withColumnRenamed("id_", id_col)
+    some = pages.where(F.col(html_col).isNotNull()).select(keyed(id_col), F.col(html_col).alias("html_"))
+    return restored(some.mapInPandas(run, f"id_ string, {BLOCK}"), id_col, kind)
 
 
 def content_kind(found: DataFrame, id_col: str) -> DataFrame:
@@ -195,8 +196,8 @@ def parsed(df: DataFrame, id_col: str, text_col: str, what: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([(i, *x) for i, t in zip(b["id_"], b["text_"]) for x in read(t)], columns=["id_", *names], dtype=object)
 
-    some = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-    return some.mapInPandas(run, f"id_ {kind}, {cols}").withColumnRenamed("id_", id_col)
+    some = df.where(F.col(text_col).isNotNull()).select(keyed(id_col), F.col(text_col).alias("text_"))
+    return restored(some.mapInPandas(run, f"id_ string, {cols}"), id_col, kind)
 
 
 def robots_rules(text: str, agent: str = "*") -> list[tuple[str, bool]]:

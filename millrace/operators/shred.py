@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.engine.batches import keyed, restored
+
 LEVELS = "path string, ordinal bigint, repetition int, definition int, value string"
 FLAT = "entity string, parent_pos bigint, pos bigint, value string"
 
@@ -168,7 +170,7 @@ def shred_levels(df: DataFrame, id_col: str, doc_col: str, root: Node) -> DataFr
             yield pd.DataFrame(rows, columns=["id_", "path", "ordinal", "repetition", "definition", "value"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id_"), F.col(doc_col).alias("doc_")).mapInPandas(run, f"id_ {kind}, {LEVELS}").withColumnRenamed("id_", id_col)
+    return restored(df.select(keyed(id_col), F.col(doc_col).alias("doc_")).mapInPandas(run, f"id_ string, {LEVELS}"), id_col, kind)
 
 
 def flatten(df: DataFrame, id_col: str, doc_col: str, root: Node, tables: tuple[Table, ...]) -> DataFrame:
@@ -189,7 +191,7 @@ def flatten(df: DataFrame, id_col: str, doc_col: str, root: Node, tables: tuple[
             yield pd.DataFrame(rows, columns=["id_", "entity", "parent_pos", "pos", "value"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id_"), F.col(doc_col).alias("doc_")).mapInPandas(run, f"id_ {kind}, {FLAT}").withColumnRenamed("id_", id_col)
+    return restored(df.select(keyed(id_col), F.col(doc_col).alias("doc_")).mapInPandas(run, f"id_ string, {FLAT}"), id_col, kind)
 
 
 def _leaf(*names: str, path: str = "") -> Node:

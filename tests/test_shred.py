@@ -68,3 +68,9 @@ def test_table_with_bad_documents(spark):
     assert S.flatten(df.limit(0), "case_id", "doc", S.CALL, S.CALL_TABLES).count() == 0
     levels = S.shred_levels(df, "case_id", "doc", S.CALL).where("case_id = 5").collect()
     assert len(levels) == 5 and {r.definition for r in levels} == {1}
+
+
+def test_null_and_large_keys(spark):
+    big = 2**62 + 1
+    df = spark.createDataFrame([(big, '{"input":{"caller":{"agent_id":"a"}}}'), (None, '{"input":{"caller":{"agent_id":"b"}}}')], "case_id long, doc string")
+    assert {(r.case_id, r.value) for r in S.flatten(df, "case_id", "doc", S.CALL, S.CALL_TABLES).collect()} == {(big, "a"), (None, "b")}
