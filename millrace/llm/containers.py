@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.engine.batches import keyed, restored
 from millrace.engine.session import cut
 
 CAPACITY = 2_048
@@ -53,8 +54,8 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENI
             encode = tokenizer(folder).encode_ordinary
             yield pd.DataFrame({"id_": b["id_"], "tokens": [len(encode(t)) for t in b["text_"]]})
 
-    some = df.where(F.col(text_col).rlike(r"\S")).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-    return some.mapInPandas(run, f"id_ {kind}, tokens bigint").withColumnRenamed("id_", id_col)
+    some = df.where(F.col(text_col).rlike(r"\S")).select(keyed(id_col), F.col(text_col).alias("text_"))
+    return restored(some.mapInPandas(run, f"id_ string, tokens bigint"), id_col, kind)
 
 
 def difference(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +115,7 @@ def fill(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     null ids are one id. Equal sizes are told apart by id. An empty table gives an empty one.
     """
     kind = sizes.schema[id_col].dataType.simpleString()
-    items = sizes.select(F.col(id_col).alias("id_"), F.col(size_col).cast("long").alias("size_")).where("size_ > 0").groupBy("id_").agg(F.max("size_").alias("size_"))
+    items = sizes.select(keyed(id_col), F.col(size_col).cast("long").alias("size_")).where("size_ > 0").groupBy("id_").agg(F.max("size_").alias("size_"))
     items = cut(items)
     count = items.select(F.sum((F.col("size_") % capacity > 0).cast("long"))).first()[0] or 0
     blocks = max(1, round(count / block))
@@ -134,8 +135,8 @@ def fill(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
         return g[["id_", "piece", "container", "place", "start", "size"]]
 
     # By number, or adaptive execution would see few bytes and leave the work to few tasks.
-    packed = rest.repartition(min(blocks, MOST_TASKS), "block_").groupBy("block_").applyInPandas(one, f"id_ {kind}, piece bigint, container string, place bigint, start bigint, size bigint")
-    return full.unionByName(packed).withColumnRenamed("id_", id_col)
+    packed = rest.repartition(min(blocks, MOST_TASKS), "block_").groupBy("block_").applyInPandas(one, f"id_ string, piece bigint, container string, place bigint, start bigint, size bigint")
+    return restored(full.unionByName(packed), id_col, kind)
 
 
 def fill_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, folder: str = TOKENIZERS) -> DataFrame:

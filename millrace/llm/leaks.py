@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.engine.batches import keyed, restored
+
 MIN_WORDS = 12
 #: Characters of test text sent to tasks at once.
 BLOCK_CHARS = 8_000_000
@@ -149,10 +151,10 @@ def find_leaks(
     sizes = tests.where(F.col(item_text).isNotNull()).agg(F.sum(F.length(item_text)), F.count(F.lit(1))).first()
     blocks = max(1, -(-(sizes[0] or 0) // block_chars))
     kind, item_kind = corpus.schema[id_col].dataType.simpleString(), tests.schema[item_col].dataType.simpleString()
-    docs = corpus.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    docs = corpus.where(F.col(text_col).isNotNull()).select(keyed(id_col), F.col(text_col).alias("text_"))
     out = None
     for k in range(blocks):
-        rows = tests.where(F.col(item_text).isNotNull()).where(F.pmod(F.xxhash64(item_col, item_text), F.lit(blocks)) == k).select(item_col, item_text).collect()
+        rows = tests.where(F.col(item_text).isNotNull()).where(F.pmod(F.xxhash64(item_col, item_text), F.lit(blocks)) == k).select(keyed(item_col, "item_"), item_text).collect()
         test = TestSet(sorted(((r[0], r[1]) for r in rows), key=lambda r: (str(r[0]), r[1])), min_words)
 
         def run(batches: Iterator[pd.DataFrame], test: TestSet = test) -> Iterator[pd.DataFrame]:
@@ -161,7 +163,7 @@ def find_leaks(
             def shard() -> pd.DataFrame:
                 m = test.matches(held)
                 return pd.DataFrame(
-                    {"id_": [ids[i] for i in m["doc"]], "item_": [test.ids[i] for i in m["item"]], "matched_words": m["words"].to_numpy(), "doc_start": m["doc_start"].to_numpy(), "item_start": m["item_start"].to_numpy()}
+                    {"id_": pd.Series([ids[i] for i in m["doc"]], dtype=object), "item_": pd.Series([test.ids[i] for i in m["item"]], dtype=object), "matched_words": m["words"].to_numpy(), "doc_start": m["doc_start"].to_numpy(), "item_start": m["item_start"].to_numpy()}
                 )
 
             for b in batches:
@@ -178,9 +180,9 @@ def find_leaks(
             if held:
                 yield shard()
 
-        found = docs.mapInPandas(run, f"id_ {kind}, item_ {item_kind}, matched_words bigint, doc_start bigint, item_start bigint")
+        found = docs.mapInPandas(run, f"id_ string, item_ string, matched_words bigint, doc_start bigint, item_start bigint")
         out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("id_", id_col).withColumnRenamed("item_", item_col)
+    return restored(restored(out, id_col, kind), item_col, item_kind, "item_")
 
 
 def without_leaks(corpus: DataFrame, leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.engine.batches import keyed, restored
+
 LIMIT = 6_000
 OVERLAP = 200
 PAGES = 20
@@ -126,8 +128,8 @@ def text_pieces(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, o
                     start += _size(body)
             yield pd.DataFrame(rows, columns=["id_", "piece", "text", "overlap_bytes", "start_byte"])
 
-    long = df.where(F.octet_length(text_col) > limit).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
-    return long.mapInPandas(run, f"id_ {kind}, piece bigint, text string, overlap_bytes bigint, start_byte bigint").withColumnRenamed("id_", id_col)
+    long = df.where(F.octet_length(text_col) > limit).select(keyed(id_col), F.col(text_col).alias("text_"))
+    return restored(long.mapInPandas(run, f"id_ string, piece bigint, text string, overlap_bytes bigint, start_byte bigint"), id_col, kind)
 
 
 _DASH = re.compile(r"\s*(?:[-‐‑‒–—−~]|\.\.+|\bto\b)\s*")
@@ -190,8 +192,8 @@ def page_ranges(df: DataFrame, id_col: str, pages_col: str, count_col: str, most
                     rows.append((key, i, said, sum(hi - lo + 1 for lo, hi in group)))
             yield pd.DataFrame(rows, columns=["id_", "piece", "pages", "page_count"])
 
-    small = df.select(F.col(id_col).alias("id_"), F.col(pages_col).alias("pages_"), F.col(count_col).cast("double").alias("count_"))
-    return small.mapInPandas(run, f"id_ {kind}, piece bigint, pages string, page_count bigint").withColumnRenamed("id_", id_col)
+    small = df.select(keyed(id_col), F.col(pages_col).alias("pages_"), F.col(count_col).cast("double").alias("count_"))
+    return restored(small.mapInPandas(run, f"id_ string, piece bigint, pages string, page_count bigint"), id_col, kind)
 
 
 _CURSOR = re.compile(r"ocr1\.([A-Za-z0-9_-]+)\.([0-9A-Za-z]+)")
@@ -222,5 +224,5 @@ def open_cursors(df: DataFrame, id_col: str, cursor_col: str, complete_col: str)
                     rows.append((key, *(v if isinstance(v := at.get(k), int) else None for k in ("unit", "pos"))))
             yield pd.DataFrame(rows, columns=["id_", "unit", "position"]).astype({"unit": "Int64", "position": "Int64"})
 
-    some = df.where(~F.col(complete_col) & F.col(cursor_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(cursor_col).alias("cursor_"))
-    return some.mapInPandas(run, f"id_ {kind}, unit bigint, position bigint").withColumnRenamed("id_", id_col)
+    some = df.where(~F.col(complete_col) & F.col(cursor_col).isNotNull()).select(keyed(id_col), F.col(cursor_col).alias("cursor_"))
+    return restored(some.mapInPandas(run, f"id_ string, unit bigint, position bigint"), id_col, kind)

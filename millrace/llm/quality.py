@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.engine.batches import keyed, restored
+
 CHUNK = 65_536
 #: Context on either side, more than any word that counts is long.
 CONTEXT = 1_024
@@ -252,7 +254,7 @@ def text_sums(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     context = min(CONTEXT, chunk)
     size = F.length("text_")
     n = F.greatest(F.lit(1), F.ceil(size / chunk)).cast("int")
-    split = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"))
+    split = df.where(F.col(text_col).isNotNull()).select(keyed(id_col), F.col(text_col).alias("text_"))
     split = split.select("id_", "text_", n.alias("n_"))
     small = split.where(F.col("n_") == 1)
 
@@ -261,7 +263,7 @@ def text_sums(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
             rows = [(k, *finished(partial(t, 0, len(t)))) for k, t in zip(b["id_"], b["text_"])]
             yield pd.DataFrame(rows, columns=["id_", *(f"{k}_" for k in SUMS)])
 
-    out = small.select("id_", "text_").mapInPandas(whole, f"id_ {kind}, {_OUT}")
+    out = small.select("id_", "text_").mapInPandas(whole, f"id_ string, {_OUT}")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -275,7 +277,7 @@ def text_sums(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     start = F.greatest(F.lit(0), F.col("chunk_") * chunk - context)
     states = large.select("id_", "hash_", "chunk_", F.substring("text_", start + 1, F.col("chunk_") * chunk - start + chunk + context).alias("piece_"))
     # A text repeated under one id gives each chunk twice; either is kept.
-    states = states.mapInPandas(pieces, f"id_ {kind}, hash_ bigint, chunk_ int, state_ string").dropDuplicates(["id_", "hash_", "chunk_"])
+    states = states.mapInPandas(pieces, f"id_ string, hash_ bigint, chunk_ int, state_ string").dropDuplicates(["id_", "hash_", "chunk_"])
 
     def merged(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("chunk_")
@@ -285,14 +287,14 @@ def text_sums(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
         return pd.DataFrame([(g["id_"].iloc[0], g["hash_"].iloc[0], g["chunk_"].iloc[0] // FAN, json.dumps(state))], columns=["id_", "hash_", "chunk_", "state_"])
 
     for _ in range(LEVELS):
-        states = states.withColumn("group_", F.expr(f"chunk_ div {FAN}")).groupBy("id_", "hash_", "group_").applyInPandas(merged, f"id_ {kind}, hash_ bigint, chunk_ int, state_ string")
+        states = states.withColumn("group_", F.expr(f"chunk_ div {FAN}")).groupBy("id_", "hash_", "group_").applyInPandas(merged, f"id_ string, hash_ bigint, chunk_ int, state_ string")
 
     def closing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([(k, *finished(json.loads(s))) for k, s in zip(b["id_"], b["state_"])], columns=["id_", *(f"{k}_" for k in SUMS)])
 
-    out = out.unionByName(states.select("id_", "state_").mapInPandas(closing, f"id_ {kind}, {_OUT}"))
-    return out.withColumnRenamed("id_", id_col)
+    out = out.unionByName(states.select("id_", "state_").mapInPandas(closing, f"id_ string, {_OUT}"))
+    return restored(out, id_col, kind)
 
 
 def text_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
