@@ -268,3 +268,43 @@ def label_order(df: DataFrame, label: str) -> DataFrame:
     rank = F.when(number.isNotNull(), 0).when(date.isNotNull(), 1).otherwise(2)
     one = df.select(F.col(label).cast("string").alias("label")).where("label IS NOT NULL").distinct()
     return one.select("label", F.row_number().over(Window.orderBy(rank, number, date, "label")).cast("long").alias("place"))
+
+KINDS = ("totals", "grid", "line", "pie", "histogram", "box", "scatter", "bubble", "heatmap", "stack", "table")
+
+
+def chart(df: DataFrame, spec: dict) -> DataFrame:
+    """The marks of a chart request: kind, x, y, series, size, agg, bins, limit. Unknown fields and kinds, and columns that
+    aren't there, are refused in a sentence; only the columns named are read."""
+    known = {"kind", "x", "y", "series", "size", "agg", "bins", "limit"}
+    if extra := set(spec) - known:
+        raise ValueError(f"unknown field {sorted(extra)[0]}")
+    kind, x, y, s = spec.get("kind"), spec.get("x"), spec.get("y"), spec.get("series")
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}")
+    named = [c for c in dict.fromkeys((x, y, s, spec.get("size"))) if c]
+    for c in named:
+        if c not in df.columns:
+            raise ValueError(f"there is no column {c}")
+    df = df.select(*named)
+    how, limit = spec.get("agg", "mean" if kind in ("line", "heatmap") else "sum"), spec.get("limit")
+    if kind == "totals":
+        return totals(df, x, y, how, limit or CATEGORIES)
+    if kind == "grid":
+        return grid(df, x, s, y, how)
+    if kind == "line":
+        return downsample(line(df, x, y, s, how), "x", "y", limit or 1_500, "series")
+    if kind == "pie":
+        return pie(df, x, y, how, limit or SLICES)
+    if kind == "histogram":
+        return histogram(df, y or x, spec.get("bins"))
+    if kind == "box":
+        return box(df, y, s or x)
+    if kind == "scatter":
+        return scatter(df, x, y, limit or 2_000)
+    if kind == "bubble":
+        return bubbles(df, spec["size"], [c for c in (x, y) if c], limit or BUBBLES)
+    if kind == "heatmap":
+        return heatmap(df, x, y, spec.get("size") or s, how, limit or CELLS)
+    if kind == "stack":
+        return stack(df, x, s, y, how)
+    return df.limit(limit or 1_000)

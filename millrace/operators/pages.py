@@ -265,3 +265,42 @@ def walls(pages: DataFrame, text_col: str) -> DataFrame:
     for k, p in reversed(WALLS.items()):
         kind = F.when(F.col(text_col).rlike(p), k).otherwise(kind)
     return pages.withColumn("wall", F.when(F.length(text_col) <= 700, kind))
+
+
+def metadata(html: str) -> dict[str, str | None]:
+    """title, byline, published and site of a page, from its meta elements and title."""
+    meta = {}
+    for tag in re.findall(r"(?is)<meta\s[^>]*>", html):
+        a = dict((k.lower(), v) for k, _, v in re.findall(r"(?s)([\w:.-]+)\s*=\s*(['\"])(.*?)\2", tag))
+        name = (a.get("property") or a.get("name") or "").lower()
+        if name and a.get("content"):
+            meta.setdefault(name, a["content"].strip())
+    title = re.search(r"(?is)<title[^>]*>(.*?)</title>", html)
+    first = lambda *ns: next((meta[n] for n in ns if n in meta), None)
+    time = re.search(r"(?i)<time[^>]*datetime=[\"']([^\"']+)", html)
+    return {
+        "title": first("og:title", "twitter:title") or (re.sub(r"\s+", " ", title[1]).strip() if title else None), "byline": first("author", "article:author"),
+        "published": first("article:published_time", "date", "dc.date") or (time[1] if time else None), "site": first("og:site_name", "application-name"),
+    }
+
+
+def charset(data: bytes, header: str | None = None) -> str:
+    """The character set of a page: the header's, a byte-order mark's, the page's own, else utf-8 if it decodes."""
+    import codecs
+
+    found = [re.search(r"(?i)charset=[\"']?([\w-]+)", header or "")]
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if data.startswith(mark):
+            return name
+    found.append(re.search(r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", data[:4096].decode("latin-1")))
+    for m in found:
+        if m:
+            try:
+                return codecs.lookup(m[1]).name
+            except LookupError:
+                continue
+    try:
+        data.decode("utf-8")
+        return "utf-8"
+    except UnicodeDecodeError:
+        return "windows-1252"

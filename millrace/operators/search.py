@@ -101,3 +101,15 @@ def intent(query: str) -> str:
     if re.match(r"(?i)(who|what) (is|was|are) ", query) or (query.istitle() and len(words) <= 4):
         return "entity"
     return "web"
+
+
+def weak(results: DataFrame, query: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., weak): whether fewer than two families name the first page and fewer than eight pages were found, or none
+    of the first three titles and snippets holds a fifth of the query's terms."""
+    share = X.term_ratio(F.concat_ws(" ", "title", "snippet"), query)
+    r = results.withColumn("share_", share)
+    first = F.max(F.when(F.col("place") == 1, F.col("families")))
+    a = [first.alias("f_"), F.count(F.lit(1)).alias("n_"), F.max(F.when(F.col("place") <= 3, F.col("share_"))).alias("s_")]
+    g = r.groupBy(*by).agg(*a) if by else r.agg(*a)
+    flag = ((F.coalesce("f_", F.lit(0)) < 2) & (F.col("n_") < 8)) | (F.coalesce("s_", F.lit(0.0)) < 0.2)
+    return g.select(*by, flag.alias("weak"))
