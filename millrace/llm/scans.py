@@ -31,8 +31,9 @@ LEAST = 3
 #: Words with vectors, the most frequent first, and the window of a pair.
 VECTOR_WORDS = 2_048
 WINDOW = 2
-#: Lines at either edge of a page that may be furniture, and their longest length.
-EDGE, EDGE_CHARS = 2, 72
+#: Lines at either edge of a page that may be furniture, and how many characters and words they have at most (a page
+#: number may be set apart by a few blanks).
+EDGE, EDGE_CHARS, EDGE_WORDS = 2, 72, 9
 
 BREAKS = "-‐‑=¬\xad"
 _TOKEN = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -44,7 +45,7 @@ _LIST = re.compile(r"\s*(?:#{1,6}\s|[-*+•]\s|\||>|```)")
 # --------------------------------------------------------------------------------------------- lines of a record
 
 
-@dataclass
+@dataclass(slots=True)
 class Line:
     no: int
     text: str
@@ -67,14 +68,16 @@ def lines_of(text: str, page: int | None) -> list[Line]:
     return out
 
 
-_CUT_WORD = re.compile(rf"(?<=[^\W_])[{BREAKS}][ \t\r]*\n\s*(\S+)")
+_CUT_WORD = re.compile(rf"[{BREAKS}][ \t\r]*\n\s*(\S+)")
 
 
 def count_tokens(texts: list[str], into: Counter) -> None:
     """Adds the blank-separated tokens of the texts, without the pieces of words broken at line ends."""
     for t in texts:
         into.update(t.split())
-        for m in _CUT_WORD.finditer(t):
+        for m in _CUT_WORD.finditer(t, 1):
+            if not t[m.start() - 1].isalnum():
+                continue
             into[t[: m.start() + 1][-200:].split()[-1]] -= 1
             into[m[1]] -= 1
 
@@ -129,8 +132,11 @@ def label_of(text: str) -> tuple[str, int] | None:
     return None
 
 
+_NO_LETTER = re.compile(r"[\d\W_]+")
+
+
 def letters_of(text: str) -> str:
-    return "".join(c for c in folded(re.sub(r"[\d\W_]+", "", text)) if c.isalpha())
+    return folded(_NO_LETTER.sub("", text))
 
 
 def shape_keys(text: str) -> list[str]:
@@ -207,7 +213,7 @@ def edges_of(text: str, page: int | None) -> list[tuple]:
                 if n <= EDGE and not top and at < EDGE:
                     continue
                 t = lines[kept[at] - 1].strip()
-                if len(t) > EDGE_CHARS:
+                if len(t) > EDGE_CHARS or t.count(" ") >= EDGE_WORDS + 4:
                     continue
                 label = label_of(t)
                 if label is None and (_LIST.match(t) or _SENTENCE.search(t)):
@@ -356,17 +362,24 @@ class Reader:
         and end were printed as, "" when that can't be told. furniture: numbers of lines to pass over; None, when they
         aren't known, passes over what looks like it at page edges. finished: whether the record's last line is whole."""
         out: list[tuple[int, str, int, int, str]] = []
-        text, top, held = [], True, []
-        for x in lines:
-            if x.kind == "marker":
-                top = True
-            elif x.kind == "text":
-                if x.no in furniture if furniture is not None else len(x.text) <= EDGE_CHARS and (label_of(x.text) is not None or looks_running(x.text)):
-                    # Read for its own damage, but not as a part of the text around it.
-                    held.append(x)
-                    continue
-                text.append((x, top))
-                top = False
+        text: list[tuple[Line, bool]] = []
+        held: list[Line] = []
+        page: list[Line] = []
+        for x in [*lines, None]:
+            if x is not None and x.kind == "text":
+                page.append(x)
+            if x is not None and x.kind != "marker":
+                continue
+            if furniture is not None:
+                page = [y for y in page if y.no not in furniture]
+            else:
+                # What looks like furniture is read for its own damage, but not as a part of the text around it.
+                edge = {*range(min(EDGE, len(page))), *range(max(0, len(page) - EDGE), len(page))}
+                off = {i for i in edge if len(page[i].text) <= EDGE_CHARS and (label_of(page[i].text) is not None or looks_running(page[i].text))}
+                held += [page[i] for i in sorted(off)]
+                page = [y for i, y in enumerate(page) if i not in off] if off else page
+            text += [(y, i == 0) for i, y in enumerate(page)]
+            page = []
         after = False
         for k, (line, at_top) in enumerate(text):
             nxt = text[k + 1][0] if k + 1 < len(text) else None
