@@ -26,7 +26,7 @@ class Matcher:
 MATCHERS = (
     Matcher("secrets-exposure", "precise", (r'(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*"[A-Za-z0-9+/_\-]{16,}"',)),
     Matcher("graphql-injection", "precise", (r"(?s)format!\s*\([^;]{0,200}?(?:mutation|query)\s*\{",), ("rs",)),
-    Matcher("defra-empty-array", "precise", (r'"[^"\n]*:\s*\[\][^"\n]*"',), ("rs",)),
+    Matcher("empty-array-literal", "precise", (r'"[^"\n]*:\s*\[\][^"\n]*"',), ("rs",)),
     Matcher("secret-in-fallback", "precise", (r'(?s)env(?:::var)?\s*\(\s*"[A-Z0-9_]*(KEY|SECRET|TOKEN|PASSWORD)[A-Z0-9_]*"\s*\)[^;\n]{0,120}unwrap_or',), ("rs", "ts", "tsx", "js")),
     Matcher("insecure-crypto", "precise", (r"(?i)\b(md5|sha-?1)\s*(::|\()",)),
     Matcher("secret-in-log", "normal", (r"(?i)(trace|debug|info|warn|error)!\s*\([^;\n]{0,160}(token|secret|password|api_key)",), ("rs", "ts", "tsx", "js")),
