@@ -90,6 +90,16 @@ def text_collapse(spark, d):
     return table(spark, d, "documents").where(F.col("text").isNotNull() & F.substring("text", 1, 400).rlike(r"^[\x00-\x7f]*$")).select("doc_id", X.collapsed(t).alias("squeezed"))
 
 
+#: Fixed value: the class of what (?U)\s takes for blanks; the \s of the SQL side has ASCII blanks only.
+BLANKS = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{BLANKS}+', ' ', 'g')) AS squeezed FROM documents WHERE text IS NOT NULL")
+def text_collapse_whole(spark, d):
+    """The whole text of every document; ``text_collapse`` has the first 400 characters of ASCII ones."""
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.collapsed(F.col("text")).alias("squeezed"))
+
+
 #: Patterns that the documents hold.
 DOC_MATCHERS = (
     scan.Matcher("long-number", "precise", (r"\b\d{4}-\d{2}-\d{2}\b",)),
