@@ -124,6 +124,12 @@ def page_walls(spark, d):
     return pages.walls(docs, "text").select("doc_id", "wall")
 
 
+@query("SELECT doc_id, CASE WHEN length(text) <= 700 THEN CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in pages.WALLS.items()) + " END END AS wall FROM documents WHERE text IS NOT NULL")
+def page_walls_whole(spark, d):
+    """Every document with a text, and all four kinds; ``page_walls`` leaves out what may be a login, paywall or cookies."""
+    return pages.walls(table(spark, d, "documents").where("text IS NOT NULL"), "text").select("doc_id", "wall")
+
+
 @query(None)
 def page_blocks(spark, d):
     docs = table(spark, d, "documents").where(F.col("text").contains("<table"))

@@ -25,3 +25,14 @@ def test_collapse_whole_text(spark, tmp_path):
     got = {r.doc_id: r.squeezed for r in run(spark, tmp_path, "text_collapse_whole", "documents", list(texts.items()), "doc_id long, text string")}
     assert got == {k: re.sub(BLANK, " ", t).strip(" ") for k, t in texts.items() if t is not None}
     assert dict(duck(tmp_path, "text_collapse_whole", "documents")) == got
+
+
+def test_walls_of_all_kinds(spark, tmp_path):
+    texts = {
+        1: "Please LOG IN", 2: "Sign in to continue", 3: "sign in to my account", 4: "Subscribers only", 5: "Subscribe to read on", 6: "subscribe by mail", 7: "We use cookies.", 8: "Cookie policy",
+        9: "a cookie", 10: "Checking your browser; we use cookies", 11: "log in to view, subscribe to continue", 12: "subscribers only: cookie policy", 13: "we use cookies" + "." * 700, 14: "text", 15: "", 16: None, 17: "x" * 686 + "we use cookies",
+    }
+    want = {1: "login", 2: "login", 4: "paywall", 5: "paywall", 7: "cookies", 8: "cookies", 10: "challenge", 11: "login", 12: "paywall", 17: "cookies"}
+    got = {r.doc_id: r.wall for r in run(spark, tmp_path, "page_walls_whole", "documents", list(texts.items()), "doc_id long, text string")}
+    assert got == {k: want.get(k) for k, t in texts.items() if t is not None}
+    assert dict(duck(tmp_path, "page_walls_whole", "documents")) == got
