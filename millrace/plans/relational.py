@@ -378,6 +378,16 @@ def regex_functions(spark, d):
     )
 
 
+@query("SELECT doc_id, regexp_matches(text, '[0-9]{3}') AS has3, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS BIGINT) AS caps, regexp_replace(text, '[^a-z]+', '_', 'g') AS squeezed, regexp_extract(path, '([a-z]+)$', 1) AS ext FROM documents WHERE text IS NOT NULL")
+def regex_functions_whole(spark, d):
+    """Replaces over the whole text; ``regex_functions`` over its first 60 characters."""
+    t = F.col("text")
+    return table(spark, d, "documents").where(t.isNotNull()).select(
+        "doc_id", F.regexp_like(t, F.lit("[0-9]{3}")).alias("has3"), F.regexp_count(t, F.lit("[A-Z][a-z]+")).cast("long").alias("caps"),
+        F.regexp_replace(t, "[^a-z]+", "_").alias("squeezed"), F.regexp_extract("path", "([a-z]+)$", 1).alias("ext"),
+    )
+
+
 @query("SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(extract(month FROM o_orderdate) AS BIGINT) AS m, CAST(extract(day FROM o_orderdate) AS BIGINT) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS mon, CAST(date_trunc('week', o_orderdate) AS DATE) AS wk, CAST(o_orderdate + INTERVAL 30 DAY AS DATE) AS due, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS age, strftime(o_orderdate, '%d/%m/%Y') AS shown FROM orders")
 def date_functions(spark, d):
     o = F.col("o_orderdate")
@@ -414,6 +424,13 @@ def unnest(spark, d):
     return e.select("vec_id", (F.col("p") + 1).cast("long").alias("i"), "x")
 
 
+@query("SELECT vec_id, CAST(i AS BIGINT) AS i, x FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def unnest_whole(spark, d):
+    """A row for every element of every vector; ``unnest`` has the first three."""
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x"))
+    return e.select("vec_id", (F.col("p") + 1).cast("long").alias("i"), "x")
+
+
 @query("SELECT n_nationkey, {'name': n_name, 'region': n_regionkey}['name'] AS name, CAST(n_nationkey + 1 AS BIGINT) AS up FROM nation")
 def struct_field(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).getField("name").alias("name"), (F.col("n_nationkey") + 1).cast("long").alias("up"))

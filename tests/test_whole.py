@@ -36,3 +36,17 @@ def test_walls_of_all_kinds(spark, tmp_path):
     got = {r.doc_id: r.wall for r in run(spark, tmp_path, "page_walls_whole", "documents", list(texts.items()), "doc_id long, text string")}
     assert got == {k: want.get(k) for k, t in texts.items() if t is not None}
     assert dict(duck(tmp_path, "page_walls_whole", "documents")) == got
+
+
+def test_regex_over_whole_text(spark, tmp_path):
+    texts = {1: "ab 12 " * 40 + "Zoe\u00e9 end", 2: "\U0001f600\U0001f600x\ny", 3: "", 4: None, 5: "lower"}
+    rows = run(spark, tmp_path, "regex_functions_whole", "documents", [(k, t, "a/b.py") for k, t in texts.items()], "doc_id long, text string, path string")
+    assert {r.doc_id: r.squeezed for r in rows} == {k: re.sub("[^a-z]+", "_", t) for k, t in texts.items() if t is not None}
+    assert sorted(map(tuple, rows)) == sorted(duck(tmp_path, "regex_functions_whole", "documents"))
+
+
+def test_unnest_every_element(spark, tmp_path):
+    vectors = {1: [float(x) for x in range(64)], 2: [0.5], 3: [], 4: None, 5: [1.0, None, 2.0, None]}
+    got = sorted(map(tuple, run(spark, tmp_path, "unnest_whole", "embeddings", list(vectors.items()), "vec_id long, embedding array<float>")), key=lambda r: r[:2])
+    assert got == [(k, i + 1, x) for k, v in vectors.items() for i, x in enumerate(v or [])]
+    assert sorted(duck(tmp_path, "unnest_whole", "embeddings"), key=lambda r: r[:2]) == got
