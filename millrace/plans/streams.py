@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.engine.session import shared_dir, table
+from millrace.engine.session import shared_dir
 from millrace.streaming import events as E
 
 QUERIES, SQL = {}, {}
@@ -67,10 +67,10 @@ def stream_sliding(spark, d):
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS events, CAST(count(*) FILTER (WHERE s) AS BIGINT) AS sessions FROM (SELECT user_id, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 10 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL, true) AS s FROM events) GROUP BY 1")
 def stream_sessions(spark, d):
-    """Sessions of the batch twin; the stream itself leaves the last ones open behind its watermark."""
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    s = e.groupBy(F.session_window("ts", "10 minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return s.groupBy("user_id").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("sessions"))
+    """Sessions of the stream, those still open at its end included; the watermark is far back, so that no event is late."""
+    e = _source(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = _drained(E.sessions(e, "ts", "user_id", late="3650 days"), "complete")
+    return s.groupBy("user_id").agg(F.sum("events").alias("events"), F.count(F.lit(1)).alias("sessions"))
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS events FROM events WHERE event_type = 'purchase' AND value > 0 GROUP BY 1 UNION ALL SELECT 'rest', count(*) FROM events WHERE NOT coalesce(event_type = 'purchase' AND value > 0, false)")

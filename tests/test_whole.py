@@ -1,8 +1,10 @@
 """Queries that have the whole of their input, on small tables made to hold what a cut would lose."""
 
+import datetime as dt
 import re
 
 from millrace import plans
+from millrace.streaming import events as E
 
 BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
@@ -50,3 +52,15 @@ def test_unnest_every_element(spark, tmp_path):
     got = sorted(map(tuple, run(spark, tmp_path, "unnest_whole", "embeddings", list(vectors.items()), "vec_id long, embedding array<float>")), key=lambda r: r[:2])
     assert got == [(k, i + 1, x) for k, v in vectors.items() for i, x in enumerate(v or [])]
     assert sorted(duck(tmp_path, "unnest_whole", "embeddings"), key=lambda r: r[:2]) == got
+
+
+def test_sessions_of_the_stream(spark, tmp_path, monkeypatch):
+    seen, sessions = [], E.sessions
+    monkeypatch.setattr(E, "sessions", lambda stream, *a, **k: seen.append(stream.isStreaming) or sessions(stream, *a, **k))
+    at = lambda m: dt.datetime(2025, 1, 1) + dt.timedelta(minutes=m)
+    minutes = {1: [0, 5, 14, 30, 31], 2: [100_000], 3: [0, 50_000, 50_009, 49_995]}
+    rows = [(u, at(m)) for u, ms in minutes.items() for m in ms]
+    got = {r.user_id: (r.events, r.sessions) for r in run(spark, tmp_path, "stream_sessions", "events", rows, "user_id long, ts timestamp_ntz")}
+    assert seen == [True]
+    assert got == {1: (5, 2), 2: (1, 1), 3: (4, 2)}
+    assert {u: (n, s) for u, n, s in duck(tmp_path, "stream_sessions", "events")} == got
