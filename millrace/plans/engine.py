@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.engine.export import csv_lines
+from millrace.engine.export import csv_lines, export
 from millrace.engine.page import profile
 from millrace.engine.session import shared_dir, table
 from millrace.engine.sql import prepare
@@ -92,6 +92,27 @@ def source_json(spark, d):
     return jsons.read(spark, path)
 
 
+@query("SELECT doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars, pack, path, created_at FROM documents")
+def source_csv_documents(spark, d):
+    """All documents exported by a task as text with quoted line ends, and read again with the types found over all rows."""
+    path = _place(spark, "documents.csv")
+    table(spark, d, "documents").createOrReplaceTempView("m_documents")
+    export(spark, "SELECT doc_id, text, lang, source, n_chars, pack, path, created_at FROM m_documents", os.path.dirname(path), os.path.basename(path))
+    return delimited.read(spark, path)
+
+
+@query("SELECT doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars, pack, path, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM documents")
+def source_json_documents(spark, d):
+    """All documents written as JSON lines by a task, and read again in splits, with the types merged over all lines."""
+    path = _place(spark, "documents.ndjson")
+    stamp = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars", "pack", "path", stamp)
+    docs.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(f"{path}.parts")
+    parts = [x for x in os.listdir(f"{path}.parts") if x.startswith("part-")]
+    os.rename(f"{path}.parts/{parts[0]}", path)
+    return jsons.read(spark, path)
+
+
 @query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a', CAST('NaN' AS DOUBLE)), (2, NULL, 0.5)) t(k, v, x)")
 def source_inline(spark, d):
     return inline.table(spark, [[1, "a", "NaN"], {"k": "2", "x": 0.5}], [{"name": "k", "type": "int64"}, "v", {"name": "x", "type": "float64"}])[0]

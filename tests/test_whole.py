@@ -64,3 +64,19 @@ def test_sessions_of_the_stream(spark, tmp_path, monkeypatch):
     assert seen == [True]
     assert got == {1: (5, 2), 2: (1, 1), 3: (4, 2)}
     assert {u: (n, s) for u, n, s in duck(tmp_path, "stream_sessions", "events")} == got
+
+
+def test_sources_read_all_documents(spark, tmp_path):
+    texts = ["a, \"b\"; c\n\n|d\t\\n \\", "", None, " edge ", "\xe9\u2028\u3042\U0001f600", "{}", "12", "[1]\n"]
+    n = len(texts) * 500
+    rows = [(k, texts[k % len(texts)], "en", f"s/{k}", k if k % 3 else None, None, "p/a.py" if k % 5 else None, dt.datetime(2025, 1, 1, 0, 0, 0, k)) for k in range(n)]
+    rows.append((n, "last", "en", "12", 2**40, None, "true", None))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, pack string, path string, created_at timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("source_csv_documents", "source_json_documents"):
+        df = plans.all_queries()[name](spark, str(tmp_path))
+        stamp = (lambda t: t) if "csv" in name else lambda t: t and t.strftime("%Y-%m-%d %H:%M:%S.%f")  # noqa: B023
+        assert dict(df.dtypes)["n_chars"] == "bigint" and dict(df.dtypes)["text"] == "string"
+        got = sorted(map(tuple, df.collect()))
+        assert got == [(*r[:7], stamp(r[7])) for r in rows]
+        assert sorted(duck(tmp_path, name, "documents")) == got
