@@ -764,6 +764,7 @@ def damaged_lines(parts: list[Part], share: float = SHARE) -> DataFrame:
     Null texts give nothing; a record delivered twice gives its rows once. Lines in code fences and marker lines are
     never damaged. An empty input gives an empty table, texts too few for a lexicon only what needs none. Texts are read
     whole.
+    Only unaccented Latin text is supported: no word beyond ASCII is in the lexicon, and correct ones may count as misread.
     """
     df = records(parts)
     census = cut(_census(df))
@@ -788,7 +789,7 @@ def damaged_lines(parts: list[Part], share: float = SHARE) -> DataFrame:
 
 def repaired_texts(parts: list[Part], share: float = SHARE) -> DataFrame:
     """(record_type, record_id, text): every text corrected and reflowed into paragraphs. A record delivered twice gives
-    one row; null texts give none."""
+    one row; null texts give none. Only unaccented Latin text is supported, as in ``damaged_lines``."""
     df = records(parts)
     census = cut(_census(df))
     made = df.sparkSession.sparkContext.broadcast(reader(df, census, share))
