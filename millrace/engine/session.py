@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +52,47 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _remove(spark: SparkSession, place: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_at_exit(spark: SparkSession, place: str) -> None:
+    try:
+        _remove(spark, place)
+    except Exception:  # noqa: BLE001 - the session has ended; the folder's owner clears it
+        pass
+
+
+class Scratch:
+    """Tables written to the shared folder while an operator works; they are removed with it, but for what ``hand_over``
+    returns, which goes with the application.
+
+    A written table cuts the lineage like a checkpoint, and is columnar and compressed.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.place, self.count = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _remove(self.spark, self.place)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        return self._written(df, f"{self.place}/{self.count}")
+
+    def hand_over(self, df: DataFrame) -> DataFrame:
+        place = f"{shared_dir(self.spark)}/result-{uuid.uuid4().hex}"
+        out = self._written(df, place)
+        atexit.register(_remove_at_exit, self.spark, place)
+        return out
+
+    def _written(self, df: DataFrame, place: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)

@@ -158,9 +158,9 @@ def page_blocks(spark, d):
     return pages.content_kind(found, "doc_id")
 
 
-@query("SELECT doc_id, 'packs.example/' || lower(path) || '?id=' || doc_id AS key FROM documents WHERE path IS NOT NULL")
+@query("SELECT doc_id, 'pages.example/' || lower(path) || '?id=' || doc_id AS key FROM documents WHERE path IS NOT NULL")
 def page_url_keys(spark, d):
-    url = F.concat(F.lit("HTTPS://WWW.Packs.example/"), "path", F.lit("/?utm_medium=x&id="), F.col("doc_id").cast("string"), F.lit("&gclid=1"))
+    url = F.concat(F.lit("HTTPS://WWW.Pages.example/"), "path", F.lit("/?utm_medium=x&id="), F.col("doc_id").cast("string"), F.lit("&gclid=1"))
     return table(spark, d, "documents").where("path IS NOT NULL").select("doc_id", X.url_key(url).alias("key"))
 
 
