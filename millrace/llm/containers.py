@@ -25,7 +25,7 @@ from millrace.engine.session import cut
 
 CAPACITY = 2_048
 BLOCK = 2_048
-#: Tasks that pack blocks at most; beyond, a task packs several.
+#: Tasks that fill windows from blocks at most; beyond, a task takes several blocks.
 MOST_TASKS = 4_096
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
