@@ -33,6 +33,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("finding_a"), F.col("b").alias("finding_b"))
 
 
+def p2_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Every finding with words, and the least of those that have the same words."""
+    return neardup.members(table(spark, folder, "candidate_finding"), "finding_id", neardup.joined_text(*_FINDING_TEXT))
+
+
+def p2_class_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of such representatives."""
+    pairs = neardup.class_pairs(table(spark, folder, "candidate_finding"), "finding_id", neardup.joined_text(*_FINDING_TEXT))
+    return pairs.select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "candidate_finding"), "finding_id", neardup.joined_text(*_FINDING_TEXT))
 
@@ -113,6 +124,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
     "p2_found": p2_found,
+    "p2_members": p2_members,
+    "p2_class_pairs": p2_class_pairs,
     "p2_groups": p2_groups,
     "p2_document_groups": p2_document_groups,
     "p4_found": p4_found,
@@ -153,6 +166,20 @@ named AS (
     SELECT record_id, unnest(generate_series(least(a, b), greatest(a, b))) AS p FROM ends WHERE NOT (opened AND a > b)) GROUP BY record_id
   UNION ALL SELECT record_id, page_count FROM ocr_document WHERE file_format NOT IN ('xlsx', 'ods') AND coalesce(trim(pages), '') = '')"""
 
+_REACH = """
+reach(node, root) AS (SELECT a, a FROM edges UNION SELECT e.a, r.root FROM reach r JOIN edges e ON e.b = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+degree AS (SELECT a AS rep, count(*) AS links FROM edges GROUP BY a)"""
+
+_CLASSES = f"""
+sets AS (SELECT finding_id, list_sort(list_distinct({_WORDS.format("concat_ws(' ', coalesce(path, ''), coalesce(title, ''), coalesce(detail, ''), coalesce(evidence, ''))")})) AS w FROM candidate_finding WHERE finding_id IS NOT NULL),
+members AS (SELECT DISTINCT finding_id, min(finding_id) OVER (PARTITION BY w) AS rep, w FROM sets WHERE len(w) > 0),
+words AS (SELECT DISTINCT rep, len(w) AS n, unnest(w) AS t FROM members),
+class_pairs AS (
+  SELECT x.rep AS a, y.rep AS b, count(*) AS k, any_value(x.n) + any_value(y.n) - count(*) AS whole FROM words x JOIN words y ON x.t = y.t AND x.rep < y.rep
+  GROUP BY 1, 2 HAVING 10 * count(*) >= 6 * whole),
+edges AS (SELECT a, b FROM class_pairs UNION ALL SELECT b, a FROM class_pairs)"""
+
 _ALIKE = f"""
 sets AS (SELECT DISTINCT finding_id, {_WORDS.format("concat_ws(' ', coalesce(path, ''), coalesce(title, ''), coalesce(detail, ''), coalesce(evidence, ''))")} AS w FROM candidate_finding),
 tokens AS (SELECT DISTINCT finding_id, unnest(w) AS t FROM sets),
@@ -164,6 +191,12 @@ alike AS (
 
 SQL: dict[str, str] = {
     "p2_found": f"WITH {_ALIKE} SELECT finding_a, finding_b FROM alike",
+    "p2_members": f"WITH {_CLASSES} SELECT finding_id, rep AS representative FROM members",
+    "p2_class_pairs": f"WITH {_CLASSES} SELECT a, b, round(k / whole, 9) AS similarity FROM class_pairs",
+    "p2_groups": f"""
+WITH RECURSIVE {_CLASSES}, {_REACH}, sized AS (SELECT rep, count(*) AS n FROM members GROUP BY rep)
+SELECT finding_id, coalesce(root, rep) AS group_id, coalesce(links, 0) AS links
+FROM members JOIN sized USING (rep) LEFT JOIN roots ON node = rep LEFT JOIN degree USING (rep) WHERE root IS NOT NULL OR n > 1""",
     "p4_found": f"""
 WITH {_NAMED_PAGES},
 cursors AS (
