@@ -66,8 +66,10 @@ def _matched(x: str, y: str) -> bool:
 class Lexicon:
     """The frequent words of a corpus and what rare words may be read as."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
+    def __init__(self, counts: dict[str, int], known: dict[str, tuple[str, ...]] | None = None) -> None:
+        """known: readings of rare words that their contexts have settled."""
         self.counts = counts
+        self.known = known or {}
         self.words = set(counts)
         self.by_shape: dict[str, list[str]] = {}
         self.by_deletion: dict[str, list[str]] = {}
@@ -92,7 +94,13 @@ class Lexicon:
         self.memo: dict[str, tuple[str, ...]] = {}
 
     def links(self, word: str) -> tuple[str, ...]:
-        """Frequent words that a rare word could be misread from, best first: of its shape, or one stroke from it."""
+        """Frequent words that a rare word is a plausible misreading of, best first: neighbours in the vector space where
+        the word's contexts are known."""
+        got = self.known.get(word)
+        return self.edits(word) if got is None else got
+
+    def edits(self, word: str) -> tuple[str, ...]:
+        """Frequent words of a word's shape or one stroke from it, most frequent first, whatever the contexts."""
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) > 500_000:
@@ -111,15 +119,15 @@ class Lexicon:
 def train_vectors(pairs: np.ndarray, size: int = 32, negatives: int = 5, rounds: int = 60, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(word vectors, context vectors) of skip-gram with negative sampling.
 
-    pairs[i, j] counts how often word j is within the window of word i. The objective is that of stochastic training,
-    summed over all pairs, with the expected instead of drawn negatives; it is followed by full gradients with adaptive
-    steps, so the result depends on no order of the text.
+    pairs[i, j] counts how often context word j is within the window of word i; the contexts are the first of the words.
+    The objective is that of stochastic training, summed over all pairs, with the expected instead of drawn negatives; it
+    is followed by full gradients with adaptive steps, so the result depends on no order of the text.
     """
-    n = len(pairs)
+    n, v = pairs.shape
     if not n:
-        return np.zeros((0, size)), np.zeros((0, size))
+        return np.zeros((0, size), np.float32), np.zeros((0, size), np.float32)
     rng = np.random.default_rng(seed)
-    w, c = (rng.normal(0, 0.1, (n, size)).astype(np.float32) for _ in range(2))
+    w, c = (rng.normal(0, 0.1, (k, size)).astype(np.float32) for k in (n, v))
     total = max(1.0, float(pairs.sum()))
     row, col = pairs.sum(1), pairs.sum(0).astype(np.float64) ** 0.75
     push = (negatives * row[:, None] * (col / max(col.sum(), 1e-9))[None] / total).astype(np.float32)
@@ -131,10 +139,10 @@ def train_vectors(pairs: np.ndarray, size: int = 32, negatives: int = 5, rounds:
     for t in range(1, rounds + 1):
         s = 1 / (1 + np.exp(-np.clip(w @ c.T, -15, 15)))
         g = pull * (s - 1) + push * s
-        for x, grad, m, v in ((w, g @ c, state[0], state[1]), (c, g.T @ w, state[2], state[3])):
+        for x, grad, m, v2 in ((w, g @ c, state[0], state[1]), (c, g.T @ w, state[2], state[3])):
             m *= 0.9
             m += 0.1 * grad
-            v *= 0.99
-            v += 0.01 * grad * grad
-            x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+            v2 *= 0.99
+            v2 += 0.01 * grad * grad
+            x -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v2 / (1 - 0.99**t)) + 1e-9)
     return w, c

@@ -2,7 +2,9 @@
 
 1. The words of all texts are counted (fragments at line breaks left out). Words above a share of all, so a number
    bounded by that share, are the lexicon.
-2. Skip-gram vectors of the lexicon are trained on the pair counts of all texts.
+2. Skip-gram vectors of the lexicon are trained on the pair counts of all texts. A rare word has the sum of the context
+   vectors where it stands; it is linked with those frequent words near it in the vector space that a plausible
+   misreading turns into it. (The two conditions are tested in the cheaper order, the edit first.)
 3. Lines at the edges of pages are compared over the pages of their source by their shapes, with aggregates over
    (source, shape) only, so that a source of any size is spread: they give headers, footers and page labels.
 4. Every record is then read on its own: rare words are linked with frequent ones by plausible misreadings, broken and
@@ -22,15 +24,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.engine.session import cut
+from millrace.engine.session import Scratch
 from millrace.llm.glyphs import Lexicon, folded, train_vectors
 
 #: A word of the lexicon makes up at least this share of all words; so the lexicon has at most 5,000.
 SHARE = 2e-4
 LEAST = 3
-#: Words with vectors, the most frequent first, and the window of a pair.
+#: A rare word of at least this share of all words has a vector of its own, from all its contexts; so at most a million.
+#: A rarer one is linked by its shape alone, and judged where it stands.
+RARE_SHARE = 1e-6
+#: Words that are contexts, the most frequent first; the window of a pair; and how many neighbours a rare word has.
 VECTOR_WORDS = 2_048
 WINDOW = 2
+NEAREST = 256
 #: Lines at either edge of a page that may be furniture, and how many characters and words they have at most (a page
 #: number may be set apart by a few blanks).
 EDGE, EDGE_CHARS, EDGE_WORDS = 2, 72, 9
@@ -56,11 +62,11 @@ class Line:
 def lines_of(text: str, page: int | None) -> list[Line]:
     out, fenced = [], False
     for i, t in enumerate(text.split("\n"), 1):
-        m = _MARKER.match(t)
+        m = _MARKER.match(t) if t[:4] == "<!--" else None
         if m:
             page, fenced = int(m[1]), False
             out.append(Line(i, t, page, "marker"))
-        elif _FENCE.match(t):
+        elif ("`" in t or "~" in t) and _FENCE.match(t):
             fenced = not fenced
             out.append(Line(i, t, page, "fence"))
         else:
@@ -68,6 +74,7 @@ def lines_of(text: str, page: int | None) -> list[Line]:
     return out
 
 
+_ANY_BREAK = re.compile(rf"[{BREAKS}][ \t\r]*(?:\n|$)")
 _CUT_WORD = re.compile(rf"[{BREAKS}][ \t\r]*\n\s*(\S+)")
 
 
@@ -237,8 +244,8 @@ _PARTS = re.compile(r"[_/\\.,;:()\[\]{}<>\"'`&+=*#%@!?]+")
 class Reader:
     """Finds and corrects the damage of one record at a time."""
 
-    def __init__(self, counts: dict[str, int], index: dict[str, int], words: np.ndarray, contexts: np.ndarray) -> None:
-        self.lexicon = Lexicon(counts)
+    def __init__(self, counts: dict[str, int], index: dict[str, int], words: np.ndarray, contexts: np.ndarray, known: dict[str, tuple[str, ...]] | None = None) -> None:
+        self.lexicon = Lexicon(counts, known)
         self.index, self.vectors, self.contexts = index, words, contexts
         self.judged: dict[str, tuple[bool, str]] = {}
         #: Tokens as they stand, marks included, that need no second look.
@@ -260,10 +267,22 @@ class Reader:
                     self.fine.add(t)
         return self.firsts.isdisjoint(tokens)
 
+    def clean(self, text: str) -> bool:
+        """Whether a whole text is without any token that could be damaged and any broken line."""
+        tokens = set(text.split())
+        if not self.fine.issuperset(tokens):
+            for t in tokens - self.fine:
+                core = t.strip(_MARKS).lower()
+                good, kind = self.word(core)
+                if not good or kind == "single":
+                    return False
+                self.fine.add(t)
+        return self.firsts.isdisjoint(tokens) and not _ANY_BREAK.search(text)
+
     def likely(self, candidate: str, around: list[str]) -> float:
         """How well a word fits between its neighbours: the mean predicted log-odds, from the vectors."""
         i = self.index.get(candidate)
-        near = [self.index[w] for w in around if w in self.index]
+        near = [j for w in around if (j := self.index.get(w, -1)) >= 0 and j < len(self.contexts)]
         if i is None or not near:
             return 0.0
         return float((self.contexts[near] @ self.vectors[i]).mean())
@@ -271,7 +290,7 @@ class Reader:
     def best(self, candidates: tuple[str, ...], around: list[str]) -> str:
         if len(candidates) == 1:
             return candidates[0]
-        return max(candidates[:8], key=lambda w: (self.likely(w, around) + 0.25 * np.log(self.lexicon.counts[w]), w))
+        return max(candidates, key=lambda w: (self.likely(w, around) + 0.25 * np.log(self.lexicon.counts[w]), w))
 
     def word(self, core: str) -> tuple[bool, str]:
         """(fine, kind) of a bare lower-cased token; kind ``unknown`` when nothing frequent is like it."""
@@ -481,14 +500,14 @@ class Reader:
     def parted(self, a: str, b: str) -> bool:
         """Whether two frequent words in a row are rather one word with a blank in it."""
         i, j = self.index.get(a), self.index.get(b)
-        if i is None or j is None:
+        if i is None or j is None or j >= len(self.contexts):
             return True
         return float(self.vectors[i] @ self.contexts[j]) < 0
 
     def unknown_counts(self, core: str) -> bool:
         """Unlinked rare words are damage when digits or signs are mixed into their letters, or when most of their shape
         begins or ends frequent words: two misreadings in one."""
-        if re.search(r"[a-z]\d[a-z]|\d[a-z]{2,}|[a-z]{2,}\d", core) or not core.isascii():
+        if re.search(r"[a-z]\d[a-z]|\d[a-z]{2,}|[a-z]{2,}\d", core) :
             return True
         shape = folded(core)
         near = sum(shape[:n] in self._shape_starts for n in range(3, len(shape) + 1))
@@ -507,14 +526,15 @@ class Reader:
             self._se = {folded(w)[-i:] for w in self.lexicon.words for i in range(3, len(w) + 1)}
         return self._se
 
-    def repair(self, lines: list[Line], furniture: frozenset[int] = frozenset(), finished: bool = True) -> str:
-        """The text corrected, without furniture and markers, in paragraphs of one line each. Code, lists, headings and
-        rows of tables keep their lines; a paragraph goes on over a page end where its sentence does."""
+    def repair(self, lines: list[Line], furniture: frozenset[int] = frozenset(), finished: bool = True) -> tuple[str, str | None]:
+        """(the text corrected, without furniture and markers, in paragraphs of one line each; the beginning of the word
+        that is broken at its end). Code, lists, headings and rows of tables keep their lines; a paragraph goes on over a
+        page end where its sentence does."""
         wrong: dict[int, list[tuple[str, int, int, str]]] = {}
         for no, kind, a, b, fix in self.damage(lines, furniture, finished):
             wrong.setdefault(no, []).append((kind, a, b, fix))
         blocks: list[str] = []
-        open_, glue, pending, turned = False, " ", "", False
+        open_, glue, pending, turned, part = False, " ", "", False, None
         for line in lines:
             if line.kind in ("fence", "code"):
                 blocks, open_ = self._put(blocks, line.text, line.kind == "code" and bool(blocks)), False
@@ -548,11 +568,12 @@ class Reader:
                 blocks.append(text.strip() if not starts else text)
             m = _BROKEN.search(line.text)
             pending, glue, open_, turned = whole if broken and self.follows(lines, line) else "", "" if m else " ", True, False
-        return "\n\n".join(b for b in blocks if b)
+            part = text.split()[-1] if broken and not self.follows(lines, line) and text.split() else None
+        return "\n\n".join(b for b in blocks if b), part
 
     @staticmethod
     def follows(lines: list[Line], line: Line) -> bool:
-        return any(x.kind == "text" and x.no > line.no for x in lines)
+        return any(x.kind == "text" for x in lines[line.no :])
 
     @staticmethod
     def _put(blocks: list[str], text: str, go_on: bool) -> list[str]:
@@ -662,49 +683,71 @@ def rims(text: str) -> list[str]:
 
 #: Sources whose headers begin or end alike before the wording counts as a header's in any source.
 COMMON_SOURCES = 5
+#: Pages from one line of a wording to the next, on average, up to which it is repeated: chapters of a long source have
+#: headers of their own, while like lines of its text are far between.
+APART = 40
 
 
 def furniture(edges: DataFrame) -> DataFrame:
-    """(record_type, record_id, line_no, damage): headers and footers (``running``) and page labels (``pageno``)."""
-    at = ["record_type", "record_id", "line_no"]
+    """(record_type, record_id, line_no, damage): headers and footers (``running``) and page labels (``pageno``).
+
+    edges must be a written table, as its rows are numbered here. Wordings and labels travel as hashes with their source,
+    and are aggregated over it before they meet the lines again.
+    """
+    edges = edges.withColumn("row_", F.monotonically_increasing_id())
     lines = edges.where("form IS NULL")
-    keyed = lines.select(*at, "source", "page", F.explode("keys").alias("key"))
-    whole = keyed.where(~F.col("key").rlike("^[<>]"))
-    repeated = whole.groupBy("source", "key").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("source", "key")
-    known = whole.join(repeated, ["source", "key"], "left_semi").select(*at).distinct()
-    rim = keyed.where(F.col("key").rlike("^[<>]"))
-    wording = rim.join(known, at, "left_semi").select("key", "source").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_SOURCES).select("key")
-    alike = rim.join(wording, "key", "left_semi").select(*at)
-    running = known.unionByName(alike).unionByName(lines.where("titled").select(*at)).distinct()
-
-    labels = edges.where("form IS NOT NULL").withColumn("offset", F.col("number") - F.col("page"))
-    steps = labels.groupBy("source", "form", "top", "offset").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a < b").select("source", "form", "top", "offset")
-    steady = labels.join(steps, ["source", "form", "top", "offset"], "left_semi").select(*at, "source", "page", "top", "rank", "form")
+    close = F.col("b") - F.col("a") <= APART * (F.col("n") - 1)
+    pages = lambda g: g.agg(F.min("page").alias("a"), F.max("page").alias("b"), F.count(F.lit(1)).alias("n")).where((F.col("a") < F.col("b")) & close)
+    keyed = lines.select("row_", "source", "page", F.explode("keys").alias("key"))
+    whole = keyed.where(~F.col("key").rlike("^[<>]")).select("row_", "page", F.xxhash64("source", "key").alias("key"))
+    known = whole.join(pages(whole.groupBy("key")).select("key").hint("merge"), "key", "left_semi").select("row_").distinct()
+    rim = keyed.where(F.col("key").rlike("^[<>]")).select("row_", F.xxhash64("source").alias("source"), F.xxhash64("key").alias("key"))
+    wording = rim.join(known.hint("merge"), "row_", "left_semi").select("key", "source").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_SOURCES).select("key")
+    alike = rim.join(wording.hint("merge"), "key", "left_semi").select("row_")
+    running = known.unionByName(alike).unionByName(lines.where("titled").select("row_")).distinct()
+
+    labels = edges.where("form IS NOT NULL").withColumn("step", F.xxhash64("source", "form", "top", F.col("number") - F.col("page")))
+    steady = labels.join(pages(labels.groupBy("step")).select("step").hint("merge"), "step", "left_semi").select("row_")
     # A label stands at the very edge, or next to furniture that does.
-    outer = running.join(edges.select(*at, "page", "top", "rank"), at).where("rank = 0").select("record_type", "record_id", "page", "top").distinct()
+    spot = F.xxhash64("record_type", "record_id", F.coalesce("page", F.lit(-1)), "top").alias("spot")
+    outer = edges.where("rank = 0 AND form IS NULL").select("row_", spot).join(running.hint("merge"), "row_", "left_semi").select("spot")
     loose = labels.where(~F.col("guarded"))
-    inner = loose.where("rank = 1").alias("l").join(
-        outer.alias("o"),
-        (F.col("l.record_type") == F.col("o.record_type")) & (F.col("l.record_id") == F.col("o.record_id")) & F.col("l.page").eqNullSafe(F.col("o.page")) & (F.col("l.top") == F.col("o.top")),
-        "left_semi",
-    )
-    pageno = steady.select(*at).unionByName(loose.where("rank = 0").select(*at)).unionByName(inner.select(*at)).distinct()
-    return running.withColumn("damage", F.lit("running")).unionByName(pageno.withColumn("damage", F.lit("pageno")))
+    inner = loose.where("rank = 1").select("row_", spot).join(outer.hint("merge"), "spot", "left_semi").select("row_")
+    pageno = steady.unionByName(loose.where("rank = 0").select("row_")).unionByName(inner)
+    # A line is one or the other: the forms are apart.
+    found = running.withColumn("damage", F.lit("running")).unionByName(pageno.distinct().withColumn("damage", F.lit("pageno")))
+    return edges.select("row_", "record_type", "record_id", "line_no").join(found.hint("merge"), "row_").select("record_type", "record_id", "line_no", "damage").distinct()
 
 
-def _lexicon(census: DataFrame, share: float) -> dict[str, int]:
-    words = census.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
+def _lexicon(words: DataFrame, share: float) -> tuple[dict[str, int], int]:
+    """(frequent words with their counts, how many words there are in all)."""
     total = words.agg(F.sum("n")).first()[0] or 0
     rows = words.where(F.col("n") >= max(LEAST, share * total)).where(~F.col("word").rlike("^[0-9]+$")).collect()
-    return {r["word"]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"])) if r["word"].isascii()}
+    return {r["word"]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))}, total
+
+
+def _suspects(words: DataFrame, counts: dict[str, int], least: float) -> dict[str, tuple[str, ...]]:
+    """Rare words of at least ``least`` occurrences, so a number bounded by the share that is, which frequent words are
+    plausible readings of."""
+    shared = words.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(shared.value)
+        for b in batches:
+            found = [(w, list(e)) for w in b["word"] if w not in lexicon.words and (e := lexicon.edits(w))]
+            yield pd.DataFrame(found, columns=["word", "edits"])
 
+    rows = words.where((F.col("n") >= least) & ~F.col("word").rlike("^[0-9]+$")).select("word").mapInPandas(run, "word string, edits array<string>").collect()
+    return {r["word"]: tuple(r["edits"]) for r in sorted(rows, key=lambda r: r["word"])}
 
-def _vectors(df: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Skip-gram vectors from the pair counts of all texts. A task gives one row of counts per word."""
-    v = len(index)
+
+def _pair_counts(df: DataFrame, index: dict[str, int], contexts: int) -> DataFrame:
+    """(pair, n): how often a context word stands within the window of a word, pair being word number * contexts +
+    context number. Only pairs that occur are counted, added up in each task and again before the shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(v * v, np.int64)
+        index = shared.value
 
         class Ids(dict):
             def __missing__(self, token: str) -> int:
@@ -716,46 +759,82 @@ def _vectors(df: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np.ndarr
 
         ids = Ids()
 
-        def add(tokens: list[str]) -> None:
+        def pairs(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
             g = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+            out = []
             for o in range(1, WINDOW + 1):
-                a, b = g[:-o], g[o:]
-                k = (a >= 0) & (b >= 0)
-                np.add(total, np.bincount(a[k] * v + b[k], minlength=v * v), out=total)
+                for a, b in ((g[:-o], g[o:]), (g[o:], g[:-o])):
+                    k = (a >= 0) & (b >= 0) & (b < contexts)
+                    out.append(a[k] * contexts + b[k])
+            return np.unique(np.concatenate(out), return_counts=True)
+
+        def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
-        held: list[str] = []
+        total, held = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
         for b in batches:
             for text in b["text"]:
                 held += text.split()
                 if len(held) > 500_000:
-                    add(held)
-                    held = []
-        add(held)
-        rows = total.reshape(v, v)
-        some = np.flatnonzero(rows.any(1))
-        yield pd.DataFrame({"i": some.astype(np.int32), "row": [rows[i].astype(np.int32).tobytes() for i in some]})
-
-    def merged(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(v, np.int64)
-        for r in g["row"]:
-            r = np.frombuffer(r, np.int32 if len(r) == 4 * v else np.int64)
-            total += r
-        return pd.DataFrame({"i": [g["i"].iloc[0]], "row": [total.tobytes()]})
-
-    if not v:
-        return train_vectors(np.zeros((0, 0)))
-    pairs = np.zeros((v, v))
-    for r in df.select("text").mapInPandas(run, "i int, row binary").groupBy("i").applyInPandas(merged, "i int, row binary").collect():
-        pairs[r["i"]] = np.frombuffer(r["row"], np.int64)
-    return train_vectors(pairs + pairs.T)
-
-
-def reader(df: DataFrame, census: DataFrame, share: float = SHARE) -> tuple:
-    """What a ``Reader`` is made of: the lexicon, at most 1/share words, and their vectors, at most ``VECTOR_WORDS``."""
-    counts = _lexicon(census, share)
-    index = {w: i for i, w in enumerate(list(counts)[:VECTOR_WORDS])}
-    w, c = _vectors(df, index)
-    return counts, index, w, c
+                    total, held = added([total, pairs(held)]), []
+            if len(total[0]) > 2_000_000:
+                yield pd.DataFrame({"pair": total[0], "n": total[1]})
+                total = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        total = added([total, pairs(held)])
+        yield pd.DataFrame({"pair": total[0], "n": total[1]})
+
+    return df.select("text").mapInPandas(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def neighbours(u: np.ndarray, vectors: np.ndarray, most: int = NEAREST) -> np.ndarray:
+    """Numbers of the frequent words that fit best where a rare word stands; u is the sum of the context vectors there."""
+    fit = vectors @ u
+    return np.argsort(-fit, kind="stable")[:most] if len(fit) > most else np.arange(len(fit))
+
+
+def _settled(rows: DataFrame, suspects: dict[str, tuple[str, ...]], index: dict[str, int], vectors: np.ndarray, contexts: np.ndarray) -> dict[str, tuple[str, ...]]:
+    """For each suspect with contexts: those of its plausible readings that are among its neighbours in the vector space,
+    nearest first. rows: its (pair, n)."""
+    sc = rows.sparkSession.sparkContext
+    names = list(suspects)
+    first, v = len(vectors), len(contexts)
+    shared = sc.broadcast((names, suspects, index, vectors, contexts))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, suspects, index, vectors, contexts = shared.value
+        for b in batches:
+            out = []
+            for word, js, ns in zip(b["word"], b["js"], b["ns"]):
+                name = names[word - first]
+                u = np.asarray(ns, np.float32) @ contexts[np.asarray(js, np.int64)] / max(1, sum(ns))
+                near = {int(i): k for k, i in enumerate(neighbours(u, vectors))}
+                out.append((name, sorted((w for w in suspects[name] if index[w] in near), key=lambda w: near[index[w]])))
+            yield pd.DataFrame(out, columns=["name", "links"])
+
+    # At most as many pairs a word as there are contexts.
+    each = rows.select((F.expr(f"pair div {max(v, 1)}")).alias("word"), (F.col("pair") % max(v, 1)).alias("j"), "n").groupBy("word").agg(F.collect_list("j").alias("js"), F.collect_list("n").alias("ns"))
+    return {r["name"]: tuple(r["links"]) for r in each.mapInPandas(run, "name string, links array<string>").collect()}
+
+
+def reader(scratch: Scratch, df: DataFrame, census: DataFrame, share: float = SHARE) -> tuple:
+    """What a ``Reader`` is made of: the lexicon, at most 1/share words, with vectors; the context vectors of the first
+    ``VECTOR_WORDS``; and the rare words that their vectors link with frequent ones, at most 1/``RARE_SHARE``."""
+    words = scratch.keep(census.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
+    counts, total = _lexicon(words, share)
+    suspects = _suspects(words, counts, max(LEAST, RARE_SHARE * total)) if counts else {}
+    index = {w: i for i, w in enumerate(counts)}
+    v = min(len(index), VECTOR_WORDS)
+    pairs = np.zeros((len(index), v), np.float32)
+    known: dict[str, tuple[str, ...]] = {}
+    if v:
+        rows = scratch.keep(_pair_counts(df, index | {w: len(index) + i for i, w in enumerate(suspects)}, v))
+        own = rows.where(F.col("pair") < len(index) * v).toArrow()
+        pairs.ravel()[own["pair"].to_numpy()] = own["n"].to_numpy()
+    vectors, contexts = train_vectors(pairs)
+    if suspects:
+        known = _settled(rows.where(F.col("pair") >= len(index) * v), suspects, index, vectors, contexts)
+    return counts, index, vectors, contexts, known
 
 
 def damaged_lines(parts: list[Part], share: float = SHARE) -> DataFrame:
@@ -763,46 +842,74 @@ def damaged_lines(parts: list[Part], share: float = SHARE) -> DataFrame:
 
     Null texts give nothing; a record delivered twice gives its rows once. Lines in code fences and marker lines are
     never damaged. An empty input gives an empty table, texts too few for a lexicon only what needs none. Texts are read
-    whole.
-    Only unaccented Latin text is supported: no word beyond ASCII is in the lexicon, and correct ones may count as misread.
+    whole. A word beyond ASCII is judged as any other: by whether it is frequent, or linked with a frequent one.
     """
     df = records(parts)
-    census = cut(_census(df))
-    made = df.sparkSession.sparkContext.broadcast(reader(df, census, share))
-    fixed = furniture(census.where("word IS NULL"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Reader(*made.value)
-        for b in batches:
-            rows = []
-            for kind, key, page, text, finished, paged in zip(b["record_type"], b["record_id"], b["page"], b["text"], b["finished"], b["paged"]):
-                lines = lines_of(text, None if pd.isna(page) else int(page))
-                found = {(no, d) for no, d, *_ in r.damage(lines, None if paged else frozenset(), bool(finished))}
-                rows += [(kind, key, no, d) for no, d in found]
-            yield pd.DataFrame(rows, columns=["record_type", "record_id", "line_no", "damage"])
-
-    lines = df.mapInPandas(run, "record_type string, record_id bigint, line_no bigint, damage string").distinct()
-    at = ["record_type", "record_id", "line_no"]
-    fixed = fixed.groupBy(*at).agg(F.max("damage").alias("damage"))
-    return lines.join(fixed.select(*at), at, "left_anti").unionByName(fixed)
+    spark = df.sparkSession
+    with Scratch(spark) as scratch:
+        census = scratch.keep(_census(df))
+        made = spark.sparkContext.broadcast(reader(scratch, df, census, share))
+        fixed = furniture(census.where("word IS NULL"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            r = Reader(*made.value)
+            for b in batches:
+                rows = []
+                for kind, key, page, text, finished, paged in zip(b["record_type"], b["record_id"], b["page"], b["text"], b["finished"], b["paged"]):
+                    if r.clean(text):
+                        continue
+                    lines = lines_of(text, None if pd.isna(page) else int(page))
+                    found = {(no, d) for no, d, *_ in r.damage(lines, None if paged else frozenset(), bool(finished))}
+                    rows += [(kind, key, no, d) for no, d in found]
+                yield pd.DataFrame(rows, columns=["record_type", "record_id", "line_no", "damage"])
+
+        lines = df.mapInPandas(run, "record_type string, record_id bigint, line_no bigint, damage string").distinct()
+        at = ["record_type", "record_id", "line_no"]
+        # One pass over the texts gives the lines; furniture goes before what is read in it.
+        every = lines.withColumn("fixed", F.lit(False)).unionByName(fixed.withColumn("fixed", F.lit(True)))
+        every = every.groupBy(*at).agg(F.max("fixed").alias("fixed"), F.max(F.when(F.col("fixed"), F.col("damage"))).alias("one"), F.collect_set("damage").alias("several"))
+        return scratch.hand_over(every.select(*at, F.explode(F.when(F.col("fixed"), F.array("one")).otherwise(F.col("several"))).alias("damage")))
+
+
+_ENDS = "record_type string, record_id bigint, source string, page int, text string, part string, first string, goes_on boolean, open boolean"
 
 
 def repaired_texts(parts: list[Part], share: float = SHARE) -> DataFrame:
-    """(record_type, record_id, text): every text corrected and reflowed into paragraphs. A record delivered twice gives
-    one row; null texts give none. Only unaccented Latin text is supported, as in ``damaged_lines``."""
-    df = records(parts)
-    census = cut(_census(df))
-    made = df.sparkSession.sparkContext.broadcast(reader(df, census, share))
-    at = ["record_type", "record_id"]
-    drop = furniture(census.where("word IS NULL")).groupBy(*at).agg(F.collect_set("line_no").alias("drop"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Reader(*made.value)
-        for b in batches:
-            rows = []
-            for kind, key, page, text, finished, gone in zip(b["record_type"], b["record_id"], b["page"], b["text"], b["finished"], b["drop"]):
-                lines = lines_of(text, None if pd.isna(page) else int(page))
-                rows.append((kind, key, r.repair(lines, frozenset() if gone is None else frozenset(gone), bool(finished))))
-            yield pd.DataFrame(rows, columns=["record_type", "record_id", "text"])
+    """(record_type, record_id, text, continues): every text corrected and reflowed into paragraphs.
 
-    return df.join(drop, at, "left").mapInPandas(run, "record_type string, record_id bigint, text string").distinct()
+    A page of a source goes on where the page before ended: a word broken over the page end is put together on the page
+    it begins, and ``continues`` tells that a text's first paragraph belongs to the last one of the page before, so that
+    the pages of a source in order, joined with a blank or else a blank line, are continuous text. Where two records
+    hold one page, its text goes on with that of the lesser id. A record delivered twice gives one row; null texts give
+    none.
+    """
+    df = records(parts)
+    spark = df.sparkSession
+    with Scratch(spark) as scratch:
+        census = scratch.keep(_census(df))
+        made = spark.sparkContext.broadcast(reader(scratch, df, census, share))
+        at = ["record_type", "record_id"]
+        drop = furniture(census.where("word IS NULL")).groupBy(*at).agg(F.collect_set("line_no").alias("drop"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            r = Reader(*made.value)
+            for b in batches:
+                rows = []
+                for kind, key, source, page, text, finished, gone in zip(b["record_type"], b["record_id"], b["source"], b["page"], b["text"], b["finished"], b["drop"]):
+                    lines = lines_of(text, None if pd.isna(page) else int(page))
+                    fixed, part = r.repair(lines, frozenset() if gone is None else frozenset(gone), bool(finished))
+                    head = re.match(r"([^\W_]+)[.,;:!?)]*(?:\s|$)", fixed)
+                    rows.append((kind, key, source, page, fixed, part, head[1] if head and head[1][0].islower() else None, bool(re.match(r"[a-z]", fixed)), fixed[-1:] not in ".!?:" and not _LIST.match(fixed[fixed.rfind("\n") + 1 :])))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ENDS.split(", ")]).astype({"page": "Int32"})
+
+        single = scratch.keep(df.join(drop.hint("merge"), at, "left").mapInPandas(run, _ENDS).dropDuplicates(at))
+        here = ["record_type", "source", "page"]
+        ends = single.where("page IS NOT NULL").groupBy(*here).agg(F.min(F.struct("record_id", "part", "first", "goes_on", "open")).alias("s")).select(*here, "s.*")
+        before = ends.select("record_type", "source", (F.col("page") + 1).alias("page"), F.col("part").alias("part_before"), F.col("open").alias("open_before"))
+        after = ends.select("record_type", "source", (F.col("page") - 1).alias("page"), F.col("first").alias("first_after"))
+        out = single.join(before.hint("merge"), here, "left").join(after.hint("merge"), here, "left")
+        whole = F.col("part").isNotNull() & F.col("first_after").isNotNull()
+        rest = F.col("part_before").isNotNull() & F.col("first").isNotNull()
+        text = F.when(rest, F.regexp_replace("text", r"^\S+\s*", "")).otherwise(F.col("text"))
+        text = F.when(whole, F.concat(text, "first_after")).otherwise(text)
+        return scratch.hand_over(out.select(*at, text.alias("text"), F.coalesce(rest | F.col("open_before") & F.col("goes_on"), F.lit(False)).alias("continues")))
