@@ -16,6 +16,9 @@ LETTERS = str.maketrans(
 )
 PAIRS = ("ll", "u"), ("rn", "m"), ("rl", "n"), ("nn", "m"), ("el", "d"), ("yy", "w")
 
+#: Words drawn by chance for each pair of the skip-gram objective.
+NEGATIVES = 5
+
 
 def plain(word: str) -> str:
     """Lower case, without accents and ligatures."""
@@ -116,7 +119,7 @@ class Lexicon:
         return got
 
 
-def train_vectors(pairs: np.ndarray, size: int = 32, negatives: int = 5, rounds: int = 60, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def train_vectors(pairs: np.ndarray, size: int = 32, negatives: int = NEGATIVES, rounds: int = 60, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(word vectors, context vectors) of skip-gram with negative sampling.
 
     pairs[i, j] counts how often context word j is within the window of word i; the contexts are the first of the words.

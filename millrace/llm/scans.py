@@ -25,18 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.engine.session import Scratch
-from millrace.llm.glyphs import Lexicon, folded, train_vectors
+from millrace.llm.glyphs import NEGATIVES, Lexicon, folded, train_vectors
 
 #: A word of the lexicon makes up at least this share of all words; so the lexicon has at most 5,000.
 SHARE = 2e-4
 LEAST = 3
 #: A rare word of at least this share of all words has a vector of its own, from all its contexts; so at most a million.
-#: A rarer one is linked by its shape alone, and judged where it stands.
+#: A rarer one is linked by its shape alone.
 RARE_SHARE = 1e-6
-#: Words that are contexts, the most frequent first; the window of a pair; and how many neighbours a rare word has.
+#: Words that are contexts, the most frequent first; and the window of a pair.
 VECTOR_WORDS = 2_048
 WINDOW = 2
-NEAREST = 256
+#: A rare word's contexts tell against a reading when their log-odds are less than UNLIKE on average, and than -DOUBT in all.
+UNLIKE, DOUBT = -1.0, 10.0
 #: Lines at either edge of a page that may be furniture, and how many characters and words they have at most (a page
 #: number may be set apart by a few blanks).
 EDGE, EDGE_CHARS, EDGE_WORDS = 2, 72, 9
@@ -312,6 +313,9 @@ class Reader:
             return (True, "") if all(self.word(p)[0] for p in parts) else (False, "parts")
         if lex.links(core):
             return False, "linked"
+        if core in lex.known and core.isalpha():
+            # It looks like a frequent word, but stands where that one doesn't.
+            return True, ""
         if "-" in core:
             parts = [p for p in core.split("-") if p]
             if len(parts) > 1 and all(p in lex.parts or p in lex.words or p.isdigit() for p in parts) and not core.startswith("-") and not core.endswith("-"):
@@ -775,7 +779,8 @@ def _pair_counts(df: DataFrame, index: dict[str, int], contexts: int) -> DataFra
         total, held = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
         for b in batches:
             for text in b["text"]:
-                held += text.split()
+                held += without_fragments(text).split()
+                held.append("|")
                 if len(held) > 500_000:
                     total, held = added([total, pairs(held)]), []
             if len(total[0]) > 2_000_000:
@@ -787,15 +792,28 @@ def _pair_counts(df: DataFrame, index: dict[str, int], contexts: int) -> DataFra
     return df.select("text").mapInPandas(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def neighbours(u: np.ndarray, vectors: np.ndarray, most: int = NEAREST) -> np.ndarray:
-    """Numbers of the frequent words that fit best where a rare word stands; u is the sum of the context vectors there."""
-    fit = vectors @ u
-    return np.argsort(-fit, kind="stable")[:most] if len(fit) > most else np.arange(len(fit))
+def without_fragments(text: str) -> str:
+    """The text with the pieces of words broken at line ends replaced by a sign that is no word."""
+    out, at = [], 0
+    for m in _CUT_WORD.finditer(text, 1):
+        if text[m.start() - 1].isalnum() and m.start() > at:
+            left = text[max(at, m.start() - 200) : m.start()]
+            out.append(text[at : m.start() - len(left.split()[-1])] if left.split() else text[at : m.start()])
+            at = m.end()
+    return " | ".join([*out, text[at:]]) if out else text
+
+
+def neighbours(js: np.ndarray, ns: np.ndarray, vectors: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Whether each frequent word is a neighbour of a rare word with ``ns`` occurrences of the contexts ``js``: unless it
+    is less likely there than by chance, by far and beyond doubt."""
+    u = ns.astype(np.float32) @ contexts[js]
+    odds = vectors @ u + ns.sum() * np.log(NEGATIVES)
+    return (odds >= -DOUBT) | (odds >= UNLIKE * ns.sum())
 
 
 def _settled(rows: DataFrame, suspects: dict[str, tuple[str, ...]], index: dict[str, int], vectors: np.ndarray, contexts: np.ndarray) -> dict[str, tuple[str, ...]]:
-    """For each suspect with contexts: those of its plausible readings that are among its neighbours in the vector space,
-    nearest first. rows: its (pair, n)."""
+    """For each suspect with contexts: those of its plausible readings that are its neighbours in the vector space, the
+    most frequent first. rows: its (pair, n)."""
     sc = rows.sparkSession.sparkContext
     names = list(suspects)
     first, v = len(vectors), len(contexts)
@@ -807,9 +825,9 @@ def _settled(rows: DataFrame, suspects: dict[str, tuple[str, ...]], index: dict[
             out = []
             for word, js, ns in zip(b["word"], b["js"], b["ns"]):
                 name = names[word - first]
-                u = np.asarray(ns, np.float32) @ contexts[np.asarray(js, np.int64)] / max(1, sum(ns))
-                near = {int(i): k for k, i in enumerate(neighbours(u, vectors))}
-                out.append((name, sorted((w for w in suspects[name] if index[w] in near), key=lambda w: near[index[w]])))
+                readings = suspects[name]
+                near = neighbours(np.asarray(js, np.int64), np.asarray(ns, np.int64), vectors[[index[w] for w in readings]], contexts)
+                out.append((name, [w for w, k in zip(readings, near) if k]))
             yield pd.DataFrame(out, columns=["name", "links"])
 
     # At most as many pairs a word as there are contexts.

@@ -61,6 +61,7 @@ def test_repair(table):
     df, body = table
     got = {r.record_id: r.text for r in S.repaired_texts(part(df), share=1e-3).collect()}
     assert "the run-time mailbox before another session follows it. The hidden cursor records" in got[5]
+    assert {r.record_id for r in S.repaired_texts(part(df), share=1e-3).where("continues").collect()} == set()
     assert not any("Manual" in t for t in got.values()) and "in total, as counted." in got[9] and got[102] == ""
     assert len(got) == 40 + 3
 
@@ -97,3 +98,54 @@ def test_vectors_follow_contexts():
 def test_lines_in_fences_and_long_lines_are_left_alone():
     lines = S.lines_of("<!-- page 2 -->\nabc\n```\nqwxz zzq\n```\n" + "the cat " * 50_000, None)
     assert [x.kind for x in lines] == ["marker", "text", "fence", "code", "fence", "text"] and lines[1].page == 2
+
+
+def test_words_broken_over_a_page_end(spark):
+    body = [b[2:-2] for b in pages(3, 30)]
+    body[4][-1], body[5][0] = "The stale ledger retries the mail-", "box before another session follows it."
+    body[8][-1], body[9][0] = "The public ledger delivers the", "frozen mailbox before another cursor follows it."
+    df = spark.createDataFrame([(i, "s.pdf", i + 1, "\n".join(b), True) for i, b in enumerate(body)], "page_id long, source string, page int, markdown string, done boolean")
+    got = {r.record_id: r for r in S.repaired_texts(part(df), share=1e-3).collect()}
+    assert got[4].text.endswith("The stale ledger retries the mailbox") and got[5].text.startswith("before another session follows it.") and got[5].continues
+    assert got[9].continues and got[8].text.endswith("delivers the") and not got[4].continues and len(got) == 30
+
+
+def test_accented_words_are_no_damage(spark):
+    rng = random.Random(4)
+    nouns, adjectives = ["Größe", "Prüfung", "Tür", "Ablage", "Straße", "café", "añadido", "élève"], ["schöne", "alte", "kleine"]
+    body = [" ".join(f"Die {rng.choice(adjectives)} {rng.choice(nouns)} steht neben der {rng.choice(nouns)} im Haus." for _ in range(30)) for _ in range(40)]
+    body[3] += " Die kleine Prüfunq steht neben der Tur."
+    df = spark.createDataFrame([(i, "s.pdf", i + 1, b, True) for i, b in enumerate(body)], "page_id long, source string, page int, markdown string, done boolean")
+    assert {(r.record_id, r.damage) for r in S.damaged_lines(part(df), share=1e-3).collect()} == {(3, "misread")}
+
+
+def modems(spark):
+    rng = random.Random(5)
+    old = lambda w: f"The {w} {rng.choice(['house', 'church', 'bridge', 'tower'])} was {rng.choice(['built', 'drawn'])} by architects."
+    wire = lambda w: f"Plug your {w} {rng.choice(['cable', 'socket', 'adapter'])} into that wall {rng.choice(['today', 'slowly'])}, please."
+    body = [" ".join(old("modern") if rng.random() < 0.5 else wire(rng.choice(["phone", "printer", "router"])) for _ in range(40)) for _ in range(60)]
+    for i in range(0, 60, 3):
+        body[i] += "\n" + wire("modem")
+    for i in range(1, 60, 6):
+        body[i] += "\n" + old("rnodern")
+    return spark.createDataFrame([(i, f"s{i}.pdf", 1, b, True) for i, b in enumerate(body)], "page_id long, source string, page int, markdown string, done boolean")
+
+
+def test_vectors_tell_a_rare_word_from_a_misread_one(spark, monkeypatch):
+    df = modems(spark)
+    damaged = lambda: {(r.record_id, r.line_no) for r in S.damaged_lines(part(df), share=5e-3).where("damage = 'misread'").collect()}
+    assert damaged() == {(i, 2) for i in range(1, 60, 6)}
+    # Without the vectors' word, the shape alone takes the one for the other.
+    monkeypatch.setattr(S, "_settled", lambda *_: {})
+    assert damaged() == {(i, 2) for i in range(1, 60, 6)} | {(i, 2) for i in range(0, 60, 3)}
+
+
+def test_like_lines_far_apart_are_no_header(spark):
+    body = [[f"Line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} opens this page of text", "", *b[2:-2]] for i, b in enumerate(pages(6, 120))]
+    for i in (2, 110):
+        body[i][0] = "further details are given where the session"
+    for i in range(50, 56):
+        body[i][0] = "chapter of many small sessions"
+    df = spark.createDataFrame([(i, "s.pdf", i + 1, "\n".join(b), True) for i, b in enumerate(body)], "page_id long, source string, page int, markdown string, done boolean")
+    got = {r.record_id for r in S.damaged_lines(part(df), share=1e-3).where("damage = 'running' AND line_no = 1").collect()}
+    assert set(range(50, 56)) <= got and not {2, 110} & got
