@@ -113,11 +113,28 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.not_prose(table(spark, folder, "documents"))
+    return quality.not_prose(table(spark, folder, "documents"), lang_col="lang")
+
+
+_STATISTICS = ("doc_id", "char_count", "word_count", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.text_quality(table(spark, folder, "documents"))
+    return _rounded(quality.text_quality(table(spark, folder, "documents"), lang_col="lang").select(*_STATISTICS))
+
+
+def p9_statistics_in_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by chunks of 500 characters, so that most texts are split and merged."""
+    return _rounded(quality.text_quality(table(spark, folder, "documents"), chunk=500, lang_col="lang").select(*_STATISTICS))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of every document's characters in lists, tables and junk, and its kind."""
+    return quality.text_quality(table(spark, folder, "documents"), lang_col="lang").select("doc_id", "list_share", "table_share", "junk_share", "kind")
 
 
 QUERIES = {
@@ -139,6 +156,8 @@ QUERIES = {
     "p8_clean": p8_clean,
     "p9_found": p9_found,
     "p9_statistics": p9_statistics,
+    "p9_statistics_in_chunks": p9_statistics_in_chunks,
+    "p9_shares": p9_shares,
 }
 #: Words as lists, in DuckDB; only ASCII letters change case.
 _WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
@@ -189,6 +208,19 @@ alike AS (
   SELECT finding_a, finding_b FROM common JOIN sizes x ON x.finding_id = finding_a JOIN sizes y ON y.finding_id = finding_b
   WHERE 10 * k >= 6 * (x.n + y.n - k))"""
 
+_QUALITY = """
+texts AS (SELECT doc_id, lang, text, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r\\x{a0}]')) AS lines FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT lang, greatest(5, 0.2 * count(*)) AS least FROM texts WHERE lang IS NOT NULL GROUP BY lang),
+has AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(list_distinct(list_transform(words, lambda x: lower(x)))) AS w FROM texts) GROUP BY ALL),
+common AS (SELECT DISTINCT w FROM has JOIN docs USING (lang) WHERE n >= least AND NOT regexp_full_match(w, '\\p{N}+')),
+listed AS (SELECT coalesce(list(w), []) AS c FROM common)
+SELECT doc_id, length(replace(text, chr(10), '')) AS char_count, len(words) AS word_count,
+  CASE WHEN len(words) > 0 THEN round(length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / len(words), 9) END AS mean_word_length,
+  CASE WHEN length(replace(text, chr(10), '')) > 0 THEN round(length(regexp_replace(text, '[\\p{L}\\p{N} \\t\\r\\n\\x{a0}]', '', 'g')) / length(replace(text, chr(10), '')), 9) END AS symbol_ratio,
+  CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…。！？]\\s*$'))) / len(lines), 9) END AS punctuated_line_share,
+  CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda x: list_contains(c, lower(x)))) / len(words), 9) END AS common_word_share
+FROM texts, listed"""
+
 SQL: dict[str, str] = {
     "p2_found": f"WITH {_ALIKE} SELECT finding_a, finding_b FROM alike",
     "p2_members": f"WITH {_CLASSES} SELECT finding_id, rep AS representative FROM members",
@@ -207,5 +239,7 @@ SELECT DISTINCT record_id, 'pages' AS field_name FROM named WHERE n > 20
 UNION SELECT record_id, 'markdown' FROM ocr_document WHERE strlen(markdown) > 6000
 UNION SELECT record_id, 'next_cursor' FROM bodies WHERE regexp_matches(j, '"at":[{{][^}}]*"joint":0[,}}]')""",
     "p8_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM leaked",
+    "p9_statistics": f"WITH {_QUALITY}",
+    "p9_statistics_in_chunks": f"WITH {_QUALITY}",
     "p8_clean": f"WITH {_RUNS} SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaked)",
 }

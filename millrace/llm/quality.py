@@ -6,54 +6,35 @@ ends inside. Merging two neighbours adds the sums and joins the last line of the
 class is only decided once the line is whole; so any split gives what the unsplit text gives. Partials are merged as a
 tree of ``FAN`` each, which bounds what one task holds of a document of any length. Documents of one chunk, nearly all,
 need no shuffle.
+
+Which words are common, and which letter pairs are usual in words, is learned from all documents beforehand. The rules by
+which a line is of a list, a table or junk are parameters of the code (``line_class``).
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections import deque
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.engine.batches import keyed, restored
+from millrace.engine.session import Scratch
 
-CHUNK = 65_536
+CHUNK = 8_192
 #: Context on either side, more than any word that counts is long.
 CONTEXT = 1_024
-#: Partials merged at once; two levels reach the longest text a column can hold.
-FAN, LEVELS = 256, 2
-
-#: Common words of English, German, French and Spanish.
-COMMON = frozenset(
-    (
-        "a about after all also an and any are as at be because been before but by can could did do does each either every few "
-        "for from had has have he her here him his how i if in into is it its just left many may might more most must never no "
-        "not nothing of on once one only or other our out over own per same set she should since so some such than that the their "
-        "them then there these they this those to two under unless until up us was we were what whatever when where which while "
-        "who whose why will with without would you your "
-        "aber alle als am auch auf aus bei bevor bis das dass dem den der des die doch du ein eine einem einen einer es fehlt für "
-        "gibt hat ich ihn im ist jeder jede jedes kein keine keinen mit nach nicht noch nur oder ohne sich sie sind sonst und vom von vor "
-        "war weil wenn werden wie wird wir zu zum zur "
-        "au aux avant avec bout car ce ces cette chaque dans de des donc du elle en est et il ils je la le les leur lui mais ne "
-        "nous ou où par pas plus pour qu que qui reste sa sans se ses si soit son sont sur tout un une vous y "
-        "al antes cada como con de del donde el ella ellos entre es ese esta este hay la las lo los más mientras no o para pero por "
-        "porque que queda sea se según si sin sobre su sus tras un una uno unos y ya"
-    ).split()
-)
-#: Letter pairs that words of these languages are full of; random letters have few of them.
-PAIRS = frozenset(
-    (
-        "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li "
-        "ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol "
-        "rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke fr "
-        "oo av ag if ap gr od bo sp rd do uc bu ei ov by rm ep tt oc fa ef cu rn sc gi da yo cr cl du ga qu ue ff ba ey ls va um pp ua up "
-        "lu go ht ru ug ds lt pi rc rr eg au ck ew mu br bi pt ak pu ui rg ib tl ny ki rk ys ob mm fu ph og ms ye ud mb ip ub oi rl"
-    ).split()
-)
+#: Partials merged at once; three levels reach beyond the longest text a column can hold.
+FAN, LEVELS = 256, 3
+
+#: A word is common when at least this share of a language's documents has it, and at least so many of them.
+COMMON_SHARE, LEAST_DOCUMENTS = 0.2, 5
+#: A letter pair is usual when it makes up at least this share of the pairs in words of several documents.
+USUAL_SHARE, SEVERAL = 1 / 2000, 3
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKED = re.compile(r"\s*(?:[-*+•–]\s+(?:\[[ xX]?\]\s+)?|\(?\d{1,4}[.)]\s+|\(?[a-z][.)]\s+)\S")
@@ -76,18 +57,78 @@ _ADDED = ("n", "words", "word_chars", "symbols", "alnum", "space", "common", "ga
 BEGIN = 200
 
 
-def _fair(word: str, memo: dict[str, tuple[int, int]] = {}) -> tuple[int, int]:
-    got = memo.get(word)
-    if got is None:
-        if len(memo) > 200_000:
-            memo.clear()
-        low = word.lower()
-        pairs = [low[i : i + 2] for i in range(len(low) - 1)] if low.isascii() and low.isalpha() and len(low) > 2 else []
-        got = memo[word] = (len(pairs), sum(p in PAIRS for p in pairs))
-    return got
+class Words:
+    """What a corpus says of its words: which are common, and which pairs of letters are usual in them."""
+
+    def __init__(self, common: Iterable[str] = (), pairs: Iterable[str] = ()) -> None:
+        self.common, self.pairs = frozenset(common), frozenset(pairs)
+        self.memo: dict[str, tuple[int, int]] = {}
+
+    def __reduce__(self):
+        return Words, (self.common, self.pairs)
+
+    def fair(self, word: str) -> tuple[int, int]:
+        """(letter pairs of a word, how many of them are usual)."""
+        got = self.memo.get(word)
+        if got is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            pairs = letter_pairs(word.lower())
+            got = self.memo[word] = (len(pairs), sum(map(self.pairs.__contains__, pairs)))
+        return got
+
+
+def letter_pairs(low: str) -> list[str]:
+    return [low[i : i + 2] for i in range(len(low) - 1)] if low.isascii() and low.isalpha() and len(low) > 2 else []
 
 
-def line_features(line: str, lo: int, hi: int, recent: deque) -> dict:
+def learn(df: DataFrame, text_col: str = "text", lang_col: str | None = None) -> Words:
+    """Common words and usual letter pairs, from how many of all documents have each word.
+
+    With ``lang_col`` a word is common when it is in one language; documents of no stated language count for the pairs
+    only. What reaches the driver: at most 1 / ``COMMON_SHARE`` times the words a document has on average, a language; at
+    most 676 pairs.
+    """
+    group = F.col(lang_col).cast("string") if lang_col else F.lit("")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str | None, Counter] = {}
+
+        def given() -> pd.DataFrame:
+            rows = [(g, w, n) for g, c in held.items() for w, n in c.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=["group_", "word_", "n_"])
+
+        for b in batches:
+            for g, t in zip(b["group_"], b["text_"]):
+                c = held.setdefault(g, Counter())
+                c.update(set(_WORD.findall(t.lower())))
+                # The empty word counts the documents.
+                c[""] += 1
+            if sum(map(len, held.values())) > 300_000:
+                yield given()
+        yield given()
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c: Counter = Counter()
+        for b in batches:
+            for w, n in zip(b["word_"], b["n_"]):
+                for p in letter_pairs(w):
+                    c[p] += n
+        yield pd.DataFrame(list(c.items()), columns=["pair_", "n_"])
+
+    with Scratch(df.sparkSession) as scratch:
+        texts = df.where(F.col(text_col).isNotNull()).select(group.alias("group_"), F.col(text_col).alias("text_"))
+        words = scratch.keep(texts.mapInPandas(count, "group_ string, word_ string, n_ bigint").groupBy("group_", "word_").agg(F.sum("n_").alias("n_")))
+        sizes = words.where("word_ = '' AND group_ IS NOT NULL").select("group_", F.greatest(F.lit(LEAST_DOCUMENTS), F.col("n_") * COMMON_SHARE).alias("least_"))
+        common = words.where("word_ <> ''").join(sizes, "group_").where("n_ >= least_").select("word_").distinct().toArrow()["word_"].to_pylist()
+        several = words.where("word_ <> ''").groupBy("word_").agg(F.sum("n_").alias("n_")).where(F.col("n_") >= SEVERAL)
+        counted = several.mapInPandas(pairs, "pair_ string, n_ bigint").groupBy("pair_").agg(F.sum("n_").alias("n_")).toArrow()
+    total = sum(counted["n_"].to_pylist())
+    return Words((w for w in common if not w.isdigit()), (p for p, n in zip(counted["pair_"].to_pylist(), counted["n_"].to_pylist()) if n >= total * USUAL_SHARE))
+
+
+def line_features(line: str, lo: int, hi: int, recent: deque, know: Words) -> dict:
     """Features of ``line[lo:hi]``, the rest of the line being context. What spans an edge counts where it begins."""
     whole = lo == 0 and hi == len(line)
     own = line if whole else line[lo:hi]
@@ -103,7 +144,7 @@ def line_features(line: str, lo: int, hi: int, recent: deque) -> dict:
     f["space"] = own.count(" ") + own.count("\t") + own.count("\r") + own.count("\xa0")
     f["symbols"] = len(own) - letters - f["space"]
     lows = [w.lower() for w in words]
-    f["common"] = sum(map(COMMON.__contains__, lows))
+    f["common"] = sum(map(know.common.__contains__, lows))
     if lows:
         if len(lows) > len(set(lows)) or any(w in recent for w in lows):
             for w in lows:
@@ -113,7 +154,7 @@ def line_features(line: str, lo: int, hi: int, recent: deque) -> dict:
             recent.extend(lows[-WINDOW:])
     if not whole or f["common"] * 10 <= len(words):
         for w in words:
-            p, q = _fair(w)
+            p, q = know.fair(w)
             f["pairs"] += p
             f["fair"] += q
         f["coded"] = sum(max(0, min(m.end(), hi) - max(m.start(), lo)) for m in _CODED.finditer(line) if _mixed(m.group()))
@@ -191,7 +232,7 @@ def _add_line(sums: dict, f: dict) -> None:
         sums[kind] += f["n"]
 
 
-def partial(piece: str, lo: int, hi: int) -> dict:
+def partial(piece: str, lo: int, hi: int, know: Words) -> dict:
     """Counts of ``piece[lo:hi]``; what lies outside is context. head and tail are the lines cut by its ends, the same
     one where no line ends within."""
     sums = dict.fromkeys(SUMS, 0)
@@ -208,9 +249,9 @@ def partial(piece: str, lo: int, hi: int) -> dict:
             a = max(piece.rfind("\n", 0, at) + 1, 0) if at == lo else at
             b = piece.find("\n", end)
             b = len(piece) if b < 0 else b
-            f = line_features(piece[a:b], at - a, end - a, recent)
+            f = line_features(piece[a:b], at - a, end - a, recent, know)
         else:
-            f = line_features(piece[at:end], 0, end - at, recent)
+            f = line_features(piece[at:end], 0, end - at, recent, know)
         for k, g in (("words", "words"), ("word_chars", "word_chars"), ("symbols", "symbols"), ("common", "common"), ("chars", "n")):
             sums[k] += f[g]
         if at == lo:
@@ -247,9 +288,10 @@ def finished(p: dict) -> tuple:
 _OUT = ", ".join(f"{k}_ bigint" for k in SUMS)
 
 
-def text_sums(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def text_sums(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, lang_col: str | None = None, words: Words | None = None) -> DataFrame:
     """(id, sums): the exact counts of every document with text that is not null, however long. ``chunk`` changes no
-    result, only what a task holds."""
+    result, only what a task holds. words: learned from the documents where it isn't given."""
+    shared = df.sparkSession.sparkContext.broadcast(words or learn(df, text_col, lang_col))
     kind = df.schema[id_col].dataType.simpleString()
     context = min(CONTEXT, chunk)
     size = F.length("text_")
@@ -259,18 +301,20 @@ def text_sums(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     small = split.where(F.col("n_") == 1)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        know = shared.value
         for b in batches:
-            rows = [(k, *finished(partial(t, 0, len(t)))) for k, t in zip(b["id_"], b["text_"])]
+            rows = [(k, *finished(partial(t, 0, len(t), know))) for k, t in zip(b["id_"], b["text_"])]
             yield pd.DataFrame(rows, columns=["id_", *(f"{k}_" for k in SUMS)])
 
     out = small.select("id_", "text_").mapInPandas(whole, f"id_ string, {_OUT}")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        know = shared.value
         for b in batches:
             rows = []
             for k, h, c, t in zip(b["id_"], b["hash_"], b["chunk_"], b["piece_"]):
                 lo = min(context, c * chunk)
-                rows.append((k, h, c, json.dumps(partial(t, lo, min(len(t), lo + chunk)))))
+                rows.append((k, h, c, json.dumps(partial(t, lo, min(len(t), lo + chunk), know))))
             yield pd.DataFrame(rows, columns=["id_", "hash_", "chunk_", "state_"])
 
     large = split.where(F.col("n_") > 1).select("id_", F.xxhash64("text_").alias("hash_"), "text_", F.explode(F.sequence(F.lit(0), F.col("n_") - 1)).alias("chunk_"))
@@ -297,17 +341,17 @@ def text_sums(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     return restored(out, id_col, kind)
 
 
-def text_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def text_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, lang_col: str | None = None, words: Words | None = None) -> DataFrame:
     """(id, char_count, word_count, mean_word_length, symbol_ratio, punctuated_line_share, common_word_share,
     list_share, table_share, junk_share, kind).
 
-    Words are runs of letters and digits; symbols all other characters but blanks and line ends; shares of lines are of
+    Words are runs of letters and digits, common ones those of ``learn``; symbols all other characters but blanks and line ends; shares of lines are of
     lines with text. kind: ``list``, ``table`` or ``junk`` where lines of that class hold more than half of the
     characters, else ``prose``. Null text gives no row; blank text a row of zeros and null ratios and kind.
     """
     c = {k: F.col(f"{k}_") for k in SUMS}
     safe = lambda a, b: F.when(b > 0, a / b)
-    out = text_sums(df, id_col, text_col, chunk)
+    out = text_sums(df, id_col, text_col, chunk, lang_col, words)
     kind = F.when(c["lines"] == 0, F.lit(None).cast("string"))
     for k in ("table", "list", "junk"):
         kind = kind.when(c[k] * 2 > c["chars"], k)
@@ -324,6 +368,6 @@ def text_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def not_prose(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def not_prose(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, words: Words | None = None) -> DataFrame:
     """(id, kind) of the documents that are lists, tables or junk."""
-    return text_quality(df, id_col, text_col).where(F.col("kind").isin("list", "table", "junk")).select(id_col, "kind").distinct()
+    return text_quality(df, id_col, text_col, lang_col=lang_col, words=words).where(F.col("kind").isin("list", "table", "junk")).select(id_col, "kind").distinct()
