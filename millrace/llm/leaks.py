@@ -14,17 +14,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.engine.batches import keyed, restored
+from millrace.engine.session import Scratch
 
 MIN_WORDS = 12
 #: Characters of test text sent to tasks at once.
 BLOCK_CHARS = 8_000_000
+#: Matches that are followed at once.
+AT_ONCE = 2_000_000
 #: Words of a shard. A longer document is a shard by itself.
 SHARD_WORDS = 1_000_000
 
@@ -110,8 +115,17 @@ class TestSet:
         total = int(many.sum())
         if not total:
             return empty
-        suffix = np.repeat(np.arange(len(many)), many)
-        place = places[np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+        starts = np.cumsum([0, *(len(d) + 1 for d in docs)])
+        # Some test suffixes at a time, as a passage that many documents and items share has many matches.
+        part = np.cumsum(many) // AT_ONCE
+        found = [self._followed(flat, places, starts, np.flatnonzero(part == k), lo, many) for k in np.unique(part[many > 0])]
+        return _longest(pd.concat(found, ignore_index=True))
+
+    def _followed(self, flat: np.ndarray, places: np.ndarray, starts: np.ndarray, some: np.ndarray, lo: np.ndarray, many: np.ndarray) -> pd.DataFrame:
+        """The matches of some test suffixes to their full length; lo and many: their ranges in the array of places."""
+        lo, many, n = lo[some], many[some], self.min
+        suffix = np.repeat(some, many)
+        place = places[np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
         # Only where the words before differ does a match begin; the others are parts of one that is found anyway.
         begins = (place == 0) | (flat[place - 1] == 0) | (flat[place - 1] != self.words[self.at[suffix] - 1])
         suffix, place = suffix[begins], place[begins]
@@ -125,11 +139,15 @@ class TestSet:
             more = (flat[p] == self.words[q]) & (self.words[q] != 0)
             live = live[more]
             length[live] += 1
-        starts = np.cumsum([0, *(len(d) + 1 for d in docs)])
         doc = np.searchsorted(starts, place, "right") - 1
         first = np.searchsorted(self.item, self.item[suffix])
-        out = pd.DataFrame({"doc": doc, "item": self.item[suffix], "words": length, "doc_start": place - starts[doc] + 1, "item_start": source - self.at[first] + 1})
-        return out.sort_values(["doc", "item", "words", "doc_start", "item_start"], ascending=[True, True, False, True, True]).drop_duplicates(["doc", "item"])
+        return _longest(pd.DataFrame({"doc": doc, "item": self.item[suffix], "words": length, "doc_start": place - starts[doc] + 1, "item_start": source - self.at[first] + 1}))
+
+
+def _longest(found: pd.DataFrame) -> pd.DataFrame:
+    """One row per document and item: the longest match, its first place."""
+    found = found.sort_values(["doc", "item", "words", "doc_start", "item_start"], ascending=[True, True, False, True, True])
+    return found.drop_duplicates(["doc", "item"])
 
 
 def find_leaks(
@@ -152,12 +170,13 @@ def find_leaks(
     blocks = max(1, -(-(sizes[0] or 0) // block_chars))
     kind, item_kind = corpus.schema[id_col].dataType.simpleString(), tests.schema[item_col].dataType.simpleString()
     docs = corpus.where(F.col(text_col).isNotNull()).select(keyed(id_col), F.col(text_col).alias("text_"))
-    out = None
-    for k in range(blocks):
+
+    def against(k: int) -> tuple[Broadcast, DataFrame]:
         rows = tests.where(F.col(item_text).isNotNull()).where(F.pmod(F.xxhash64(item_col, item_text), F.lit(blocks)) == k).select(keyed(item_col, "item_"), item_text).collect()
-        test = TestSet(sorted(((r[0], r[1]) for r in rows), key=lambda r: (str(r[0]), r[1])), min_words)
+        shared = corpus.sparkSession.sparkContext.broadcast(TestSet(sorted(((r[0], r[1]) for r in rows), key=lambda r: (str(r[0]), r[1])), min_words))
 
-        def run(batches: Iterator[pd.DataFrame], test: TestSet = test) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            test = shared.value
             ids, held, n = [], [], 0
 
             def shard() -> pd.DataFrame:
@@ -180,8 +199,19 @@ def find_leaks(
             if held:
                 yield shard()
 
-        found = docs.mapInPandas(run, f"id_ string, item_ string, matched_words bigint, doc_start bigint, item_start bigint")
-        out = found if out is None else out.unionByName(found)
+        return shared, docs.mapInPandas(run, "id_ string, item_ string, matched_words bigint, doc_start bigint, item_start bigint")
+
+    if blocks == 1:
+        out = against(0)[1]
+    else:
+        # One block is on the driver at a time: its matches are written before the next is read.
+        with Scratch(corpus.sparkSession) as scratch:
+            parts = []
+            for k in range(blocks):
+                shared, found = against(k)
+                parts.append(scratch.keep(found))
+                shared.destroy()
+            out = scratch.hand_over(reduce(DataFrame.unionByName, parts))
     return restored(restored(out, id_col, kind), item_col, item_kind, "item_")
 
 

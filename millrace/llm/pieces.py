@@ -12,6 +12,7 @@ import base64
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,8 +23,10 @@ from millrace.engine.batches import keyed, restored
 LIMIT = 6_000
 OVERLAP = 200
 PAGES = 20
-#: Larger page numbers are no pages but other figures.
-LARGEST_PAGE = 1_000_000
+#: Rows that a task holds of a list of any length.
+AT_ONCE = 10_000
+#: Numbers of more digits are none.
+DIGITS = 4_000
 
 #: Where a text may be cut, best first: before a match of the first two, after a match of the others.
 LEVELS = tuple(
@@ -138,12 +141,15 @@ _RANGE = re.compile(r"(\d*)-(\d*)|(\d+)")
 
 def page_spans(pages: str | None, page_count: int | None) -> list[tuple[int, int]]:
     """The pages named, as disjoint spans in order. A range without an end runs to the first or last page, one that
-    runs backwards names the same pages; null or blank means all pages. What can't be told names none."""
+    runs backwards names the same pages; null or blank means all pages. What can't be told names none. Spans are told by
+    their ends only, so that a range may be of any length."""
     count = page_count if page_count and page_count > 0 else 0
     if pages is None or not pages.strip():
         return [(1, count)] if count else []
     spans = []
     for a, b, one in _RANGE.findall(_DASH.sub("-", pages)):
+        if max(map(len, (a, b, one))) > DIGITS:
+            continue
         if one:
             lo = hi = int(one)
         elif a or b:
@@ -153,8 +159,7 @@ def page_spans(pages: str | None, page_count: int | None) -> list[tuple[int, int
         else:
             continue
         lo, hi = max(1, min(lo, hi)), max(lo, hi)
-        if hi <= LARGEST_PAGE:
-            spans.append((lo, hi))
+        spans.append((lo, hi))
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(spans):
         if out and lo <= out[-1][1] + 1:
@@ -164,32 +169,38 @@ def page_spans(pages: str | None, page_count: int | None) -> list[tuple[int, int
     return out
 
 
-def split_pages(spans: list[tuple[int, int]], most: int = PAGES) -> list[list[tuple[int, int]]]:
-    """Groups of at most ``most`` pages, in order; a span is cut only where a group is full."""
-    out, held, n = [], [], 0
+def split_pages(spans: list[tuple[int, int]], most: int = PAGES) -> Iterator[list[tuple[int, int]]]:
+    """Groups of at most ``most`` pages, in order, one after the other; a span is cut only where a group is full."""
+    held, n = [], 0
     for lo, hi in spans:
         while lo <= hi:
             take = min(hi - lo + 1, most - n)
             held.append((lo, lo + take - 1))
             lo, n = lo + take, n + take
             if n == most:
-                out.append(held)
+                yield held
                 held, n = [], 0
-    return [*out, held] if held else out
+    if held:
+        yield held
 
 
-def page_ranges(df: DataFrame, id_col: str, pages_col: str, count_col: str, most: int = PAGES) -> DataFrame:
+def page_ranges(df: DataFrame, id_col: str, pages_col: str, count_col: str, most: int = PAGES, upto: int | None = None) -> DataFrame:
     """(id, piece, pages, page_count): page lists of at most ``most`` pages each, in order, of every row that names
-    pages. Rows that name none give nothing."""
+    pages. Rows that name none give nothing. A range gives as many rows as it asks for; with ``upto`` only so many of
+    each row's first pieces are made, which is enough to tell what has more."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, pages, count in zip(b["id_"], b["pages_"], b["count_"]):
-                for i, group in enumerate(split_pages(page_spans(pages, None if pd.isna(count) else int(count)), most), 1):
+                groups = split_pages(page_spans(pages, None if pd.isna(count) else int(count)), most)
+                for i, group in enumerate(islice(groups, upto), 1):
                     said = ",".join(str(lo) if lo == hi else f"{lo}-{hi}" for lo, hi in group)
                     rows.append((key, i, said, sum(hi - lo + 1 for lo, hi in group)))
+                    if len(rows) == AT_ONCE:
+                        yield pd.DataFrame(rows, columns=["id_", "piece", "pages", "page_count"])
+                        rows = []
             yield pd.DataFrame(rows, columns=["id_", "piece", "pages", "page_count"])
 
     small = df.select(keyed(id_col), F.col(pages_col).alias("pages_"), F.col(count_col).cast("double").alias("count_"))

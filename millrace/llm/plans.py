@@ -71,7 +71,7 @@ def p4_text_pieces(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "ocr_document")
     parts = (
-        ("pages", pieces.page_ranges(_paged(spark, folder), "record_id", "pages", "page_count").where("piece = 2")),
+        ("pages", pieces.page_ranges(_paged(spark, folder), "record_id", "pages", "page_count", upto=2).where("piece = 2")),
         ("markdown", pieces.text_pieces(documents, "record_id", "markdown").where("piece = 2")),
         ("next_cursor", pieces.open_cursors(documents, "record_id", "next_cursor", "is_complete")),
     )

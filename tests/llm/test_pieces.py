@@ -29,10 +29,10 @@ def test_cuts_fall_at_the_best_boundary():
 
 
 def test_page_lists():
-    cases = {("1-3, 5", 9): 4, ("1 – 20", 30): 20, ("26-46", 30): 21, ("5-", 30): 26, ("-7", 30): 7, (None, 25): 25, ("  ", None): 0, ("100-1", 200): 100, ("1-3;2-5;4", 9): 5, ("abc", 50): 0, ("7-", None): 0, ("3000000", 5): 0}
+    cases = {("1-3, 5", 9): 4, ("1 – 20", 30): 20, ("26-46", 30): 21, ("5-", 30): 26, ("-7", 30): 7, (None, 25): 25, ("  ", None): 0, ("100-1", 200): 100, ("1-3;2-5;4", 9): 5, ("abc", 50): 0, ("7-", None): 0, ("3000000", 5): 1, ("2-3000001", 5): 3_000_000, ("1-" + "9" * 20, 5): 10**20 - 1, ("7" * 5000, 5): 0}
     for (text, count), n in cases.items():
         assert sum(b - a + 1 for a, b in P.page_spans(text, count)) == n, text
-    groups = P.split_pages(P.page_spans("1-15, 30-60", None))
+    groups = list(P.split_pages(P.page_spans("1-15, 30-60", None)))
     assert [sum(b - a + 1 for a, b in g) for g in groups] == [20, 20, 6] and groups[0] == [(1, 15), (30, 34)]
 
 
@@ -58,3 +58,10 @@ def test_very_long_text_is_cut_in_linear_time():
     began = time.time()
     out = P.split_text("lorem ipsum " * 400_000)
     assert len(out) > 800 and time.time() - began < 20
+
+
+def test_ranges_of_any_length(spark):
+    df = spark.createDataFrame([(1, "5-2000004", 3), (2, "1-" + "9" * 30, None), (3, "8", None)], "record_id int, pages string, n int")
+    assert {r.record_id for r in P.page_ranges(df, "record_id", "pages", "n", upto=2).where("piece = 2").collect()} == {1, 2}
+    got = P.page_ranges(df.where("record_id = 1"), "record_id", "pages", "n")
+    assert got.count() == 100_000 and got.where("piece = 100000").first().pages == "1999985-2000004"
