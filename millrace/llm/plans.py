@@ -25,6 +25,17 @@ def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repaired_texts(_scanned(spark, folder))
 
 
+def p1_consistent(spark: SparkSession, folder: str) -> DataFrame:
+    """Per record type: rows that name no line of their record, and lines that are furniture and damaged as well."""
+    parts = _scanned(spark, folder)
+    texts = scans.records(parts).groupBy("record_type", "record_id").agg(F.max(F.size(F.split("text", "\n", -1))).alias("n"))
+    found = p1_found(spark, folder)
+    lines = found.groupBy("record_type", "record_id", "line_no").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("damage").isin("running", "pageno")).alias("fixed"))
+    joined = lines.hint("merge").join(texts.hint("merge"), ["record_type", "record_id"], "left")
+    outside = F.coalesce((F.col("line_no") < 1) | (F.col("line_no") > F.col("n")), F.lit(True))
+    return joined.groupBy("record_type").agg(F.sum(outside.cast("bigint")).alias("outside"), F.sum((F.col("fixed") & (F.col("k") > 1)).cast("bigint")).alias("doubled"))
+
+
 _FINDING_TEXT = ("path", "title", "detail", "evidence")
 
 
@@ -68,6 +79,17 @@ def p4_text_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.text_pieces(table(spark, folder, "ocr_document"), "record_id", "markdown").distinct()
 
 
+def p4_text_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """For every text that was cut: the digest of its pieces without their overlaps, put together again in order, and
+    whether all pieces keep the limit and every overlap."""
+    pieces_ = pieces.text_pieces(table(spark, folder, "ocr_document"), "record_id", "markdown").distinct()
+    body = F.expr("decode(substring(encode(text, 'UTF-8'), CAST(overlap_bytes AS INT) + 1), 'UTF-8')")
+    each = pieces_.groupBy("record_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece", body.alias("body")))).alias("s"), (F.max(F.octet_length("text")) <= pieces.LIMIT).alias("within"), (F.max("overlap_bytes") <= pieces.OVERLAP).alias("overlaps")
+    )
+    return each.select("record_id", F.md5(F.array_join(F.col("s.body"), "")).alias("digest"), "within", "overlaps")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "ocr_document")
     parts = (
@@ -84,6 +106,18 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return containers.fill_documents(table(spark, folder, "documents"))
 
 
+def p7_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document that was placed: whether its pieces follow one another without a gap, whether its containers
+    keep their room, and whether it was left whole where that could be."""
+    placed = p7_containers(spark, folder)
+    full = placed.groupBy("container").agg(F.sum("size").alias("filled"))
+    each = placed.join(full, "container").groupBy("doc_id").agg(
+        F.sum("size").alias("size"), F.max(F.col("start") + F.col("size")).alias("end"), F.min("start").alias("begin"), F.count(F.lit(1)).alias("n"), F.max("filled").alias("filled")
+    )
+    whole = (F.col("begin") == 0) & (F.col("end") == F.col("size"))
+    return each.select("doc_id", whole.alias("complete"), (F.col("filled") <= containers.CAPACITY).alias("within"), ((F.col("n") == 1) | (F.col("size") > containers.CAPACITY)).alias("left_whole"))
+
+
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Containers, tokens and the share of room used."""
     each = p7_containers(spark, folder).groupBy("container").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
@@ -140,6 +174,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
+    "p1_consistent": p1_consistent,
     "p2_found": p2_found,
     "p2_members": p2_members,
     "p2_class_pairs": p2_class_pairs,
@@ -148,7 +183,9 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_page_ranges": p4_page_ranges,
     "p4_text_pieces": p4_text_pieces,
+    "p4_text_whole": p4_text_whole,
     "p7_containers": p7_containers,
+    "p7_placed": p7_placed,
     "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_longest": p8_longest,
@@ -171,6 +208,28 @@ grams AS (
     SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_item WHERE text IS NOT NULL))),
 leaked AS (SELECT DISTINCT doc_id, item_id FROM runs JOIN grams USING (run))"""
 
+_RUNS_AT = f"""
+at_doc AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 11), ' ') AS run FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL))),
+at_item AS (
+  SELECT item_id, j, array_to_string(list_slice(w, j, j + 11), ' ') AS run FROM (
+    SELECT item_id, w, unnest(range(1, len(w) - 10)) AS j FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_item WHERE text IS NOT NULL))),
+islands AS (SELECT doc_id, item_id, i, j, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS g FROM at_doc JOIN at_item USING (run)),
+shared AS (SELECT doc_id, item_id, count(*) + 11 AS matched_words, min(i) AS doc_start, min(j) AS item_start FROM islands GROUP BY doc_id, item_id, i - j, g),
+longest AS (SELECT doc_id, item_id, matched_words, doc_start, item_start FROM shared
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched_words DESC, doc_start, item_start) = 1)"""
+
+_SHINGLES = f"""
+words AS (SELECT DISTINCT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS s FROM words WHERE len(w) > 0),
+members AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep, s FROM sets),
+parts AS (SELECT DISTINCT rep, len(s) AS n, unnest(s) AS t FROM members),
+class_pairs AS (
+  SELECT x.rep AS a, y.rep AS b FROM parts x JOIN parts y ON x.t = y.t AND x.rep < y.rep
+  GROUP BY 1, 2 HAVING 10 * count(*) >= 8 * (any_value(x.n) + any_value(y.n) - count(*))),
+edges AS (SELECT a, b FROM class_pairs UNION ALL SELECT b, a FROM class_pairs)"""
+
 _NAMED_PAGES = """
 tokens AS (
   SELECT record_id, page_count, unnest(regexp_extract_all(regexp_replace(pages, '\\s*[-–—]\\s*', '-', 'g'), '[0-9]*-[0-9]*|[0-9]+')) AS t
@@ -221,7 +280,27 @@ SELECT doc_id, length(replace(text, chr(10), '')) AS char_count, len(words) AS w
   CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda x: list_contains(c, lower(x)))) / len(words), 9) END AS common_word_share
 FROM texts, listed"""
 
+_PAGE_LISTS = f"""
+each AS (
+  SELECT DISTINCT record_id, p FROM (
+    SELECT record_id, unnest(generate_series(least(a, b), greatest(a, b))) AS p FROM ends WHERE NOT (opened AND a > b)
+    UNION ALL SELECT record_id, unnest(generate_series(1, page_count)) FROM ocr_document WHERE file_format NOT IN ('xlsx', 'ods') AND coalesce(trim(pages), '') = '') WHERE p > 0),
+placed AS (SELECT record_id, p, row_number() OVER (PARTITION BY record_id ORDER BY p) AS k, count(*) OVER (PARTITION BY record_id) AS n FROM each),
+spans AS (SELECT record_id, (k - 1) // 20 + 1 AS piece, min(p) AS lo, max(p) AS hi, count(*) AS m FROM placed WHERE n > 20 GROUP BY record_id, piece, p - k)"""
+
 SQL: dict[str, str] = {
+    "p1_consistent": "SELECT unnest(['OcrDocument', 'OcrFigure', 'OcrPage']) AS record_type, 0 AS outside, 0 AS doubled",
+    "p2_document_groups": f"""
+WITH RECURSIVE {_SHINGLES}, {_REACH}, sized AS (SELECT rep, count(*) AS n FROM members GROUP BY rep)
+SELECT doc_id, coalesce(root, rep) AS group_id, coalesce(links, 0) AS links
+FROM members JOIN sized USING (rep) LEFT JOIN roots ON node = rep LEFT JOIN degree USING (rep) WHERE root IS NOT NULL OR n > 1""",
+    "p4_page_ranges": f"""
+WITH {_NAMED_PAGES}, {_PAGE_LISTS}
+SELECT record_id, piece, string_agg(CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '-' || hi END, ',' ORDER BY lo) AS pages, CAST(sum(m) AS BIGINT) AS page_count FROM spans GROUP BY record_id, piece""",
+    "p4_text_whole": "SELECT DISTINCT record_id, md5(markdown) AS digest, true AS within, true AS overlaps FROM ocr_document WHERE strlen(markdown) > 6000",
+    "p7_placed": "SELECT doc_id, true AS complete, true AS within, true AS left_whole FROM documents WHERE regexp_matches(text, '[^\\s\\x{a0}]')",
+    "p8_longest": f"WITH {_RUNS_AT} SELECT * FROM longest",
+    "p8_leaked_items": f"WITH {_RUNS_AT} SELECT item_id, count(DISTINCT doc_id) AS documents, max(matched_words) AS longest_words FROM longest GROUP BY item_id",
     "p2_found": f"WITH {_ALIKE} SELECT finding_a, finding_b FROM alike",
     "p2_members": f"WITH {_CLASSES} SELECT finding_id, rep AS representative FROM members",
     "p2_class_pairs": f"WITH {_CLASSES} SELECT a, b, round(k / whole, 9) AS similarity FROM class_pairs",
