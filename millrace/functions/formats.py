@@ -103,8 +103,8 @@ def slice_utf8(text: str, offset: int, size: int) -> tuple[str, int | None]:
     return raw[offset:end].decode("utf-8", "replace"), end if end < len(raw) else None
 
 
-def probe(text: str, pattern: str, regex: bool = False, around: int = 80, most: int = 50) -> list[tuple[int, str]]:
-    """(place, text around) of the hits of a literal (in any case) or a pattern."""
+def probe(text: str, pattern: str, regex: bool = False, around: int = 80, most: int | None = 50) -> list[tuple[int, str]]:
+    """(place, text around) of the hits of a literal (in any case) or a pattern, the first ``most`` or, with None, all."""
     p = re.compile(pattern if regex else re.escape(pattern), 0 if regex else re.I)
     out = []
     for m in p.finditer(text):

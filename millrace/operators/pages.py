@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.engine.batches import keyed, restored
+from millrace.engine.running import running
 from millrace.engine.session import cut
 from millrace.functions import text as X
 
@@ -158,8 +159,8 @@ def sitemap_entries(xml: str) -> list[tuple[str, str | None, float | None, bool]
         return [(x.strip(), None, None, "<sitemapindex" in xml) for x in re.findall(r"<loc>\s*([^<]+?)\s*</loc>", xml)]
 
 
-def feed_items(xml: str) -> list[tuple[str, str, str | None]]:
-    """(title, url, published) of an RSS, Atom or JSON feed, at most 60."""
+def feed_items(xml: str, most: int | None = FEED_ITEMS) -> list[tuple[str, str, str | None]]:
+    """(title, url, published) of an RSS, Atom or JSON feed, the first ``most`` or, with None, all."""
     import json
 
     if xml.lstrip()[:1] == "{":
@@ -167,7 +168,7 @@ def feed_items(xml: str) -> list[tuple[str, str, str | None]]:
             items = json.loads(xml).get("items") or []
         except ValueError:
             return []
-        return [(i.get("title") or "", i.get("url") or "", i.get("date_published")) for i in items if isinstance(i, dict)][:FEED_ITEMS]
+        return [(i.get("title") or "", i.get("url") or "", i.get("date_published")) for i in items if isinstance(i, dict)][:most]
     try:
         root = ET.fromstring(xml)
     except ET.ParseError:
@@ -183,13 +184,13 @@ def feed_items(xml: str) -> list[tuple[str, str, str | None]]:
                 link = c.get("href") or (c.text or "").strip() or link
             got.setdefault(name, (c.text or "").strip())
         out.append((got.get("title", ""), link or "", got.get("pubDate") or got.get("published") or got.get("updated")))
-    return out[:FEED_ITEMS]
+    return out[:most]
 
 
-def parsed(df: DataFrame, id_col: str, text_col: str, what: str) -> DataFrame:
-    """Entries of sitemaps (``what`` = sitemap) or feeds (feed), one row each."""
+def parsed(df: DataFrame, id_col: str, text_col: str, what: str, most: int | None = FEED_ITEMS) -> DataFrame:
+    """Entries of sitemaps (``what`` = sitemap) or feeds (feed, the first ``most`` of each, with None all), one row each."""
     kind = df.schema[id_col].dataType.simpleString()
-    read, cols = (sitemap_entries, "loc string, lastmod string, priority double, is_index boolean") if what == "sitemap" else (feed_items, "title string, url string, published string")
+    read, cols = (sitemap_entries, "loc string, lastmod string, priority double, is_index boolean") if what == "sitemap" else (lambda t: feed_items(t, most), "title string, url string, published string")
     names = [c.split()[0] for c in cols.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,12 +248,9 @@ def crawl(seeds: DataFrame, edges: DataFrame, depth: int, most_pages: int | None
 
 def share_budget(pages: DataFrame, length_col: str, order: list[str], per_page: int, total: int) -> DataFrame:
     """``pages`` with ``granted``: characters each page may show, at most ``per_page``, until ``total`` is spent."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     want = F.least(F.col(length_col), F.lit(per_page))
-    before = F.coalesce(F.sum(want).over(w), F.lit(0))
-    return pages.withColumn("granted", F.greatest(F.lit(0), F.least(want, F.lit(total) - before)))
+    placed = running(pages.withColumn("want_", want), order, "want_")
+    return placed.withColumn("granted", F.greatest(F.lit(0), F.least("want_", F.lit(total) - F.col("before_")))).drop("want_", "before_", "place_")
 
 
 #: What pages say that ask for a login or a proof.

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EXCERPT, MAX_BYTES = 160, 1 << 20
+from millrace.engine.running import running
+
+EXCERPT = 160
 TIERS = ("precise", "normal", "noisy")
 
 
@@ -57,12 +59,12 @@ def find(text: str, path: str, matchers: tuple[Matcher, ...] = MATCHERS) -> list
     return out
 
 
-def candidates(files: DataFrame, path_col: str = "path", text_col: str = "content", matchers: tuple[Matcher, ...] = MATCHERS, id_col: str | None = None) -> DataFrame:
-    """(id, path, slug, tier, line, excerpt). Null texts and paths, and texts above 1 MiB, are not scanned. Each text is
-    scanned where it lies; patterns are compiled once a worker."""
+def candidates(files: DataFrame, path_col: str = "path", text_col: str = "content", matchers: tuple[Matcher, ...] = MATCHERS, id_col: str | None = None, most_bytes: int | None = None) -> DataFrame:
+    """(id, path, slug, tier, line, excerpt). Null texts and paths are not scanned, nor, where ``most_bytes`` is given,
+    texts above it. Each text is scanned where it lies; patterns are compiled once a worker."""
     keep = [id_col] if id_col else []
     kind = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in keep)
-    rows = files.where(F.col(path_col).isNotNull() & (F.octet_length(text_col) <= MAX_BYTES)).select(*keep, F.col(path_col).alias("path"), F.col(text_col).alias("text_"))
+    rows = files.where(F.col(path_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= most_bytes if most_bytes else F.lit(True))).select(*keep, F.col(path_col).alias("path"), F.col(text_col).alias("text_"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -82,16 +84,21 @@ def slug_counts(found: DataFrame) -> DataFrame:
 
 
 def payload(found: DataFrame, most_chars: int) -> DataFrame:
-    """(place, path, tier, matches, text, shown): a file's evidence in full while the running length of the files before,
-    best tier and then path first, keeps within ``most_chars``, else one line of inventory. The running sum goes over one
-    row per file of evidence lengths."""
+    """(place, path, tier, matches, text, shown): a file's evidence in full while the running length of the files so far,
+    best tier and then path first, keeps within ``most_chars``, else one line of inventory.
+
+    Lengths run over one row per file without its text; evidence is gathered only for files that show it, which the budget
+    bounds.
+    """
     best = F.array(*map(F.lit, TIERS))
     line = F.concat(F.lit("- "), F.col("slug"), F.lit(" line "), F.col("line").cast("string"), F.lit(": "), F.col("excerpt"))
-    per = found.groupBy("path").agg(
-        F.min(F.array_position(best, F.col("tier"))).cast("int").alias("t"), F.count(F.lit(1)).alias("matches"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "slug", line.alias("s")))), lambda x: x["s"]), "\n").alias("full")
-    )
-    w = Window.orderBy("t", "path")
-    per = per.withColumn("full", F.concat(F.lit("## "), "path", F.lit("\n"), "full")).withColumn("run", F.sum(F.length("full") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # The heading and a line end follow; every line of evidence is set off by one.
+    size = F.sum(F.length(line) + 1) + F.length("path") + 4
+    per = found.groupBy("path").agg(F.min(F.array_position(best, F.col("tier"))).cast("int").alias("t_"), F.count(F.lit(1)).alias("matches"), size.alias("size_"))
+    per = running(per, ["t_", "path"], "size_").withColumn("shown", F.col("before_") + F.col("size_") <= most_chars)
+    few = per.where("shown").select("path")
+    full = found.withColumn("s_", line).join(few, "path", "left_semi").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "slug", "s_"))), lambda x: x["s_"]), "\n").alias("full_"))
     short = F.concat(F.lit("- "), F.col("path"), F.lit(": "), F.col("matches").cast("string"), F.lit(" matches"))
-    shown = F.col("run") <= most_chars
-    return per.select(F.row_number().over(w).cast("long").alias("place"), "path", F.element_at(best, F.col("t")).alias("tier"), "matches", F.when(shown, F.col("full")).otherwise(short).alias("text"), shown.alias("shown"))
+    out = per.join(full, "path", "left")
+    text = F.when(F.col("shown"), F.concat(F.lit("## "), "path", F.lit("\n"), "full_")).otherwise(short)
+    return out.select(F.col("place_").cast("long").alias("place"), "path", F.element_at(best, F.col("t_")).alias("tier"), "matches", text.alias("text"), "shown")

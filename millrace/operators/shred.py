@@ -40,18 +40,17 @@ class Node:
 
 
 def decoded(x):
-    """The value that a member given as JSON text encodes; other text stays. Repeated encoding is undone too."""
-    for _ in range(8):
-        if not isinstance(x, str):
-            return x
-        t = x.strip().lstrip("﻿")
-        if t[:1] not in ("{", "[") and t != "null":
+    """The value that a member given as JSON text encodes, however often it was encoded; other text stays."""
+    at = x
+    while isinstance(at, str):
+        t = at.strip().lstrip("\ufeff")
+        if not t.startswith(("{", "[", '"')) and t != "null":
             return x
         try:
-            x = json.loads(t)
+            at = json.loads(t)
         except (ValueError, RecursionError):
             return x
-    return x
+    return at
 
 
 def parsed(doc) -> dict | None:

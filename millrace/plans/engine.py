@@ -72,28 +72,8 @@ def _place(spark: SparkSession, name: str) -> str:
     return os.path.join(folder, name)
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
-def source_csv(spark, d):
-    """The nations (25 rows) written as text and read again, with the types found."""
-    df = table(spark, d, "nation")
-    path = _place(spark, "nation.csv")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join([",".join(df.columns), *(r.value for r in csv_lines(df).collect())]) + "\n")
-    return delimited.read(spark, path)
-
-
-@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name, [r_name, NULL] AS names, CAST(r_regionkey AS DOUBLE) / 2 AS half FROM region")
-def source_json(spark, d):
-    """The regions (5 rows) written as JSON lines and read again."""
-    path = _place(spark, "region.ndjson")
-    with open(path, "w", encoding="utf-8") as f:
-        for r in table(spark, d, "region").collect():
-            f.write(json.dumps({"r_regionkey": r.r_regionkey, "r_name": r.r_name, "names": [r.r_name, None], "half": r.r_regionkey / 2 if r.r_regionkey % 2 else r.r_regionkey // 2}) + "\n")
-    return jsons.read(spark, path)
-
-
 @query("SELECT doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars, pack, path, created_at FROM documents")
-def source_csv_documents(spark, d):
+def source_csv(spark, d):
     """All documents exported by a task as text with quoted line ends, and read again with the types found over all rows."""
     path = _place(spark, "documents.csv")
     table(spark, d, "documents").createOrReplaceTempView("m_documents")
@@ -102,7 +82,7 @@ def source_csv_documents(spark, d):
 
 
 @query("SELECT doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars, pack, path, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM documents")
-def source_json_documents(spark, d):
+def source_json(spark, d):
     """All documents written as JSON lines by a task, and read again in splits, with the types merged over all lines."""
     path = _place(spark, "documents.ndjson")
     stamp = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at")
@@ -139,22 +119,14 @@ def page_budget(spark, d):
     return pages.share_budget(s, "n", ["s_suppkey"], 60, 1500).select("s_suppkey", F.col("granted").cast("int").alias("granted"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 700 AND regexp_matches(text, '(?i)captcha|are you a robot|verify you are human|checking your browser|cf-chl') THEN 'challenge' END AS wall FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)(?:log|sign) in to|please log in|subscribe|cookie')")
-def page_walls(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike("(?i)(?:log|sign) in to|please log in|subscribe|cookie"))
-    return pages.walls(docs, "text").select("doc_id", "wall")
-
-
 @query("SELECT doc_id, CASE WHEN length(text) <= 700 THEN CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in pages.WALLS.items()) + " END END AS wall FROM documents WHERE text IS NOT NULL")
-def page_walls_whole(spark, d):
-    """Every document with a text, and all four kinds; ``page_walls`` leaves out what may be a login, paywall or cookies."""
+def page_walls(spark, d):
     return pages.walls(table(spark, d, "documents").where("text IS NOT NULL"), "text").select("doc_id", "wall")
 
 
 @query(None)
 def page_blocks(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").contains("<table"))
-    found = pages.blocks(docs, "doc_id", "text")
+    found = pages.blocks(table(spark, d, "documents"), "doc_id", "text")
     return pages.content_kind(found, "doc_id")
 
 

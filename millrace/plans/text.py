@@ -84,19 +84,12 @@ def text_scripts(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.script_counts(F.col("text"))["Latin"].alias("latin")).where("latin > 0")
 
 
-@query("SELECT doc_id, trim(regexp_replace(left(text, 400), '\\s+', ' ', 'g')) AS squeezed FROM documents WHERE text IS NOT NULL AND regexp_matches(left(text, 400), '^[\\x00-\\x7f]*$')")
-def text_collapse(spark, d):
-    t = F.substring("text", 1, 400)
-    return table(spark, d, "documents").where(F.col("text").isNotNull() & F.substring("text", 1, 400).rlike(r"^[\x00-\x7f]*$")).select("doc_id", X.collapsed(t).alias("squeezed"))
-
-
 #: Fixed value: the class of what (?U)\s takes for blanks; the \s of the SQL side has ASCII blanks only.
 BLANKS = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(text, '{BLANKS}+', ' ', 'g')) AS squeezed FROM documents WHERE text IS NOT NULL")
-def text_collapse_whole(spark, d):
-    """The whole text of every document; ``text_collapse`` has the first 400 characters of ASCII ones."""
+def text_collapse(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.collapsed(F.col("text")).alias("squeezed"))
 
 
@@ -106,7 +99,7 @@ DOC_MATCHERS = (
     scan.Matcher("call", "normal", (r"\bcall to \w+_\w+",)),
     scan.Matcher("identifier", "noisy", (r"\b[a-z]+_[a-z]+\b",), ("rs", "py")),
 )
-_SCAN = """lines AS (SELECT doc_id, path, CAST(i AS BIGINT) AS line, x FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE path IS NOT NULL AND strlen(text) <= 1048576)),
+_SCAN = """lines AS (SELECT doc_id, path, CAST(i AS BIGINT) AS line, x FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE path IS NOT NULL AND text IS NOT NULL)),
 found AS (SELECT doc_id, path, 'long-number' AS slug, 'precise' AS tier, line FROM lines WHERE regexp_matches(x, '\\b\\d{4}-\\d{2}-\\d{2}\\b') UNION ALL SELECT doc_id, path, 'call', 'normal', line FROM lines WHERE regexp_matches(x, '\\bcall to \\w+_\\w+')
 UNION ALL SELECT doc_id, path, 'identifier', 'noisy', line FROM lines WHERE regexp_matches(path, '[.](rs|py)$') AND regexp_matches(x, '\\b[a-z]+_[a-z]+\\b'))"""
 
@@ -125,14 +118,22 @@ def scan_slug_counts(spark, d):
     return scan.slug_counts(_found(spark, d))
 
 
-@query(f"WITH {_SCAN} SELECT path, min_by(tier, CASE tier WHEN 'precise' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END) AS tier, CAST(count(*) AS BIGINT) AS matches FROM found GROUP BY 1")
+#: Characters that the report of the scan may have.
+BUDGET = 200_000
+
+
+@query(f"""WITH {_SCAN}, seen AS (SELECT DISTINCT doc_id, path, slug, tier, line FROM found), shown_lines AS (SELECT s.*, left(trim(l.x, ' ' || chr(9) || chr(13)), 160) AS excerpt FROM seen s JOIN lines l USING (doc_id, path, line)),
+per AS (SELECT path, min(CASE tier WHEN 'precise' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END) AS t, CAST(count(*) AS BIGINT) AS matches, sum(length('- ' || slug || ' line ' || line || ': ' || excerpt) + 1) + length(path) + 4 AS size FROM shown_lines GROUP BY 1),
+run AS (SELECT *, CAST(row_number() OVER w AS BIGINT) AS place, sum(size) OVER w <= {BUDGET} AS shown FROM per WINDOW w AS (ORDER BY t, path ROWS UNBOUNDED PRECEDING)),
+evidence AS (SELECT path, string_agg('- ' || slug || ' line ' || line || ': ' || excerpt, chr(10) ORDER BY line, slug, excerpt) AS full_text FROM shown_lines GROUP BY 1)
+SELECT place, path, ['precise', 'normal', 'noisy'][t] AS tier, matches, CASE WHEN shown THEN '## ' || path || chr(10) || full_text ELSE '- ' || path || ': ' || matches || ' matches' END AS text, shown FROM run JOIN evidence USING (path)""")
 def scan_payload(spark, d):
-    return scan.payload(_found(spark, d), 200_000).select("path", "tier", "matches")
+    return scan.payload(_found(spark, d), BUDGET)
 
 
 def _candidates(spark, d):
     f = table(spark, d, "candidate_finding").groupBy("finding_id").agg(F.min(F.struct("path", "severity", "confidence", "line", "title", "created_at")).alias("s")).select("finding_id", "s.*")
-    confidence = F.pmod(F.xxhash64("finding_id"), F.lit(1)) + F.expr("try_cast(substring(finding_id, -2) AS int)")
+    confidence = F.expr("try_cast(substring(finding_id, -2) AS int)")
     lens = F.substring_index("path", "/", 1)
     return f.where("path IS NOT NULL").select(lens.alias("lens"), F.expr("try_cast(substring(finding_id, 4) AS bigint)").alias("seq"), F.col("title").alias("slug"), "path", "line", F.lower("severity").alias("severity"), confidence.cast("long").alias("confidence"))
 

@@ -24,9 +24,9 @@ def duck(folder, name, table):
 
 def test_collapse_whole_text(spark, tmp_path):
     texts = {1: "a  b " * 200 + "end", 2: "n\xe9 \u2028\u3000x\xa0y ", 3: "\x0b\x85\u2003lead\t\tand\r\ntail\u202f", 4: "", 5: " \n\xa0", 6: None, 7: "\xe9" * 900 + "  z", 8: "x\x1cy\u200bz"}
-    got = {r.doc_id: r.squeezed for r in run(spark, tmp_path, "text_collapse_whole", "documents", list(texts.items()), "doc_id long, text string")}
+    got = {r.doc_id: r.squeezed for r in run(spark, tmp_path, "text_collapse", "documents", list(texts.items()), "doc_id long, text string")}
     assert got == {k: re.sub(BLANK, " ", t).strip(" ") for k, t in texts.items() if t is not None}
-    assert dict(duck(tmp_path, "text_collapse_whole", "documents")) == got
+    assert dict(duck(tmp_path, "text_collapse", "documents")) == got
 
 
 def test_walls_of_all_kinds(spark, tmp_path):
@@ -35,23 +35,23 @@ def test_walls_of_all_kinds(spark, tmp_path):
         9: "a cookie", 10: "Checking your browser; we use cookies", 11: "log in to view, subscribe to continue", 12: "subscribers only: cookie policy", 13: "we use cookies" + "." * 700, 14: "text", 15: "", 16: None, 17: "x" * 686 + "we use cookies",
     }
     want = {1: "login", 2: "login", 4: "paywall", 5: "paywall", 7: "cookies", 8: "cookies", 10: "challenge", 11: "login", 12: "paywall", 17: "cookies"}
-    got = {r.doc_id: r.wall for r in run(spark, tmp_path, "page_walls_whole", "documents", list(texts.items()), "doc_id long, text string")}
+    got = {r.doc_id: r.wall for r in run(spark, tmp_path, "page_walls", "documents", list(texts.items()), "doc_id long, text string")}
     assert got == {k: want.get(k) for k, t in texts.items() if t is not None}
-    assert dict(duck(tmp_path, "page_walls_whole", "documents")) == got
+    assert dict(duck(tmp_path, "page_walls", "documents")) == got
 
 
 def test_regex_over_whole_text(spark, tmp_path):
     texts = {1: "ab 12 " * 40 + "Zoe\u00e9 end", 2: "\U0001f600\U0001f600x\ny", 3: "", 4: None, 5: "lower"}
-    rows = run(spark, tmp_path, "regex_functions_whole", "documents", [(k, t, "a/b.py") for k, t in texts.items()], "doc_id long, text string, path string")
+    rows = run(spark, tmp_path, "regex_functions", "documents", [(k, t, "a/b.py") for k, t in texts.items()], "doc_id long, text string, path string")
     assert {r.doc_id: r.squeezed for r in rows} == {k: re.sub("[^a-z]+", "_", t) for k, t in texts.items() if t is not None}
-    assert sorted(map(tuple, rows)) == sorted(duck(tmp_path, "regex_functions_whole", "documents"))
+    assert sorted(map(tuple, rows)) == sorted(duck(tmp_path, "regex_functions", "documents"))
 
 
 def test_unnest_every_element(spark, tmp_path):
     vectors = {1: [float(x) for x in range(64)], 2: [0.5], 3: [], 4: None, 5: [1.0, None, 2.0, None]}
-    got = sorted(map(tuple, run(spark, tmp_path, "unnest_whole", "embeddings", list(vectors.items()), "vec_id long, embedding array<float>")), key=lambda r: r[:2])
+    got = sorted(map(tuple, run(spark, tmp_path, "unnest", "embeddings", list(vectors.items()), "vec_id long, embedding array<float>")), key=lambda r: r[:2])
     assert got == [(k, i + 1, x) for k, v in vectors.items() for i, x in enumerate(v or [])]
-    assert sorted(duck(tmp_path, "unnest_whole", "embeddings"), key=lambda r: r[:2]) == got
+    assert sorted(duck(tmp_path, "unnest", "embeddings"), key=lambda r: r[:2]) == got
 
 
 def test_sessions_of_the_stream(spark, tmp_path, monkeypatch):
@@ -73,7 +73,7 @@ def test_sources_read_all_documents(spark, tmp_path):
     rows.append((n, "last", "en", "12", 2**40, None, "true", None))
     schema = "doc_id long, text string, lang string, source string, n_chars long, pack string, path string, created_at timestamp_ntz"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("source_csv_documents", "source_json_documents"):
+    for name in ("source_csv", "source_json"):
         df = plans.all_queries()[name](spark, str(tmp_path))
         stamp = (lambda t: t) if "csv" in name else lambda t: t and t.strftime("%Y-%m-%d %H:%M:%S.%f")  # noqa: B023
         assert dict(df.dtypes)["n_chars"] == "bigint" and dict(df.dtypes)["text"] == "string"
