@@ -147,6 +147,22 @@ def _whole(spark: SparkSession):
     return check
 
 
+def _floats(spark: SparkSession):
+    def check(text: str, n: int) -> bool:
+        """Whether the n-th division of a text is between floats: told by making it one that fails on floats only."""
+        ts = dialect.tokens(text)
+        i = [k for k, t in enumerate(ts) if t.kind == "sign" and t.text == "/"][n]
+        try:
+            before = spark._jsparkSession.sql(text).queryExecution().analyzed()
+            after = spark._jsparkSession.sql("".join(" % " if k == i else t.text for k, t in enumerate(ts))).queryExecution().analyzed()
+        except Exception:  # noqa: BLE001
+            return False
+        double = lambda plan: sum(_kind(e.dataType()) in ("DoubleType", "FloatType") for e, is_plan in _walk(plan) if not is_plan and _kind(e) == "Divide")
+        return double(before) > double(after)
+
+    return check
+
+
 @dataclass
 class Prepared:
     df: DataFrame
@@ -163,7 +179,7 @@ def prepare(spark: SparkSession, sql: str, rewrite: bool = True) -> Prepared:
     text = dialect.rewrite(sql.strip().rstrip(";")) if rewrite else sql
     gate(spark, text)
     if rewrite and "/" in text:
-        text = dialect.divisions(text, _whole(spark))
+        text = dialect.float_divisions(dialect.divisions(text, _whole(spark)), _floats(spark))
     try:
         df = spark.sql(text)
     except (AnalysisException, ParseException) as x:

@@ -42,6 +42,22 @@ def engine_dialect(spark, d):
     return _sql(spark, d, "SELECT o_orderkey / 7 AS w, o_totalprice / 2 AS h, o_orderkey + 2147483647 AS big, 1.5 AS d FROM m_orders WHERE o_orderkey / 7 * 7 = o_orderkey", "orders")
 
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN CASE WHEN l_tax > 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST('NaN' AS DOUBLE) END ELSE round(CAST(l_tax AS DOUBLE) / CAST(l_discount AS DOUBLE), 6) END AS ratio,
+round(sqrt(CAST(l_extendedprice AS DOUBLE)), 6) AS root FROM lineitem""")
+def engine_floats(spark, d):
+    return _sql(spark, d, "SELECT l_orderkey, l_linenumber, round(CAST(l_tax AS DOUBLE) / CAST(l_discount AS DOUBLE), 6) AS ratio, round(sqrt(CAST(l_extendedprice AS DOUBLE)), 6) AS root FROM m_lineitem", "lineitem")
+
+
+@query("SELECT n_regionkey AS k, CAST(CAST(sum(n_nationkey) AS HUGEINT) + 9223372036854775807 AS VARCHAR) AS total, CAST(sum(n_nationkey) AS VARCHAR) AS plain FROM nation GROUP BY 1")
+def engine_unsigned(spark, d):
+    return _sql(spark, d, "SELECT n_regionkey AS k, CAST(sum(CAST(n_nationkey AS BIGINT UNSIGNED)) + 9223372036854775807 AS STRING) AS total, CAST(sum(n_nationkey) AS STRING) AS plain FROM m_nation GROUP BY n_regionkey", "nation")
+
+
+@query("SELECT DISTINCT event_type, true AS near FROM events")
+def engine_approximate(spark, d):
+    return _sql(spark, d, "SELECT event_type, abs(approx_distinct(user_id) - count(DISTINCT user_id)) * 10 <= count(DISTINCT user_id) AS near FROM m_events GROUP BY event_type", "events")
+
+
 @query("SELECT vec_id, embedding[1] AS one, embedding[2] AS two FROM embeddings")
 def engine_subscripts(spark, d):
     return _sql(spark, d, "SELECT vec_id, e.embedding[1] AS one, e.embedding[2] AS two FROM m_embeddings e", "embeddings")

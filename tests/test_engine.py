@@ -165,3 +165,17 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(Refused):
         c.run({"nonsense": 1})
     assert not [f for f in os.listdir(tmp_path) if f.startswith(".") and f != ".hidden.csv"]
+
+
+def test_floats_roots_and_unsigned_sums(spark):
+    from millrace.engine import sql as Q
+
+    Q.configure(spark)
+    one = lambda s: Q.prepare(spark, s).df.first()[0]
+    assert one("SELECT 1.5 / 0.0") == float("inf") and one("SELECT -1.5 / 0.0 * 2") == float("-inf") and one("SELECT 0.0 / 0.0") != one("SELECT 0.0 / 0.0")
+    assert one("SELECT 1 + 3.0 / 2.0 - 0.5") == 2.0 and one("SELECT 6.0 * 2.0 / 3.0") == 4.0 and one("SELECT CAST(NULL AS DOUBLE) / 0.0") is None and one("SELECT 7 / 2") == 3
+    assert one("SELECT abs(-3.0) / (SELECT 2.0)") == 1.5 and one("SELECT sum(x) / max(y) FROM (VALUES (1.0, 0.0), (2.0, 0.0)) AS t(x, y)") == float("inf")
+    for bad in ("SELECT sqrt(-1)", "SELECT CAST(-1 AS BIGINT UNSIGNED)", "SELECT sum(CAST(x AS BIGINT UNSIGNED)) FROM (VALUES (18446744073709551615), (1)) AS t(x)", "SELECT 1 / 0"):
+        with pytest.raises(Exception):
+            one(bad)
+    assert one("SELECT sqrt(16)") == 4 and one("SELECT approx_distinct(x) FROM (VALUES (1), (2), (2)) AS t(x)") == 2 and str(one("SELECT sum(CAST(x AS BIGINT UNSIGNED)) FROM (VALUES (18446744073709551614), (1)) AS t(x)")) == "18446744073709551615"
