@@ -57,30 +57,27 @@ def unpack(spec: Packed, column: str | None = None) -> Column:
     like one is unpacked like any other.
     """
     c = f"`{column or spec.field}`"
-    text = f"regexp_replace({c}, '\\\\r\\\\n?', '\\n')"
-    bare = f"trim(regexp_replace({text}, {_sql(LIST_MARK)}, ''))"
-    listed = f"rlike({text}, {_sql(LIST_MARK)})"
-    # A cut JSON array keeps its values; backquotes are quotes where they pair.
-    body = f"regexp_replace({bare}, '^\\\\[', '')"
-    body = f"if(length({body}) - length(replace({body}, '`', '')) = 1, {body}, translate({body}, '`', '\"'))"
-    paired = f"(length({body}) - length(replace({body}, '\"', ''))) % 2 = 0"
-    pieces = f"if({paired}, split({body}, '\"', -1), array({body}))"
+    sep = _sql(CUT)
+    listed = f"rlike(t, {_sql(LIST_MARK)})"
+    bare = f"trim(regexp_replace(t, {_sql(LIST_MARK)}, ''))"
+    quotes = lambda x, q: f"(length({x}) - length(replace({x}, {_sql(q)}, '')))"
 
     def joined(outside: str) -> str:
         """Literals between their marks, everything outside through ``outside``."""
         return (
-            f"array_join(transform({pieces}, (p, i) -> CASE WHEN i % 2 = 1 THEN concat({_sql(OPEN)}, p, {_sql(CLOSE)}) "
-            f"WHEN p = '' AND i > 0 AND i < size({pieces}) - 1 THEN {_sql(QUOTE)} ELSE {outside} END), '')"
+            f"array_join(transform(ps, (p, i) -> CASE WHEN i % 2 = 1 THEN concat({_sql(OPEN)}, p, {_sql(CLOSE)}) "
+            f"WHEN p = '' AND i > 0 AND i < size(ps) - 1 THEN {_sql(QUOTE)} ELSE {outside} END), '')"
         )
 
-    p = "p"
-    if spec.conjunction:
-        p = f"regexp_replace(p, {_sql(rf'(?i)(?:^|(?<=[\s,;])|(?<=^))[,;]?\s*\b{spec.conjunction}\s+')}, {_sql(CUT)})"
-        p = f"if(rlike(p, {_sql(rf'(?i)(?:^|\s){spec.conjunction}\s')}), {p}, p)"
-    cut = joined(_delimited(f"({p})"))
+    word = spec.conjunction
+    outside = _delimited("p")
+    if word:
+        parted = f"regexp_replace(p, {_sql(rf'(?i)(?:^|(?<=[\s,;])|(?<=^))[,;]?\s*\b{word}\s+')}, {sep})"
+        outside = f"if(rlike(p, {_sql(rf'(?i)(?:^|\s){word}\s')}), {_let('p', parted, outside)}, {outside})"
+    cut = joined(outside)
     if spec.blanks:
-        blank = joined(f"regexp_replace(p, '\\\\s+', {_sql(CUT)})")
-        cut = f"if(NOT {listed} AND instr({cut}, {_sql(CUT)}) = 0, {blank}, {cut})"
+        blank = joined(f"regexp_replace(p, '\\\\s+', {sep})")
+        cut = _let("cut", cut, f"if(instr(cut, {sep}) = 0 AND NOT {listed}, {blank}, cut)")
     if spec.typed:
         value = (
             f"if(instr(v, {_sql(OPEN)}) > 0, regexp_extract(v, {_sql(f'(?s){OPEN}(.*){CLOSE}')}, 1), "
@@ -90,15 +87,22 @@ def unpack(spec: Packed, column: str | None = None) -> Column:
         value = "v"
     clean = f"translate({value}, {_sql(OPEN + CLOSE)}, '')"
     clean = f"regexp_replace(replace({clean}, {_sql(QUOTE)}, '\"'), {_sql(r'(?U)^\s+|\s+$')}, '')"
-    folded = f"filter(transform(split({cut}, {_sql(CUT)}, -1), v -> {clean}), v -> v <> '')"
-    read = f"from_json(trim({c}), 'array<string>')"
+    folded = f"filter(transform(split({cut}, {sep}, -1), v -> {clean}), v -> v <> '')"
+    # A cut JSON array keeps its values; backquotes are quotes where they pair. Every step is bound once.
+    folded = _let("ps", f"if({quotes('b', '\"')} % 2 = 0, split(b, '\"', -1), array(b))", folded)
+    folded = _let("b", f"if({quotes('b', '`')} = 1, b, translate(b, '`', '\"'))", folded)
+    folded = _let("b", f"regexp_replace({bare}, '^\\\\[', '')", folded)
     element = "trim(if(startswith(e, '{'), get_json_object(e, '$.name'), e))"
-    from_json = f"filter(transform({read}, e -> {element}), v -> v IS NOT NULL AND v <> '')"
-    nothing = f"{c} IS NULL OR lower(trim({text})) IN ({', '.join(map(_sql, NOTHING))})"
-    return F.expr(
-        f"CASE WHEN {nothing} THEN cast(array() AS array<string>) "
-        f"WHEN rlike({c}, '^\\\\s*\\\\[') AND {read} IS NOT NULL THEN {from_json} ELSE {folded} END"
-    )
+    from_json = f"filter(transform(j, e -> {element}), v -> v IS NOT NULL AND v <> '')"
+    read = f"if(rlike(t, '^\\\\s*\\\\['), from_json(trim({c}), 'array<string>'), NULL)"
+    either = _let("j", read, f"if(j IS NOT NULL, {from_json}, {folded})")
+    nothing = f"t IS NULL OR lower(trim(t)) IN ({', '.join(map(_sql, NOTHING))})"
+    return F.expr(_let("t", f"regexp_replace({c}, '\\\\r\\\\n?', '\\n')", f"if({nothing}, cast(array() AS array<string>), {either})"))
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def unpack_fields(df: DataFrame, id_col: str, specs: list[Packed]) -> DataFrame:
