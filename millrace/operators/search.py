@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.engine.running import running
 from millrace.functions import text as X
 
 #: The weight of reciprocal ranks, of lists of one kind of page, of agreement, of relevance and of hosts.
@@ -13,7 +14,7 @@ PER_HOST, TITLE = 2, 512
 
 
 def fuse(
-    hits: DataFrame, engines: DataFrame, query: str = "", priors: DataFrame | None = None, trust: DataFrame | None = None, most: int = 50, by: tuple[str, ...] = ()
+    hits: DataFrame, engines: DataFrame, query: str = "", priors: DataFrame | None = None, trust: DataFrame | None = None, most: int | None = 50, by: tuple[str, ...] = ()
 ) -> DataFrame:
     """(by..., key, url, title, snippet, published, engines, families, score, place).
 
@@ -21,7 +22,9 @@ def fuse(
     engine is a family of its own and counts less. Of engines of one family the best contribution to a page counts; pages
     that several families name gain; relevance to ``query`` and the prior of the host are added; pages that verticals alone
     name lose. Of pages of one title the first stays, and at most two pages of a host come before the rest. priors: (host,
-    prior); trust: (engine, trust). Pages are told apart by their URL key. ``by`` columns separate searches.
+    prior); trust: (engine, trust). Pages are told apart by their URL key. ``by`` columns separate searches; ``most``
+    pages of each are given, with None all. No window holds more than the first pages of a title, a host or, with
+    ``most``, a search: places of all pages are told by ranges.
     """
     keys = [*by, "key"]
     e = engines.select(F.col("engine").alias("e_"), "family", "vertical")
@@ -51,19 +54,31 @@ def fuse(
         id_ = F.concat_ws("\x01", *keys)
         page = page.withColumn("id_", id_).withColumn("doc_", F.concat_ws(" ", "title", "snippet"))
         rel = X.bm25(page, "id_", "doc_", query).withColumnRenamed("score", "rel")
-        top = F.greatest(F.max("rel").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))), F.lit(1e-9))
-        page = page.join(rel, "id_", "left").withColumn("score", F.col("score") + RELEVANCE * F.coalesce(F.col("rel") / top, F.lit(0.0))).drop("id_", "doc_", "rel")
+        # The best relevance of each search, one row.
+        top = page.select("id_", *by).join(rel, "id_").groupBy(*by).agg(F.greatest(F.max("rel"), F.lit(1e-9)).alias("top_"))
+        page = page.join(rel, "id_", "left")
+        page = page.join(top, list(by), "left") if by else page.crossJoin(F.broadcast(top))
+        page = page.withColumn("score", F.col("score") + RELEVANCE * F.coalesce(F.col("rel") / F.col("top_"), F.lit(0.0))).drop("id_", "doc_", "rel", "top_")
     if priors is not None:
         p = priors.select(F.col("host").alias("h_"), "prior")
         page = page.join(p, X.host(F.col("url")) == F.col("h_"), "left").withColumn("score", F.col("score") + PRIOR * F.coalesce("prior", F.lit(0.0))).drop("h_", "prior")
     page = page.withColumn("score", F.when(F.col("only_vertical") == 1, F.col("score") * VERTICAL_ONLY).otherwise(F.col("score")))
     order = [F.desc("score"), F.asc("key")]
+    titled = page.where(F.length("title") > 0)
     same = Window.partitionBy(*by, F.lower("title")).orderBy(*order)
-    page = page.withColumn("dup_", F.when(F.length("title") > 0, F.row_number().over(same)).otherwise(1)).where("dup_ = 1")
-    ranked = page.withColumn("turn_", F.row_number().over(Window.partitionBy(*by, X.host(F.col("url"))).orderBy(*order)))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = ranked.withColumn("place", F.row_number().over(w.orderBy(F.col("turn_") > PER_HOST, *order)).cast("long"))
-    return ranked.where(F.col("place") <= most).select(*by, "key", "url", "title", "snippet", "published", "engines", F.col("families").cast("long").alias("families"), "score", "place")
+    page = titled.withColumn("dup_", F.row_number().over(same)).where("dup_ = 1").drop("dup_").unionByName(page.where(F.length("title") == 0))
+    page = page.withColumn("host_", F.coalesce(X.host(F.col("url")), F.lit("")))
+    ahead = page.select(*keys, "host_", "score").withColumn("turn_", F.row_number().over(Window.partitionBy(*by, "host_").orderBy(*order))).where(F.col("turn_") <= PER_HOST)
+    page = page.join(ahead.select(*keys, F.lit(False).alias("after_")), keys, "left").withColumn("after_", F.coalesce("after_", F.lit(True)))
+    order = ["after_", *order]
+    if by:
+        ranked = page.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        ranked = ranked.where(F.col("place") <= most) if most is not None else ranked
+    elif most is not None:
+        ranked = page.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    else:
+        ranked = running(page, order).withColumnRenamed("place_", "place")
+    return ranked.select(*by, "key", "url", "title", "snippet", "published", "engines", F.col("families").cast("long").alias("families"), "score", F.col("place").cast("long").alias("place"))
 
 
 def engine_health(hits: DataFrame, least: int = 3, by: tuple[str, ...] = ()) -> DataFrame:

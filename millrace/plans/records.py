@@ -121,6 +121,33 @@ cleaned AS (
     WHEN field_name = 'column_list' THEN regexp_replace(x, '\\s*[:(](?s:.*)$', '') WHEN contains(x, '"') THEN replace(regexp_replace(trim(x), '^"(.*)"$', '\\1'), '""', '"') ELSE x END)), lambda x: x <> '') AS l FROM cut)
 SELECT DISTINCT record_id, field_name, CAST(pos AS BIGINT) AS pos, item_value FROM (SELECT record_id, field_name, unnest(l) AS item_value, generate_subscripts(l, 1) AS pos FROM cleaned)"""
 
+_VALUE = "{0} IS NOT NULL AND json_type({0}) <> 'NULL'"
+#: Level entries from the members themselves: a list without elements gives one entry of its parent's definition.
+_P5_LEVELS = f"""
+one AS (SELECT case_id, doc FROM (SELECT case_id, doc, row_number() OVER (PARTITION BY case_id) AS k FROM plugin_case) WHERE k = 1),
+docs AS (SELECT case_id, j FROM (SELECT case_id, try_cast(ltrim(doc, chr(65279)) AS JSON) AS j FROM one) WHERE json_type(j) = 'OBJECT'),
+parts AS (SELECT case_id, {_dec("(j -> '$.input.caller')")} AS caller, {_dec("(j -> '$.input.data')")} AS data, {_dec("(j -> '$.expect.progress')")} AS p1, {_dec("(j -> '$.expect.effects.progress')")} AS p2 FROM docs),
+progress AS (SELECT case_id, CASE WHEN {_VALUE.format('p1')} THEN p1 ELSE p2 END AS p FROM parts),
+sets AS (SELECT case_id, l, len(l) AS n FROM (SELECT case_id, {_items('data')} AS l FROM parts)),
+set_ AS (SELECT case_id, unnest(l) AS d, generate_subscripts(l, 1) AS i FROM sets),
+rows_ AS (SELECT case_id, i, {_items('r')} AS l FROM (SELECT case_id, i, {_dec("(d -> '$.rows')")} AS r FROM set_)),
+row_ AS (SELECT case_id, i, unnest(l) AS e, generate_subscripts(l, 1) AS k FROM rows_),
+phases AS (SELECT case_id, {_items('f')} AS l, {_VALUE.format('p')} AND json_type(p) = 'OBJECT' AS has FROM (SELECT case_id, p, {_dec("(p -> '$.phases')")} AS f FROM progress)),
+phase_ AS (SELECT case_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM phases),
+slots AS (SELECT case_id, i, e, {_items('a')} AS l FROM (SELECT case_id, i, e, {_dec("(e -> '$.active')")} AS a FROM phase_)),
+slot_ AS (SELECT case_id, i, unnest(l) AS e, generate_subscripts(l, 1) AS k FROM slots),
+entries AS (
+  SELECT 'call.caller.agent_id' AS path, 0 AS repetition, CASE WHEN NOT coalesce(json_type(caller) = 'OBJECT', false) THEN 1 WHEN {_VALUE.format("(caller -> '$.agent_id')")} THEN 3 ELSE 2 END AS definition FROM parts
+  UNION ALL SELECT 'call.progress.state', 0, CASE WHEN NOT coalesce(json_type(p) = 'OBJECT', false) THEN 1 WHEN {_VALUE.format("(p -> '$.state')")} THEN 3 ELSE 2 END FROM progress
+  UNION ALL SELECT 'call.data.rows.element', 0, 1 FROM sets WHERE coalesce(n, 0) = 0
+  UNION ALL SELECT 'call.data.rows.element', CASE WHEN i = 1 THEN 0 ELSE 1 END, 2 FROM rows_ WHERE coalesce(len(l), 0) = 0
+  UNION ALL SELECT 'call.data.rows.element', CASE WHEN k > 1 THEN 2 WHEN i > 1 THEN 1 ELSE 0 END, CASE WHEN {_VALUE.format('e')} THEN 4 ELSE 3 END FROM row_
+  UNION ALL SELECT 'call.progress.phases.element', 0, CASE WHEN has THEN 2 ELSE 1 END FROM phases WHERE coalesce(len(l), 0) = 0
+  UNION ALL SELECT 'call.progress.phases.element', CASE WHEN i > 1 THEN 1 ELSE 0 END, CASE WHEN {_VALUE.format('e')} THEN 4 ELSE 3 END FROM phase_
+  UNION ALL SELECT 'call.progress.phases.active.element', 0, CASE WHEN has THEN 2 ELSE 1 END FROM phases WHERE coalesce(len(l), 0) = 0
+  UNION ALL SELECT 'call.progress.phases.active.element', CASE WHEN i > 1 THEN 1 ELSE 0 END, 3 FROM slots WHERE coalesce(len(l), 0) = 0
+  UNION ALL SELECT 'call.progress.phases.active.element', CASE WHEN k > 1 THEN 2 WHEN i > 1 THEN 1 ELSE 0 END, CASE WHEN {_VALUE.format('e')} THEN 5 ELSE 4 END FROM slot_)"""
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_orphan_counts": p3_orphan_counts,
@@ -130,6 +157,7 @@ QUERIES = {
     "p6_value_counts": p6_value_counts,
 }
 SQL = {
+    "p5_levels": f"WITH {_P5_LEVELS} SELECT path, repetition, definition, count(*) AS entries FROM entries GROUP BY ALL",
     "p5_found": f"WITH {_P5_ROWS}",
     "p6_found": f"WITH {_P6_ROWS}",
     "p6_value_counts": f"SELECT field_name, item_value, count(*) AS uses FROM (WITH {_P6_ROWS}) GROUP BY 1, 2",

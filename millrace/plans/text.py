@@ -45,10 +45,10 @@ _HITS = """hits AS (SELECT ['brave', 'bing', 'ddg', 'mojeek', 'arxiv'][1 + (doc_
 @query(f"""WITH {_HITS}, per AS (SELECT key, host, CASE engine WHEN 'arxiv' THEN 'vertical:arxiv' WHEN 'ddg' THEN 'bing' ELSE engine END AS fam, max(CASE engine WHEN 'arxiv' THEN 0.6 ELSE 1.0 END / (60 + rank + 1)) AS part, min(CASE engine WHEN 'arxiv' THEN 1 ELSE 0 END) AS v FROM hits GROUP BY ALL),
 pages AS (SELECT key, host, CAST(count(*) AS BIGINT) AS families, sum(part) * (1 + 0.5 * (count(*) - 1)) * CASE WHEN min(v) = 1 THEN 0.4 ELSE 1 END AS score FROM per GROUP BY ALL),
 turned AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY round(score, 9) DESC, key) AS turn FROM pages), placed AS (SELECT *, CAST(row_number() OVER (ORDER BY turn > 2, round(score, 9) DESC, key) AS BIGINT) AS place FROM turned)
-SELECT key, families, round(score, 9) AS score FROM placed WHERE place <= 1000000""")
+SELECT key, families, round(score, 9) AS score FROM placed""")
 def search_fusion(spark, d):
     """All pages ranked; places of equal scores fall by key, so only scores are compared."""
-    return search.fuse(_hits(spark, d), _engines(spark), most=1_000_000).select("key", "families", F.round("score", 9).alias("score"))
+    return search.fuse(_hits(spark, d), _engines(spark), most=None).select("key", "families", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {_HITS} SELECT engine, CAST(count(*) AS BIGINT) AS hits, count(*) >= 3 AS healthy FROM hits GROUP BY 1")
@@ -73,7 +73,11 @@ def text_prose_share(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.round(X.prose_share(F.col("text")), 6).alias("share"))
 
 
-@query(None)
+_TELLING = " ".join(f"WHEN {k} = greatest({', '.join(X.TELLING)}) THEN '{k}'" for k in X.TELLING)
+
+
+@query("WITH w AS (SELECT lang, text, regexp_split_to_array(lower(text), '[^\\p{L}]+') AS w FROM documents WHERE text IS NOT NULL), h AS (SELECT lang, " + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(t) for t in ts)}))) AS {k}" for k, ts in X.TELLING.items())
+       + f" FROM w), g AS (SELECT lang, CASE WHEN greatest({', '.join(X.TELLING)}) < 2 THEN NULL {_TELLING} END AS guess FROM h) SELECT lang, guess, CAST(count(*) AS BIGINT) AS documents FROM g GROUP BY ALL")
 def text_language(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL")
     return docs.select("lang", X.language(F.col("text")).alias("guess")).groupBy("lang", "guess").agg(F.count(F.lit(1)).alias("documents"))
