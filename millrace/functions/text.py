@@ -156,28 +156,15 @@ def stem(c: Column) -> Column:
     return F.when(F.length(c) > 3, w).otherwise(c)
 
 
-def coverage(title: Column, snippet: Column, query: str, penalty: float = 0.3) -> Column:
-    """1, or ``penalty`` for a hit that lacks a version number, year or quoted phrase that the query asks for."""
+def query_terms(query: str) -> list[str]:
+    """The different words of a query without stop words."""
     import re
 
-    text = F.lower(F.concat_ws(" ", title, snippet))
-    wanted = [m.lower() for m in re.findall(r'"([^"]+)"', query)] + re.findall(r"\bv?\d+(?:\.\d+)+\b|\b(?:19|20)\d{2}\b", query)
-    lacking = F.lit(False)
-    for w in wanted:
-        lacking = lacking | ~F.contains(text, F.lit(w))
-    return F.when(lacking, penalty).otherwise(1.0)
-
-
-def freshness(published: Column, today: str, half_life_days: float = 365.0) -> Column:
-    """A factor from 1 for today down by half each half-life; 1 where the date isn't known."""
-    days = F.greatest(F.lit(0), F.date_diff(F.lit(today).cast("date"), published.try_cast("date")))
-    return F.coalesce(F.pow(F.lit(0.5), days / half_life_days), F.lit(1.0))
+    return sorted({t for t in re.findall(r"[^\W_]+", query.lower()) if t not in STOP_WORDS})
 
 
 def term_ratio(title: Column, query: str) -> Column:
     """The share of the query's terms that a title holds."""
-    import re
-
-    terms = sorted({t for t in re.findall(r"[^\W_]+", query.lower()) if t not in STOP_WORDS})
+    terms = query_terms(query)
     have = tokens(title)
     return sum((F.array_contains(have, t).cast("double") for t in terms), F.lit(0.0)) / max(1, len(terms))

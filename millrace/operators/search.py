@@ -67,18 +67,31 @@ def fuse(
     titled = page.where(F.length("title") > 0)
     same = Window.partitionBy(*by, F.lower("title")).orderBy(*order)
     page = titled.withColumn("dup_", F.row_number().over(same)).where("dup_ = 1").drop("dup_").unionByName(page.where(F.length("title") == 0))
-    page = page.withColumn("host_", F.coalesce(X.host(F.col("url")), F.lit("")))
-    ahead = page.select(*keys, "host_", "score").withColumn("turn_", F.row_number().over(Window.partitionBy(*by, "host_").orderBy(*order))).where(F.col("turn_") <= PER_HOST)
+    ranked = placed(page, most, by)
+    return ranked.select(*by, "key", "url", "title", "snippet", "published", "engines", F.col("families").cast("long").alias("families"), "score", "place")
+
+
+def placed(page: DataFrame, most: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pages (by..., key, url, score, ...) with ``place``, the best scores first, but of each host only two before all
+    others; the first ``most`` of each search."""
+    keys, order = [*by, "key"], [F.desc("score"), F.asc("key")]
+    hosted = page.select(*keys, F.coalesce(X.host(F.col("url")), F.lit("")).alias("host_"), "score")
+    ahead = hosted.withColumn("turn_", F.row_number().over(Window.partitionBy(*by, "host_").orderBy(*order))).where(F.col("turn_") <= PER_HOST)
     page = page.join(ahead.select(*keys, F.lit(False).alias("after_")), keys, "left").withColumn("after_", F.coalesce("after_", F.lit(True)))
     order = ["after_", *order]
     if by:
-        ranked = page.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-        ranked = ranked.where(F.col("place") <= most) if most is not None else ranked
+        out = page.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        out = out.where(F.col("place") <= most) if most is not None else out
     elif most is not None:
-        ranked = page.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+        out = page.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
     else:
-        ranked = running(page, order).withColumnRenamed("place_", "place")
-    return ranked.select(*by, "key", "url", "title", "snippet", "published", "engines", F.col("families").cast("long").alias("families"), "score", F.col("place").cast("long").alias("place"))
+        out = running(page, order).withColumnRenamed("place_", "place").drop("before_")
+    return out.withColumn("place", F.col("place").cast("long")).drop("after_")
+
+
+def numbered(results: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` of placed results, their places without gaps."""
+    return results.orderBy("place").limit(most).withColumn("place", F.row_number().over(Window.orderBy("place")).cast("long"))
 
 
 def engine_health(hits: DataFrame, least: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
@@ -118,13 +131,20 @@ def intent(query: str) -> str:
     return "web"
 
 
-def weak(results: DataFrame, query: str, by: tuple[str, ...] = ()) -> DataFrame:
+def weak(results: DataFrame, query: str, by: tuple[str, ...] = (), total: DataFrame | None = None) -> DataFrame:
     """(by..., weak): whether fewer than two families name the first page and fewer than eight pages were found, or none
-    of the first three titles and snippets holds a fifth of the query's terms."""
+    of the first three titles and snippets holds three fifths of the query's terms. total: all pages found, where the
+    results are the first of them. Without results it is weak."""
     share = X.term_ratio(F.concat_ws(" ", "title", "snippet"), query)
     r = results.withColumn("share_", share)
-    first = F.max(F.when(F.col("place") == 1, F.col("families")))
-    a = [first.alias("f_"), F.count(F.lit(1)).alias("n_"), F.max(F.when(F.col("place") <= 3, F.col("share_"))).alias("s_")]
+    first = F.min(F.struct("place", "families")).getField("families")
+    ranks = F.row_number().over(Window.partitionBy(*by).orderBy("place")) if by else F.row_number().over(Window.orderBy("place"))
+    # At most the results of a call.
+    r = r.withColumn("k_", ranks)
+    a = [first.alias("f_"), F.count(F.lit(1)).alias("n_"), F.max(F.when(F.col("k_") <= 3, F.col("share_"))).alias("s_")]
     g = r.groupBy(*by).agg(*a) if by else r.agg(*a)
-    flag = ((F.coalesce("f_", F.lit(0)) < 2) & (F.col("n_") < 8)) | (F.coalesce("s_", F.lit(0.0)) < 0.2)
+    if total is not None and not by:
+        g = g.drop("n_").crossJoin(F.broadcast(total.agg(F.count(F.lit(1)).alias("n_"))))
+    bare = F.lit(not X.query_terms(query))
+    flag = (F.coalesce("f_", F.lit(0)) == 0) | ((F.col("f_") < 2) & (F.col("n_") < 8)) | ~bare & (F.coalesce("s_", F.lit(0.0)) < 0.6)
     return g.select(*by, flag.alias("weak"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.engine.session import table
 from millrace.functions import text as X
-from millrace.operators import review, scan, search
+from millrace.operators import finish, review, scan, search
 
 QUERIES, SQL = {}, {}
 
@@ -61,6 +61,71 @@ def search_site_filter(spark, d):
     return search.restrict(_hits(spark, d), "schema site:wiki.example").select(X.url_key(F.col("url")).alias("key"))
 
 
+@query(f"""WITH {_HITS}, per AS (SELECT key, host, CASE engine WHEN 'arxiv' THEN 'vertical:arxiv' WHEN 'ddg' THEN 'bing' ELSE engine END AS fam, max(CASE engine WHEN 'arxiv' THEN 0.6 ELSE 1.0 END / (60 + rank + 1)) AS part, min(CASE engine WHEN 'arxiv' THEN 1 ELSE 0 END) AS v FROM hits GROUP BY ALL),
+pages AS (SELECT key, host, sum(part) * (1 + 0.5 * (count(*) - 1)) * CASE WHEN min(v) = 1 THEN 0.4 ELSE 1 END AS score FROM per GROUP BY ALL),
+turned AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY round(score, 9) DESC, key) AS turn FROM pages),
+first AS (SELECT *, row_number() OVER (ORDER BY turn > 2, round(score, 9) DESC, key) AS place FROM turned QUALIFY place <= 6000)
+SELECT round(score, 9) AS score FROM first WHERE host = 'wiki.example' ORDER BY place LIMIT 2000""")
+def search_finish(spark, d):
+    """The first 2,000 pages of a search kept to one site; places of equal scores fall by key, so only scores are compared."""
+    hits = _hits(spark, d).withColumn("query", F.lit("site:wiki.example"))
+    return finish.search_finish(hits, _engines(spark), ["site:wiki.example"], most=2_000, intent="web").results.select(F.round("score", 9).alias("score"))
+
+
+@query("""WITH t AS (SELECT doc_id, lower(path || ' ' || text) AS x FROM documents WHERE path IS NOT NULL AND text IS NOT NULL)
+SELECT doc_id, round(CASE WHEN contains(x, 're-entry') OR contains(x, 're entry') OR contains(x, 'reentry') THEN 1 ELSE 0.3 END
+  * CASE WHEN NOT regexp_matches(x, '(^|[^0-9.])3[.]12($|[^0-9])') AND regexp_matches(x, '(^|[^0-9])3[.]([0-9]|[02-9][0-9]|1[013-9]|[0-9]{3})($|[^0-9])') THEN 0.3 ELSE 1 END
+  * CASE WHEN NOT contains(x, '2024') AND regexp_matches(x, '(^|[^0-9])20([013-9][0-9]|2[0-35-9])($|[^0-9])') THEN 0.3 ELSE 1 END, 9) AS factor FROM t""")
+def search_coverage(spark, d):
+    docs = table(spark, d, "documents").where("path IS NOT NULL AND text IS NOT NULL")
+    return docs.select("doc_id", F.round(finish.coverage_factor(F.concat_ws(" ", "path", "text"), "re-entry after 3.12 in 2024"), 9).alias("factor"))
+
+
+#: Words of a query, and the hosts that are official for what they name.
+OFFICIAL_HOSTS = {"ledger": ("wiki.example",), "ledger mailbox": ("handbook.example",), "socket": ("docs.example",)}
+
+
+@query("""WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS x, coalesce(regexp_replace(source, '/.*', ''), 'none') || '.example' AS host, date_diff('day', CAST(created_at AS DATE), DATE '2026-06-01') AS age FROM documents WHERE path IS NOT NULL)
+SELECT doc_id, round(CASE WHEN host = 'wiki.example' THEN 1.6 * 1.15 ELSE 1 END * (1 + 0.35 * ((CASE WHEN contains(x, 'ledger') THEN 1 ELSE 0 END + CASE WHEN contains(x, 'snapshot') THEN 1 ELSE 0 END + CASE WHEN contains(x, 'api') THEN 1 ELSE 0 END) / 3))
+  * CASE WHEN contains(trim(regexp_replace(x, '[^\\p{L}\\p{N}]', ' ', 'g')), 'api of the ledger snapshot') THEN 1.15 ELSE 1 END
+  * CASE WHEN age IS NULL THEN 1 WHEN age <= 1 THEN 1.5 WHEN age <= 3 THEN 1.3 WHEN age <= 7 THEN 1.15 WHEN age <= 30 THEN 1 ELSE 0.85 END, 9) AS factor FROM t""")
+def search_authority(spark, d):
+    docs = table(spark, d, "documents").where("path IS NOT NULL")
+    url = F.concat(F.lit("https://www."), F.coalesce(F.regexp_replace("source", "/.*", ""), F.lit("none")), F.lit(".example/a"))
+    factor = finish.authority_factor(F.col("text"), url, F.date_format("created_at", "yyyy-MM-dd"), "API of the ledger snapshot", "news", OFFICIAL_HOSTS, today="2026-06-01")
+    return docs.select("doc_id", F.round(factor, 9).alias("factor"))
+
+
+def _crawled(spark, d):
+    docs = table(spark, d, "documents")
+    status = F.when(F.col("doc_id") % 7 == 0, 404).otherwise(200)
+    fetched = docs.select(F.col("doc_id").alias("place"), F.concat(F.lit("https://docs.example/p"), F.col("doc_id").cast("string")).alias("url"), (F.col("doc_id") % 3).cast("int").alias("depth"), status.alias("status"), F.col("text").alias("content"))
+    found = docs.where("path IS NOT NULL").select(F.concat(F.when(F.col("doc_id") % 2 == 0, "https://docs.example/").otherwise("https://docs.example.org/"), "path").alias("url"))
+    return finish.crawl_finish(fetched, found, "https://docs.example/start", most_chars=400_000, per_page=1_500, map_limit=500)
+
+
+_CRAWLED = """good AS (SELECT doc_id AS place, 'https://docs.example/p' || doc_id AS url, text, least(length(text), 1500) AS n FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL),
+run AS (SELECT *, coalesce(sum(n) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM good),
+granted AS (SELECT *, CAST(greatest(0, least(n, 400000 - before)) AS BIGINT) AS g FROM run),
+every AS (SELECT 'https://docs.example/p' || doc_id AS url FROM documents UNION SELECT 'https://docs.example/' || path FROM documents WHERE path IS NOT NULL AND doc_id % 2 = 0)"""
+
+
+@query(f"WITH {_CRAWLED} SELECT url, CAST(place % 3 AS INTEGER) AS depth, left(text, g) AS content, g = length(text) AS complete FROM granted WHERE before < 400000")
+def crawl_finish(spark, d):
+    """The pages that a crawl shows within its budget of characters, which is the feature."""
+    return _crawled(spark, d).pages
+
+
+@query(f"WITH {_CRAWLED} SELECT url FROM every ORDER BY url LIMIT 500")
+def crawl_inventory(spark, d):
+    return _crawled(spark, d).inventory
+
+
+@query(f"WITH {_CRAWLED} SELECT CAST(count(*) FILTER (WHERE before < 400000) AS BIGINT) AS pages_read, CAST(sum(g) AS BIGINT) AS characters, (SELECT count(*) FROM every) > 500 AS inventory_truncated, CASE WHEN (SELECT count(*) FROM every) > 500 THEN 'map_limit' ELSE 'content_budget' END AS stop_reason, false AS complete FROM granted")
+def crawl_state(spark, d):
+    return _crawled(spark, d).state
+
+
 @query("""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda x: x NOT IN (""" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + """)) AS w FROM documents),
 c AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS l, len(list_filter(w, lambda x: x = 'ledger')) AS n1, len(list_filter(w, lambda x: x = 'mailbox')) AS n2 FROM t), s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (WHERE n1 > 0) AS d1, count(*) FILTER (WHERE n2 > 0) AS d2 FROM c)
 SELECT doc_id, round(ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * n1 * 2.2 / (n1 + 1.2 * (0.25 + 0.75 * l / m)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * n2 * 2.2 / (n2 + 1.2 * (0.25 + 0.75 * l / m)), 6) AS score FROM c, s WHERE n1 > 0 OR n2 > 0""")
