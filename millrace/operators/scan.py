@@ -24,19 +24,26 @@ class Matcher:
     extensions: tuple[str, ...] = ()
 
 
-#: What is looked for.
+#: What is looked for. Matchers for a product's own mistakes are the caller's.
 MATCHERS = (
     Matcher("secrets-exposure", "precise", (r'(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*"[A-Za-z0-9+/_\-]{16,}"',)),
     Matcher("graphql-injection", "precise", (r"(?s)format!\s*\([^;]{0,200}?(?:mutation|query)\s*\{",), ("rs",)),
-    Matcher("empty-array-literal", "precise", (r'"[^"\n]*:\s*\[\][^"\n]*"',), ("rs",)),
-    Matcher("secret-in-fallback", "precise", (r'(?s)env(?:::var)?\s*\(\s*"[A-Z0-9_]*(KEY|SECRET|TOKEN|PASSWORD)[A-Z0-9_]*"\s*\)[^;\n]{0,120}unwrap_or',), ("rs", "ts", "tsx", "js")),
+    Matcher(
+        "secret-in-fallback", "precise",
+        (r'(?s)env(?:::var)?\s*\(\s*"[A-Z0-9_]*(KEY|SECRET|TOKEN|PASSWORD)[A-Z0-9_]*"\s*\)[^;\n]{0,120}unwrap_or', r"""process\.env\.[A-Z0-9_]*(KEY|SECRET|TOKEN|PASSWORD)[A-Z0-9_]*\s*(\|\||\?\?)\s*["'][^"'\n]{4,}["']"""),
+        ("rs", "ts", "tsx", "js"),
+    ),
     Matcher("insecure-crypto", "precise", (r"(?i)\b(md5|sha-?1)\s*(::|\()",)),
-    Matcher("secret-in-log", "normal", (r"(?i)(trace|debug|info|warn|error)!\s*\([^;\n]{0,160}(token|secret|password|api_key)",), ("rs", "ts", "tsx", "js")),
-    Matcher("command-injection", "normal", (r'(?s)Command::new\(\s*"(?:sh|bash|zsh)"\s*\)[^;]{0,120}?"-c"',), ("rs",)),
+    Matcher(
+        "secret-in-log", "normal",
+        (r"(?i)(trace|debug|info|warn|error)!\s*\([^;\n]{0,160}(token|secret|password|api_key)", r"(?i)console\.(log|info|warn|error)\s*\([^;\n]{0,160}(token|secret|password|api_key)"),
+        ("rs", "ts", "tsx", "js"),
+    ),
+    Matcher("command-injection", "normal", (r'(?s)Command::new\(\s*"(?:sh|bash|zsh)"\s*\)[^;]{0,120}?"-c"', r"\.args?\(\s*&?format!"), ("rs",)),
     Matcher("webhook-handler", "normal", (r"(?i)webhook",), ("rs", "ts", "tsx")),
     Matcher("path-traversal", "noisy", (r"\.join\(\s*&?[A-Za-z_]*(input|param|request|user|name|file|path|arg)[A-Za-z_]*\s*\)",), ("rs",)),
     Matcher("missing-auth", "noisy", (r'\.route\(\s*"', r"#\[(get|post|put|delete|patch)\("), ("rs",)),
-)
+)
 
 
 def find(text: str, path: str, matchers: tuple[Matcher, ...] = MATCHERS) -> list[tuple[str, str, int, str]]:

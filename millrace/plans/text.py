@@ -173,6 +173,28 @@ found AS (SELECT doc_id, path, 'long-number' AS slug, 'precise' AS tier, line FR
 UNION ALL SELECT doc_id, path, 'identifier', 'noisy', line FROM lines WHERE regexp_matches(path, '[.](rs|py)$') AND regexp_matches(x, '\\b[a-z]+_[a-z]+\\b'))"""
 
 
+#: Lines that are put below the documents, one each, for the built-in matchers to find or to pass over.
+LINES = (
+    'let password = "abcdefghij0123456789";', 'format!("query {{ Job {x} }}")', 'env::var("DB_PASSWORD").unwrap_or_default()', "const k = process.env.MY_SECRET ?? \"fallback\"", "h := sha1(data)", 'warn!("bad password {p}")', 'console.error("no token", t)',
+    'Command::new("bash").arg("-c")', "c.args(format!(x))", "function onWebHook() {}", "base.join(&request_name)", '.route( "/x", get(h))', '#[post("/y")]', "let name = short;", 'Command::new("ls")',
+)
+_BELOW = "SELECT doc_id, ['rs', 'ts', 'py', 'RS'][1 + doc_id // 16 % 4] AS ext, text || chr(10) || [" + ", ".join("'" + x.replace("'", "''") + "'" for x in LINES) + f"][1 + doc_id % {len(LINES)}] AS text FROM documents"
+_SHIPPED = f"WITH d AS ({_BELOW}) " + " UNION ALL ".join(
+    f"SELECT doc_id, '{m.slug}' AS slug, '{m.tier}' AS tier FROM d WHERE ({' OR '.join(f'regexp_matches(text, $re${p}$re$)' for p in m.patterns)})" + (f" AND lower(ext) IN ({', '.join(map(repr, m.extensions))})" if m.extensions else "")
+    for m in scan.MATCHERS
+)
+
+
+@query(_SHIPPED)
+def scan_shipped(spark, d):
+    """What the built-in matchers find in the documents, each with a line of code below it."""
+    docs = table(spark, d, "documents")
+    ext = F.element_at(F.array(*map(F.lit, ("rs", "ts", "py", "RS"))), (F.floor(F.col("doc_id") / 16) % 4 + 1).cast("int"))
+    line = F.element_at(F.array(*map(F.lit, LINES)), (F.col("doc_id") % len(LINES) + 1).cast("int"))
+    files = docs.select("doc_id", F.concat(F.lit("src/f."), ext).alias("path"), F.concat("text", F.lit("\n"), line).alias("text"))
+    return scan.candidates(files, "path", "text", id_col="doc_id").select("doc_id", "slug", "tier").distinct()
+
+
 def _found(spark, d):
     return scan.candidates(table(spark, d, "documents"), "path", "text", DOC_MATCHERS, id_col="doc_id")
 
