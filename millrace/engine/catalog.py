@@ -106,7 +106,7 @@ class Catalog:
             if kind is None:
                 out.notes.append(f"{rel} is in no format that can be read")
             elif kind in ("xlsx", "ods"):
-                sheets = (books.xlsx_sheets if kind == "xlsx" else books.ods_sheets)(str(path))
+                sheets = books.sheets(str(path))
                 wanted += [Spec(names.table_name(rel) if len(sheets) == 1 else names.table_name(f"{path.stem}_{s}"), rel, kind, s) for s in sheets]
             else:
                 wanted.append(Spec(names.table_name(rel), rel, kind))
@@ -131,7 +131,7 @@ class Catalog:
             else:
                 path = str(safe_join(self.root, s.source))
                 df = {"parquet": lambda: self.spark.read.parquet(path), "csv": lambda: delimited.read(self.spark, path), "json": lambda: jsons.read(self.spark, path)}.get(
-                    s.format, lambda: books.table(self.spark, (books.xlsx_sheets if s.format == "xlsx" else books.ods_sheets)(path)[s.sheet])
+                    s.format, lambda: books.read(self.spark, path, s.sheet)
                 )()
             df.createOrReplaceTempView(f"`{name}`")
             self.opened[name] = df
@@ -159,7 +159,7 @@ class Catalog:
                 data = f.read(65_536)
                 for k in range(64):
                     f.seek(size * k // 64)
-                    data += f.read(256)
+                    data += f.read(4_096)
                 f.seek(max(0, size - 65_536))
                 data += f.read()
             out.append(f"{n}:{size}:{fnv(data):016x}")

@@ -97,6 +97,15 @@ def source_csv(spark, d):
     return delimited.read(spark, path)
 
 
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderpriority FROM orders")
+def source_csv_lines(spark, d):
+    """All orders exported as text without line ends in fields, so that it is read again in splits."""
+    path = _place(spark, "orders.csv")
+    table(spark, d, "orders").createOrReplaceTempView("m_orders")
+    export(spark, "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderpriority FROM m_orders", os.path.dirname(path), os.path.basename(path))
+    return delimited.read(spark, path)
+
+
 @query("SELECT doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars, pack, path, strftime(created_at, '%Y-%m-%d %H:%M:%S.%f') AS created_at FROM documents")
 def source_json(spark, d):
     """All documents written as JSON lines by a task, and read again in splits, with the types merged over all lines."""

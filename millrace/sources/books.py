@@ -1,5 +1,7 @@
-"""Workbooks (XLSX, ODS): one table a sheet, cells typed by the file. Sheets are bounded by their format, 1,048,576 rows,
-and read by one task each."""
+"""Workbooks (XLSX, ODS): one table a sheet, cells typed by the file.
+
+The driver reads a workbook's list of sheets only. A sheet is bounded by its format, 1,048,576 rows; one task reads it row
+by row and writes its cells as text with their kinds, from which the table is made."""
 
 from __future__ import annotations
 
@@ -7,10 +9,15 @@ import datetime as dt
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.sources import delimited, inline, names
+from millrace.engine.session import Scratch
+from millrace.sources import delimited, names
 
 MAX_ENTRIES, MAX_RATIO, RATIO_FROM = 100_000, 200, 256 << 20
 MAX_SHEET_ROWS, MAX_SHEET_COLUMNS = 1_048_576, 16_384
@@ -52,27 +59,47 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def xlsx_sheets(path: str) -> dict[str, list[list]]:
-    """Cells of every sheet; an error cell is null."""
+def _book(z: zipfile.ZipFile) -> tuple[list[tuple[str, str]], bool]:
+    """((sheet, its part of the archive) in order, whether dates count from 1904)."""
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    pr = book.find(f"{_N}workbookPr")
+    rels = {r.get("Id"): r.get("Target").lstrip("/") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    parts = [(s.get("name"), rels[s.get(f"{_R}id")]) for s in book.iter(f"{_N}sheet")]
+    return [(n, p if p.startswith("xl/") else f"xl/{p}") for n, p in parts], pr is not None and pr.get("date1904") in ("1", "true")
+
+
+def sheets(path: str) -> list[str]:
+    """The names of a workbook's sheets, in order."""
+    with opened(path) as z:
+        if "xl/workbook.xml" in z.namelist():
+            return [n for n, _ in _book(z)[0]]
+        with z.open("content.xml") as f:
+            return [e.get(f"{_T}name") for event, e in ET.iterparse(f, ("start",)) if e.tag == f"{_T}table"]
+
+
+def _ended(f, *tags: str) -> Iterator[ET.Element]:
+    """Elements as they end; what has been given is dropped, so that a part of any size is read in little memory."""
+    for _, e in ET.iterparse(f, ("end",)):
+        if e.tag in tags:
+            yield e
+            e.clear()
+
+
+def xlsx_rows(path: str, sheet: str) -> Iterator[list]:
+    """Rows of cells of a sheet; an error cell is null."""
     with opened(path) as z:
-        shared = []
+        shared, dates = [], set()
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_N}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_N}si")]
-        dates = set()
+            with z.open("xl/sharedStrings.xml") as f:
+                shared = ["".join(t.text or "" for t in si.iter(f"{_N}t")) for si in _ended(f, f"{_N}si")]
         if "xl/styles.xml" in z.namelist():
             styles = ET.fromstring(z.read("xl/styles.xml"))
             custom = {int(f.get("numFmtId")) for f in styles.iter(f"{_N}numFmt") if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")).lower())}
             xfs = styles.find(f"{_N}cellXfs")
             dates = {i for i, x in enumerate(xfs if xfs is not None else []) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | custom}
-        book = ET.fromstring(z.read("xl/workbook.xml"))
-        pr = book.find(f"{_N}workbookPr")
-        base1904 = pr is not None and pr.get("date1904") in ("1", "true")
-        rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = {}
-        for s in book.iter(f"{_N}sheet"):
-            target = rels[s.get(f"{_R}id")].lstrip("/")
-            rows: list[list] = []
-            for row in ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_N}row"):
+        parts, base1904 = _book(z)
+        with z.open(dict(parts)[sheet]) as f:
+            for row in _ended(f, f"{_N}row"):
                 cells: list = []
                 for c in row.iter(f"{_N}c"):
                     at = _column(c.get("r")) if c.get("r") else len(cells)
@@ -93,78 +120,109 @@ def xlsx_sheets(path: str) -> dict[str, list[list]]:
                     else:
                         value = _serial(float(v), base1904) if int(c.get("s", 0)) in dates else _number(float(v))
                     cells.append(value)
-                rows.append(cells)
-            out[s.get("name")] = rows
-        return out
-
-
-def ods_sheets(path: str) -> dict[str, list[list]]:
-    """Cells of every sheet; repeated rows and cells are spread where they hold anything."""
-    with opened(path) as z:
-        body = ET.fromstring(z.read("content.xml"))
-    out = {}
-    for t in body.iter(f"{_T}table"):
-        rows: list[list] = []
-        for row in t.iter(f"{_T}table-row"):
-            cells: list = []
-            for c in row:
-                if c.tag not in (f"{_T}table-cell", f"{_T}covered-table-cell"):
-                    continue
-                kind = c.get(f"{_O}value-type")
-                if kind in ("float", "percentage", "currency"):
-                    v = _number(float(c.get(f"{_O}value")))
-                elif kind == "boolean":
-                    v = c.get(f"{_O}boolean-value") == "true"
-                elif kind == "date":
-                    raw = c.get(f"{_O}date-value")
-                    v = dt.datetime.fromisoformat(raw) if "T" in raw else dt.date.fromisoformat(raw)
-                else:
-                    v = "\n".join("".join(p.itertext()) for p in c.iter(f"{_X}p")) or None
-                n = int(c.get(f"{_T}number-columns-repeated", 1))
-                if v is None:
-                    cells += [None] * min(n, MAX_SHEET_COLUMNS - len(cells))
-                elif len(cells) + n > MAX_SHEET_COLUMNS:
-                    raise ValueError("the sheet has too many columns")
-                else:
-                    cells += [v] * n
-            while cells and cells[-1] is None:
-                cells.pop()
-            n = int(row.get(f"{_T}number-rows-repeated", 1))
-            if cells and len(rows) + n > MAX_SHEET_ROWS:
-                raise ValueError("the sheet has too many rows")
-            rows += [cells] * (n if cells else 1)
-        out[t.get(f"{_T}name")] = rows
-    return out
-
-
-def table(spark: SparkSession, rows: list[list], header: bool | None = None) -> DataFrame:
-    """A sheet as a table: blank rows are dropped, the header found as for delimited text, unlike cells of a column
-    become text."""
-    rows = [r for r in rows if any(v is not None and v != "" for v in r)]
-    shown = [["" if v is None else v if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else v.isoformat() if isinstance(v, (dt.date, dt.datetime)) else repr(v) for v in r] for r in rows[:101]]
-    top = delimited.has_header(shown) if header is None else header
-    width = max((len(r) for r in rows), default=0)
-    heads = names.column_names([str(v) if v is not None else "" for v in (rows[0] if top and rows else [])] + [""] * (width - (len(rows[0]) if top and rows else 0))) if width else []
-    body = [r + [None] * (width - len(r)) for r in (rows[1:] if top else rows)]
+                yield cells
+
+
+def ods_rows(path: str, sheet: str) -> Iterator[list]:
+    """Rows of cells of a sheet; repeated rows and cells are spread where they hold anything."""
+    with opened(path) as z, z.open("content.xml") as f:
+        inside, given = False, 0
+        for event, e in ET.iterparse(f, ("start", "end")):
+            if e.tag == f"{_T}table":
+                inside = event == "start" and e.get(f"{_T}name") == sheet
+            if event != "end" or e.tag != f"{_T}table-row":
+                continue
+            if inside:
+                cells: list = []
+                for c in e:
+                    if c.tag not in (f"{_T}table-cell", f"{_T}covered-table-cell"):
+                        continue
+                    v, n = _ods_cell(c), int(c.get(f"{_T}number-columns-repeated", 1))
+                    if v is None:
+                        cells += [None] * min(n, MAX_SHEET_COLUMNS - len(cells))
+                    elif len(cells) + n > MAX_SHEET_COLUMNS:
+                        raise ValueError("the sheet has too many columns")
+                    else:
+                        cells += [v] * n
+                while cells and cells[-1] is None:
+                    cells.pop()
+                n = int(e.get(f"{_T}number-rows-repeated", 1)) if cells else 1
+                given += n
+                if cells and given > MAX_SHEET_ROWS:
+                    raise ValueError("the sheet has too many rows")
+                for _ in range(n):
+                    yield cells
+            e.clear()
+
+
+def _ods_cell(c: ET.Element):
+    kind = c.get(f"{_O}value-type")
+    if kind in ("float", "percentage", "currency"):
+        return _number(float(c.get(f"{_O}value")))
+    if kind == "boolean":
+        return c.get(f"{_O}boolean-value") == "true"
+    if kind == "date":
+        raw = c.get(f"{_O}date-value")
+        return dt.datetime.fromisoformat(raw) if "T" in raw else dt.date.fromisoformat(raw)
+    return "\n".join("".join(p.itertext()) for p in c.iter(f"{_X}p")) or None
+
+
+def _shown(v) -> str | None:
+    if v is None or isinstance(v, str):
+        return v
+    return str(v).lower() if isinstance(v, bool) else v.isoformat() if isinstance(v, (dt.date, dt.datetime)) else repr(v)
+
+
+_KINDS = {bool: "b", int: "i", float: "f", dt.date: "d", dt.datetime: "t", str: "s"}
+
+
+def _kind(v) -> str:
+    return "" if v is None else _KINDS[type(v)]
+
+
+def read(spark: SparkSession, path: str, sheet: str, header: bool | None = None) -> DataFrame:
+    """A sheet as a table: blank rows are dropped, the header found as for delimited text, unlike cells of a column become
+    text. An empty sheet is a table without columns."""
+    rows_of = ods_rows if path.lower().endswith(".ods") else xlsx_rows
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _ in range(len(b)):
+                held = []
+                for i, r in enumerate(rows_of(path, sheet)):
+                    if any(v is not None and v != "" for v in r):
+                        held.append((i, [_shown(v) for v in r], [_kind(v) for v in r]))
+                    if len(held) == 5_000:
+                        yield pd.DataFrame(held, columns=["row_", "cells_", "kinds_"])
+                        held = []
+                yield pd.DataFrame(held, columns=["row_", "cells_", "kinds_"])
+
+    with Scratch(spark) as scratch:
+        raw = scratch.hand_over(spark.createDataFrame([(1,)], "n int").mapInPandas(cells, "row_ bigint, cells_ array<string>, kinds_ array<string>"))
+    head = [["" if v is None else v for v in r["cells_"]] for r in raw.orderBy("row_").limit(101).collect()]
+    if not head:
+        return spark.createDataFrame([], T.StructType([]))
+    top = delimited.has_header(head) if header is None else header
+    width = raw.agg(F.max(F.size("cells_"))).first()[0]
+    heads = names.column_names([*(head[0] if top else []), *[""] * (width - (len(head[0]) if top else 0))])
+    first = raw.agg(F.min("row_")).first()[0]
+    body = raw.where(F.col("row_") > first) if top else raw
+    # One row per column and kind.
+    found: dict[int, set] = {}
+    for r in body.select(F.posexplode("kinds_").alias("at", "kind")).where("kind <> ''").distinct().collect():
+        found.setdefault(r["at"], set()).add(r["kind"])
     columns = []
     for i, name in enumerate(heads):
-        kinds = {type(r[i]) for r in body if r[i] is not None}
-        kind = "text"
-        if kinds == {bool}:
-            kind = "bool"
-        elif kinds == {int}:
-            kind = "int64"
-        elif kinds and kinds <= {int, float}:
-            kind = "float64"
-        elif kinds == {dt.date}:
-            kind = "date"
-        elif kinds and kinds <= {dt.date, dt.datetime}:
-            kind = "timestamp"
-        columns.append({"name": name, "type": kind})
-        if kind in ("text", "date", "timestamp"):
-            for r in body:
-                if isinstance(r[i], (dt.date, dt.datetime)):
-                    r[i] = r[i].isoformat()
-                elif r[i] is not None and not isinstance(r[i], str):
-                    r[i] = str(r[i]).lower() if isinstance(r[i], bool) else repr(r[i])
-    return inline.table(spark, body, columns)[0]
+        kinds, cell = found.get(i, set()), F.get("cells_", F.lit(i))
+        if kinds == {"b"}:
+            cell = cell.cast("boolean")
+        elif kinds == {"i"}:
+            cell = cell.cast("bigint")
+        elif kinds and kinds <= {"i", "f"}:
+            cell = cell.cast("double")
+        elif kinds == {"d"}:
+            cell = cell.cast("date")
+        elif kinds and kinds <= {"d", "t"}:
+            cell = cell.cast("timestamp_ntz")
+        columns.append(cell.alias(name))
+    return body.orderBy("row_").select(*columns)

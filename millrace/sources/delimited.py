@@ -93,16 +93,24 @@ def layout(path: str, delimiter: str | None = None, header: bool | None = None)
     return Layout(sep, top, encoding, names.column_names(cols))
 
 
+def _line_wise(spark: SparkSession, path: str, lay: Layout) -> bool:
+    if lay.encoding != "UTF-8":
+        return False
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    return spark.read.text(path).where(odd).isEmpty()
+
+
 def read(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, types: bool = True) -> DataFrame:
     """The table of a file: short rows are filled with nulls, long ones cut; blank lines are no rows. A file without
-    any row is a table without columns."""
+    any row is a table without columns. A file whose quotes pair on every line has no line end in a field, and is read in
+    splits; another, which a pass over its lines tells, is one task's work."""
     lay = layout(path, delimiter, header)
     if not lay.columns:
         return spark.createDataFrame([], T.StructType([]))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in lay.columns])
     df = (
         spark.read.schema(schema)
-        .option("sep", lay.delimiter).option("header", lay.header).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+        .option("sep", lay.delimiter).option("header", lay.header).option("multiLine", not _line_wise(spark, path, lay)).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
         .option("nullValue", UNUSED).option("emptyValue", "").option("encoding", lay.encoding).option("enforceSchema", True).option("ignoreLeadingWhiteSpace", False)
         .csv(path)
     )

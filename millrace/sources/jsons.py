@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +94,10 @@ def fit(v, kind):
     return v
 
 
+#: Fixed value: bytes of a file that is one array or value.
+MAX_ARRAY = 64 << 20
+
+
 def _record(v) -> dict:
     return v if isinstance(v, dict) else {"value": v}
 
@@ -106,7 +111,8 @@ def _merged(kinds: Iterator) -> dict:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The table of a JSON file, keys in order of their first appearance, missing ones null; values that are no objects
-    are in a column ``value``. Files of one value a line are read and typed in parallel; an array is one task's work."""
+    are in a column ``value``. Files of one value a line are read and typed in parallel; an array is one task's work, and
+    refused above ``MAX_ARRAY`` bytes: lines of JSON have no limit."""
     with open(path, "rb") as f:
         head = f.read(1 << 16).decode("utf-8-sig", "replace").lstrip()
     lines = head[:1] == "{" and _line_wise(head)
@@ -114,6 +120,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         raw = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("v"))
         n = raw.rdd.getNumPartitions()
     else:
+        if os.path.getsize(path) > MAX_ARRAY:
+            raise ValueError(f"a JSON file of more than {MAX_ARRAY >> 20} MiB must have one value a line")
         raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
         n = 1
 
