@@ -133,6 +133,54 @@ def content_kind(found: DataFrame, id_col: str) -> DataFrame:
     return a.select(id_col, kind.alias("kind"))
 
 
+#: Fixed value: the share of a page's best score that a passage needs.
+PASSAGE = 0.15
+
+
+def focus(found: DataFrame, id_col: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, pos, score, kept) of the blocks of pages: how well each answers the query among the blocks of its own page.
+
+    BM25 over a page's blocks, times the share of the query's weight that a block holds. Terms in half of a page's blocks
+    or more don't count where another term is rarer; terms that a page lacks don't either. Kept are blocks of at least
+    ``PASSAGE`` of the page's best score; where nothing matches, all are, with a score of 0.
+    """
+    terms = X.query_terms(query)
+    d = found.select(id_col, "pos", X.tokens(F.coalesce("text", F.lit(""))).alias("t_"))
+    d = d.select(id_col, "pos", F.size("t_").cast("double").alias("l_"), *[F.size(F.filter("t_", _equal(w))).cast("double").alias(f"n{i}_") for i, w in enumerate(terms)])
+    per = d.groupBy(F.col(id_col).alias("i_")).agg(F.count(F.lit(1)).alias("all_"), F.avg("l_").alias("mean_"), *[F.count_if(F.col(f"n{i}_") > 0).alias(f"d{i}_") for i in range(len(terms))])
+    rare = F.lit(False)
+    for i in range(len(terms)):
+        rare = rare | (F.col(f"d{i}_") > 0) & (F.col(f"d{i}_") * 2 < F.col("all_"))
+    per = per.withColumn("rare_", rare)
+    d = d.join(per.hint("merge"), F.col(id_col).eqNullSafe(F.col("i_")))
+    score = weight = have = F.lit(0.0)
+    for i in range(len(terms)):
+        n, df = F.col(f"n{i}_"), F.col(f"d{i}_")
+        counts = (df > 0) & ~(F.col("rare_") & (df * 2 >= F.col("all_")))
+        idf = F.when(counts, F.ln(1 + (F.col("all_") - df + 0.5) / (df + 0.5))).otherwise(0.0)
+        score = score + idf * n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("l_") / F.greatest("mean_", F.lit(1.0))))
+        weight, have = weight + idf, have + F.when(n > 0, idf).otherwise(0.0)
+    scored = d.select(id_col, "pos", F.when(weight > 0, score * have / F.when(weight > 0, weight)).otherwise(0.0).alias("score"))
+    best = scored.groupBy(F.col(id_col).alias("i_")).agg(F.max("score").alias("best_"))
+    out = scored.join(best.hint("merge"), F.col(id_col).eqNullSafe(F.col("i_")))
+    return out.select(id_col, "pos", "score", ((F.col("best_") <= 0) | (F.col("score") >= PASSAGE * F.col("best_"))).alias("kept"))
+
+
+def _equal(w: str):
+    return lambda t: t == F.lit(w)
+
+
+def script_json(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, pos, kind, json): the JSON that pages carry in scripts: those of a JSON type (kind ``type``), and values
+    assigned in one statement (kind: the name). What doesn't parse is left out; null pages give nothing."""
+    typed = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<script\b[^>]*type=[\"']application/(?:ld\+)?json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    named = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<script\b[^>]*>\s*((?:window\.|var |let |const )?[\w.$]+\s*=\s*[{\[].*?);?\s*</script>"), F.lit(1))
+    one = lambda kind: lambda x: F.struct(kind(x).alias("kind"), F.trim(F.regexp_replace(x, r"(?s)^(?:window\.|var |let |const )?[\w.$]+\s*=\s*", "")).alias("json"))
+    values = F.concat(F.transform(typed, one(lambda x: F.lit("type"))), F.transform(named, one(lambda x: F.regexp_extract(x, r"^(?:window\.|var |let |const )?([\w.$]+)", 1))))
+    kept = F.filter(values, lambda v: F.json_array_length(v["json"]).isNotNull() | F.json_object_keys(v["json"]).isNotNull())
+    return pages.where(F.col(html_col).isNotNull()).select(id_col, F.posexplode(kept).alias("p_", "v_")).select(id_col, (F.col("p_") + 1).cast("long").alias("pos"), "v_.kind", "v_.json")
+
+
 def links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(from_key, to_key, url): absolute links between pages by URL key, once each."""
     href = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)<a\s[^>]*href=[\"'](https?://[^\"'#\s]+)"), F.lit(1)))

@@ -155,6 +155,32 @@ def page_blocks(spark, d):
     return pages.content_kind(found, "doc_id")
 
 
+@query("""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) AS pos FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, pos, list_filter(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+'), lambda w: w NOT IN (""" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + """)) AS w FROM b),
+n AS (SELECT doc_id, pos, CAST(len(w) AS DOUBLE) AS l, CAST(len(list_filter(w, lambda x: x = 'ledger')) AS DOUBLE) AS n1, CAST(len(list_filter(w, lambda x: x = 'records')) AS DOUBLE) AS n2 FROM t),
+s AS (SELECT *, count(*) OVER w AS a, avg(l) OVER w AS m, count(*) FILTER (WHERE n1 > 0) OVER w AS d1, count(*) FILTER (WHERE n2 > 0) OVER w AS d2 FROM n WINDOW w AS (PARTITION BY doc_id)),
+f AS (SELECT *, d1 > 0 AND d1 * 2 < a OR d2 > 0 AND d2 * 2 < a AS rare FROM s),
+i AS (SELECT *, CASE WHEN d1 > 0 AND NOT (rare AND d1 * 2 >= a) THEN ln(1 + (a - d1 + 0.5) / (d1 + 0.5)) ELSE 0 END AS i1, CASE WHEN d2 > 0 AND NOT (rare AND d2 * 2 >= a) THEN ln(1 + (a - d2 + 0.5) / (d2 + 0.5)) ELSE 0 END AS i2 FROM f),
+r AS (SELECT doc_id, pos, CASE WHEN i1 + i2 > 0 THEN (i1 * n1 * 2.2 / (n1 + 1.2 * (0.25 + 0.75 * l / greatest(m, 1))) + i2 * n2 * 2.2 / (n2 + 1.2 * (0.25 + 0.75 * l / greatest(m, 1)))) * (CASE WHEN n1 > 0 THEN i1 ELSE 0 END + CASE WHEN n2 > 0 THEN i2 ELSE 0 END) / (i1 + i2) ELSE 0 END AS score FROM i),
+o AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best FROM r)
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, round(score, 6) AS score FROM o WHERE best <= 0 OR score >= 0.15 * best""")
+def page_focus(spark, d):
+    """The paragraphs of every document that answer a query."""
+    parts = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n\n", -1)).alias("p", "text"))
+    found = parts.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "text")
+    return pages.focus(found, "doc_id", "the records of a ledger").where("kept").select("doc_id", "pos", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, CAST(1 AS BIGINT) AS pos, 'type' AS kind, CAST(doc_id AS VARCHAR) AS id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, '__STATE__', CAST(doc_id AS VARCHAR), source FROM documents WHERE doc_id % 2 = 1")
+def page_scripts(spark, d):
+    """Scripts of pages made of the documents: every other one assigns its state."""
+    body = F.to_json(F.struct(F.col("doc_id").alias("id"), "source"), {"ignoreNullFields": "false"})
+    html = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<p>a</p><script type='application/ld+json'> "), body, F.lit("</script><script>run({);</script>")))
+    html = html.otherwise(F.concat(F.lit("<script>window.__STATE__ = "), body, F.lit(";</script><script type='application/json'>{cut</script>")))
+    found = pages.script_json(table(spark, d, "documents").select("doc_id", html.alias("html"), "source"), "doc_id", "html")
+    return found.select("doc_id", "pos", "kind", F.get_json_object("json", "$.id").alias("id"), F.get_json_object("json", "$.source").alias("source"))
+
+
 @query("SELECT doc_id, 'pages.example/' || lower(path) || '?id=' || doc_id AS key FROM documents WHERE path IS NOT NULL")
 def page_url_keys(spark, d):
     url = F.concat(F.lit("HTTPS://WWW.Pages.example/"), "path", F.lit("/?utm_medium=x&id="), F.col("doc_id").cast("string"), F.lit("&gclid=1"))
