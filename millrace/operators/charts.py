@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.engine.running import running
+
 CATEGORIES, SERIES, CELLS, SLICES, BUBBLES, BINS = 100, 24, 80, 12, 2_000, 1_000
 
 
@@ -127,6 +129,15 @@ def box(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     return j.groupBy("category", "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"), F.count_if(~inside).alias("outliers"))
 
 
+def outliers(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
+    """(category, value, count): the values beyond the whiskers of ``box``, and how often each occurs."""
+    g = F.col(group) if group else F.lit("")
+    rows = df.select(g.alias("category"), finite(value).alias("value")).where("value IS NOT NULL").groupBy("category", "value").agg(F.count(F.lit(1)).alias("count"))
+    b = box(df, value, group).select(F.col("category").alias("c_"), "low", "high")
+    j = rows.join(b.hint("merge"), F.col("category").eqNullSafe(F.col("c_")))
+    return j.where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).select("category", "value", "count")
+
+
 def correlation(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFrame:
     """(series, n, r): Pearson's, none under three points or without spread, kept within -1 and 1."""
     g = F.col(group) if group else F.lit("")
@@ -172,18 +183,24 @@ CELL_SIZES = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 
 def scatter(df: DataFrame, x: str, y: str, most: int = 2_000, sizes: tuple = CELL_SIZES) -> DataFrame:
     """(x, y, n): the points themselves when they are few; else the mean of each cell of the smallest width that leaves at
-    most ``most`` cells. All widths are counted in one pass."""
+    most ``most`` rows, and besides, each as one point, those of the lowest and highest x and y, which stay exact. All
+    widths are counted in one pass. Of points equally far out the one of the lesser other coordinate counts."""
     pts = df.select(finite(x).alias("x"), finite(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    lo_x, lo_y, n = pts.agg(F.min("x"), F.min("y"), F.count(F.lit(1))).first()
-    if n <= most:
+    p, q = F.struct("x", "y"), F.struct("y", "x")
+    far = [F.min(p), F.max_by(p, F.struct("x", -F.col("y"))), F.min_by(p, q), F.max_by(p, F.struct("y", -F.col("x")))]
+    row = pts.agg(F.min("x").alias("lo_x"), F.min("y").alias("lo_y"), F.count(F.lit(1)).alias("n"), *[e.alias(f"e{i}") for i, e in enumerate(far)]).first()
+    lo_x, lo_y = row["lo_x"], row["lo_y"]
+    if row["n"] <= most:
         return pts.select("x", "y", F.lit(1).cast("long").alias("n"))
+    ends = df.sparkSession.createDataFrame(sorted({(float(e["x"]), float(e["y"]), 1) for e in (row[f"e{i}"] for i in range(4))}), "x double, y double, n long")
+    most = max(0, most - 4)
     cell = lambda s: [F.floor((F.col("x") - lo_x) / s), F.floor((F.col("y") - lo_y) / s)]
     counts = pts.agg(*[F.approx_count_distinct(F.struct(*cell(s)), 0.01).alias(f"s{s}") for s in sizes]).first()
     for s in sizes:
         if counts[f"s{s}"] <= most * 1.05 or s == sizes[-1]:
             cells = pts.groupBy(cell(s)[0].alias("cx"), cell(s)[1].alias("cy")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
             if s == sizes[-1] or cells.count() <= most:
-                return cells.select("x", "y", "n")
+                return cells.select("x", "y", "n").unionByName(ends)
     raise AssertionError("unreachable")
 
 
@@ -218,9 +235,10 @@ def downsample(df: DataFrame, x: str, y: str, most: int, series: str | None = No
     """
     s = F.col(series).cast("string") if series else F.lit("")
     pts = df.select(s.alias("series"), F.col(x).cast("double").alias("x"), finite(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    w = Window.partitionBy("series").orderBy("x", "y")
-    n = F.count(F.lit(1)).over(Window.partitionBy("series"))
-    placed = pts.select("series", "x", "y", (F.row_number().over(w) - 1).cast("long").alias("i"), n.alias("n"))
+    # Numbered over ranges of all points, so that one series of most points is sorted by many tasks.
+    placed = running(pts, ["series", "x", "y"]).drop("before_")
+    spans = placed.groupBy(F.col("series").alias("s_")).agg(F.min("place_").alias("first_"), F.count(F.lit(1)).alias("n"))
+    placed = placed.join(spans.hint("merge"), F.col("series").eqNullSafe(F.col("s_"))).select("series", "x", "y", (F.col("place_") - F.col("first_")).cast("long").alias("i"), "n")
     inner = most - 2
     bucket = F.when(F.col("n") <= most, F.col("i")).when(F.col("i") == 0, -1).when(F.col("i") == F.col("n") - 1, inner).otherwise(F.floor((F.col("i") - 1) * inner / (F.col("n") - 2)))
     placed = placed.withColumn("bucket", bucket.cast("long")).withColumn("part", F.floor(F.col("i") / 50_000))

@@ -91,7 +91,8 @@ def chart_extremes(spark, d):
     return C.extremes(table(spark, d, "events"), "event_type", "event_id", "value").withColumn("total", F.round("total", 4))
 
 
-@query("SELECT round(avg(p_size), 6) AS x, round(avg(p_retailprice), 6) AS y, CAST(count(*) AS BIGINT) AS n FROM part, (SELECT min(p_size) AS lx, min(p_retailprice) AS ly FROM part) GROUP BY floor((p_size - lx) / 128), floor((p_retailprice - ly) / 128)")
+@query("""SELECT round(avg(p_size), 6) AS x, round(avg(p_retailprice), 6) AS y, CAST(count(*) AS BIGINT) AS n FROM part, (SELECT min(p_size) AS lx, min(p_retailprice) AS ly FROM part) GROUP BY floor((p_size - lx) / 128), floor((p_retailprice - ly) / 128)
+UNION ALL SELECT DISTINCT round(e.x, 6), round(e.y, 6), 1 FROM (SELECT unnest([min({'x': p_size, 'y': p_retailprice}), arg_max({'x': p_size, 'y': p_retailprice}, {'a': p_size, 'b': -p_retailprice}), arg_min({'x': p_size, 'y': p_retailprice}, {'a': p_retailprice, 'b': p_size}), arg_max({'x': p_size, 'y': p_retailprice}, {'a': p_retailprice, 'b': -p_size})]) AS e FROM part)""")
 def chart_scatter(spark, d):
     s = C.scatter(table(spark, d, "part"), "p_size", "p_retailprice", most=1, sizes=(128,))
     return s.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
@@ -102,6 +103,25 @@ def chart_bubbles(spark, d):
     return C.bubbles(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", ["c_custkey"], 50)
 
 
+@query("""WITH p AS (SELECT event_type AS series, epoch_us(ts) / 1e6 AS x, value AS y FROM events WHERE value IS NOT NULL AND ts IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY x, y) AS a, row_number() OVER (PARTITION BY series ORDER BY x DESC, y DESC) AS z, count(*) OVER (PARTITION BY series) AS n FROM p)
+SELECT series, n > 200 AS reduced, round(min(x), 6) AS first_x, round(min(y) FILTER (WHERE a = 1), 6) AS first_y, round(max(x), 6) AS last_x, round(min(y) FILTER (WHERE z = 1), 6) AS last_y, min(y) AS low, max(y) AS high, true AS few FROM o GROUP BY ALL""")
+def chart_downsample_ends(spark, d):
+    """What a reduced line must keep: its ends and extremes, and no more points than were asked for and the extremes."""
+    e = table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    n = e.where("value IS NOT NULL AND s IS NOT NULL").groupBy(F.col("event_type").alias("series")).agg((F.count(F.lit(1)) > 200).alias("reduced"))
+    k = C.downsample(e, "s", "value", 200, "event_type").groupBy("series").agg(
+        F.round(F.min("x"), 6).alias("first_x"), F.round(F.min_by("y", F.struct("x", "y")), 6).alias("first_y"), F.round(F.max("x"), 6).alias("last_x"), F.round(F.max_by("y", F.struct("x", "y")), 6).alias("last_y"),
+        F.min("y").alias("low"), F.max("y").alias("high"), (F.count(F.lit(1)) <= 202).alias("few"),
+    )
+    return n.join(k, "series")
+
+
+@query("""WITH v AS (SELECT event_type AS category, value AS v FROM events WHERE value IS NOT NULL), q AS (SELECT category, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY 1)
+SELECT category, v AS value, CAST(count(*) AS BIGINT) AS count FROM v JOIN q USING (category) WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) GROUP BY ALL""")
+def chart_outliers(spark, d):
+    return C.outliers(table(spark, d, "events"), "value", "event_type")
+
+
 @query(None)
 def chart_downsample(spark, d):
     e = table(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
