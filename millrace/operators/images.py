@@ -129,20 +129,114 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: Pixels of a window that similarity is measured in, and of a cell that changes are gathered in.
+WINDOW, CELL = 8, 16
+
+
+def _means(a: np.ndarray, n: int) -> np.ndarray:
+    """Means of all n x n windows, by sums over the image."""
+    s = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
+    s[1:, 1:] = a.cumsum(0).cumsum(1)
+    return (s[n:, n:] - s[:-n, n:] - s[n:, :-n] + s[:-n, :-n]) / (n * n)
+
+
+def similarity(x: np.ndarray, y: np.ndarray, window: int = WINDOW) -> float:
+    """Structural similarity: the mean over all windows; images smaller than a window are one."""
+    n = max(1, min(window, *x.shape))
+    mx, my = _means(x, n), _means(y, n)
+    vx, vy, cov = _means(x * x, n) - mx * mx, _means(y * y, n) - my * my, _means(x * y, n) - mx * my
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    return float(((2 * mx * my + c1) * (2 * cov + c2) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean())
+
+
+def regions(changed: np.ndarray, cell: int = CELL) -> list[tuple[int, int, int, int, int]]:
+    """(left, top, right, bottom, pixels) of the connected groups of cells with changed pixels, most pixels first."""
+    at = np.argwhere(changed)
+    by: dict[tuple[int, int], list] = {}
+    for key, p in zip(map(tuple, at // cell), at):
+        by.setdefault(key, []).append(p)
+    out = []
+    while by:
+        todo, mine = [next(iter(by))], []
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in by:
+                mine += by.pop((r, c))
+                todo += [(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)]
+        m = np.array(mine)
+        out.append((int(m[:, 1].min()), int(m[:, 0].min()), int(m[:, 1].max()) + 1, int(m[:, 0].max()) + 1, len(m)))
+    return sorted(out, key=lambda r: (-r[4], r[1], r[0]))
+
+
 def difference(a: bytes, b: bytes, threshold: int = 16) -> dict:
     """changed: the share of pixels that differ by more than ``threshold``; ssim: structural similarity; box: the smallest
-    rectangle around the changes."""
+    rectangle around the changes; regions: those of its connected parts."""
     x, y = decode(a), decode(b)
     if x.shape != y.shape:
         raise ValueError("the images differ in size")
     d = np.abs(x - y) > threshold
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    mx, my, vx, vy = x.mean(), y.mean(), x.var(), y.var()
-    cov = ((x - mx) * (y - my)).mean()
-    ssim = (2 * mx * my + c1) * (2 * cov + c2) / ((mx**2 + my**2 + c1) * (vx + vy + c2))
-    at = np.argwhere(d)
-    box = None if not len(at) else tuple(int(v) for v in (at[:, 1].min(), at[:, 0].min(), at[:, 1].max() + 1, at[:, 0].max() + 1))
-    return {"changed": float(d.mean()), "ssim": float(ssim), "box": box}
+    found = regions(d)
+    box = tuple(f(r[i] for r in found) for i, f in enumerate((min, min, max, max))) if found else None
+    return {"changed": float(d.mean()) if d.size else 0.0, "ssim": similarity(x, y) if d.size else 1.0, "box": box, "regions": found}
+
+
+def differences(pairs: DataFrame, id_col: str, before_col: str, after_col: str, threshold: int = 16) -> DataFrame:
+    """(id, changed, ssim, regions, error): ``difference`` of two images a row. A null image, or one that can't be read,
+    is an error in a sentence."""
+    kind = pairs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, a, b in zip(batch["id_"], batch["a_"], batch["b_"]):
+                try:
+                    if a is None or b is None:
+                        raise ValueError("an image is missing")
+                    d = difference(bytes(a), bytes(b), threshold)
+                    rows.append((key, d["changed"], d["ssim"], [dict(zip(("left", "top", "right", "bottom", "pixels"), r)) for r in d["regions"]], None))
+                except (ValueError, zlib.error, struct.error, IndexError) as x:
+                    rows.append((key, None, None, None, str(x) or "the image is damaged"))
+            yield pd.DataFrame(rows, columns=["id_", "changed", "ssim", "regions", "error"], dtype=object)
+
+    some = pairs.select(keyed(id_col), F.col(before_col).alias("a_"), F.col(after_col).alias("b_"))
+    box = "array<struct<left: bigint, top: bigint, right: bigint, bottom: bigint, pixels: bigint>>"
+    return restored(some.mapInPandas(run, f"id_ string, changed double, ssim double, regions {box}, error string"), id_col, kind)
+
+
+def size_of(data: bytes) -> tuple[str, int, int] | None:
+    """(format, width, height) from an image's first bytes: PNG, GIF, JPEG and portable maps; None for others."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return "png", *struct.unpack(">II", data[16:24])
+    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
+        return "gif", *struct.unpack("<HH", data[6:10])
+    if data[:2] in (b"P5", b"P6") and len(parts := data[:64].split(maxsplit=3)) > 3 and parts[1].isdigit() and parts[2].isdigit():
+        return "pnm", int(parts[1]), int(parts[2])
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 <= len(data) and data[at] == 0xFF:
+            mark = data[at + 1]
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
+                return "jpeg", w, h
+            at += 2 if mark == 0xFF or 0xD0 <= mark <= 0xD8 else 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    return None
+
+
+def geometry(images: DataFrame, id_col: str, bytes_col: str, within: int | None = None) -> DataFrame:
+    """(id, format, width, height, fit_width, fit_height): of every image that isn't null, nulls where no size is told;
+    fit: its size when neither side may exceed ``within``, sides kept in proportion and at least 1."""
+    kind = images.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(key, *(size_of(bytes(data)) or (None, None, None))) for key, data in zip(b["id_"], b["data_"])]
+            yield pd.DataFrame(rows, columns=["id_", "format", "width", "height"], dtype=object)
+
+    some = images.where(F.col(bytes_col).isNotNull()).select(keyed(id_col), F.col(bytes_col).alias("data_"))
+    out = restored(some.mapInPandas(run, "id_ string, format string, width bigint, height bigint"), id_col, kind)
+    scale = F.least(F.lit(1.0), F.lit(within) / F.greatest("width", "height", F.lit(1))) if within else F.lit(1.0)
+    fit = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(1), F.round(F.col(c) * scale))).cast("long")
+    return out.select("*", fit("width").alias("fit_width"), fit("height").alias("fit_height"))
 
 
 def palette(pixels: np.ndarray, colours: int) -> list[tuple[tuple[int, int, int], int]]:

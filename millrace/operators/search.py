@@ -115,20 +115,37 @@ def restrict(hits: DataFrame, query: str) -> DataFrame:
     return hits
 
 
+#: What queries of a kind say; the words of ``CODE_WITH_TOOLS`` count beside one of ``TOOLS`` only, which also
+#: counts by itself.
+CODE = ("error", "exception", "traceback", "compile", "undefined", "null pointer", "segmentation fault", "syntax", "debug", "stack trace", "typeerror", "segfault", "stackoverflow")
+CODE_WITH_TOOLS = ("how to", "install", "fix", "setup", "set up", "library", "function", "api", "crate", "package", "regex")
+TOOLS = frozenset(
+    (
+        "npm cargo pip github docker kubernetes rust python javascript typescript golang c++ java ruby php swift kotlin linux git sql regex sdk cli json "
+        "yaml api code script function library crate package compiler kernel async node react vue django flask postgres mysql redis nginx bash shell "
+        "terminal vec"
+    ).split()
+)
+PAPER = ("paper", "arxiv", "doi", "journal", "citation", "preprint", "ablation")
+NEWS = ("news", "breaking", "latest", "announced", "dies", "election", "war", "stock")
+ENTITY = ("what is", "who is", "who was", "define", "meaning of")
+
+
 def intent(query: str) -> str:
-    """code, paper, news, entity or web, from the words of a query."""
+    """code, news, paper, entity or web: the kind that most words and phrases of a query speak for, of equal ones the
+    first. A query of up to three words that says nothing, two of them in capitals, names something."""
     import re
 
-    words = set(re.findall(r"[\w.+#]+", query.lower()))
-    if words & {"error", "exception", "function", "api", "library", "compile", "code", "syntax", "npm", "pip", "cargo"} or "()" in query or "::" in query:
-        return "code"
-    if words & {"paper", "arxiv", "doi", "study", "journal", "citation"}:
-        return "paper"
-    if words & {"news", "today", "latest", "breaking", "yesterday"}:
-        return "news"
-    if re.match(r"(?i)(who|what) (is|was|are) ", query) or (query.istitle() and len(words) <= 4):
-        return "entity"
-    return "web"
+    words = re.findall(r"(?:[^\W_]|\+)+", query.lower())
+    said = f" {' '.join(words)} "
+    count = lambda phrases: sum(f" {p} " in said for p in phrases)
+    tools = not TOOLS.isdisjoint(words)
+    votes = {"code": count(CODE) + (count(CODE_WITH_TOOLS) + 1 if tools else 0), "news": count(NEWS), "paper": count(PAPER), "entity": count(ENTITY)}
+    best = max(votes, key=votes.get)
+    if votes[best]:
+        return best
+    plain = query.split()
+    return "entity" if len(plain) <= 3 and sum(w[0].isupper() for w in plain) >= 2 else "web"
 
 
 def weak(results: DataFrame, query: str, by: tuple[str, ...] = (), total: DataFrame | None = None) -> DataFrame:

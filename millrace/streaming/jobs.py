@@ -30,20 +30,31 @@ def answer(spark: SparkSession, job: dict) -> tuple[list, list, list]:
         return [(run, None, str(x).split("\n")[0])], [], []
 
 
-def handler(folder: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: answers the jobs of a batch one after the other and writes the records of all of them, a batch
-    done again in the same place. A run is answered once."""
+#: Records of answers that are held before they are written.
+HELD = 20_000
+
+
+def handler(folder: str, held: int = HELD) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: answers the jobs of a batch one after the other and writes their records, some ``held`` at a
+    time, a batch done again in the same place. A run is answered once."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        results, rows, tables, seen = [], [], [], set()
-        for job in batch.toLocalIterator():
-            if job.run_id in seen:
-                continue
-            seen.add(job.run_id)
-            a, b, c = answer(spark, job.asDict())
-            results, rows, tables = results + a, rows + b, tables + c
-        for name, data, schema in (("results", results, RESULT), ("rows", rows, ROW), ("tables", tables, TABLE)):
-            spark.createDataFrame(data, schema).write.mode("overwrite").parquet(os.path.join(folder, name, f"batch={batch_id}"))
+        kept: dict[str, list] = {"results": [], "rows": [], "tables": []}
+        schemas, part = {"results": RESULT, "rows": ROW, "tables": TABLE}, 0
+
+        def write(mode: str) -> None:
+            for name, data in kept.items():
+                spark.createDataFrame(data, schemas[name]).write.mode(mode).parquet(os.path.join(folder, name, f"batch={batch_id}"))
+                data.clear()
+
+        for job in batch.dropDuplicates(["run_id"]).orderBy("run_id").toLocalIterator():
+            for name, data in zip(kept, answer(spark, job.asDict())):
+                kept[name] += data
+            if sum(map(len, kept.values())) >= held:
+                write("append" if part else "overwrite")
+                part += 1
+        if not part or any(kept.values()):
+            write("append" if part else "overwrite")
 
     return handle

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from millrace.operators import finish as N
+from millrace.operators import search
 
 
 def factors(spark, rows, make):
@@ -27,6 +28,11 @@ def test_authority(spark):
     assert factors(spark, days, auth("qqq", "news", today="2025-03-10")) == [1.5, 1.3, 1.15, 1, 0.85, 1, 1, 1.5]
 
 
+def test_intent():
+    said = {"how to fix a leaking kitchen faucet": "web", "how to fix a rust crate": "code", "Ada Lovelace": "entity", "who is ada": "entity", "c++ vector": "code", "latest news": "news", "an arxiv paper on errors": "paper", "software wallpaper": "web", "": "web", "stack trace of x": "code"}
+    assert {q: search.intent(q) for q in said} == said
+
+
 def test_search_and_crawl(spark):
     engines = spark.createDataFrame([("a", "a", False), ("b", "b", False)], "engine string, family string, vertical boolean")
     hits = [("ledger", e, r, f"https://h{r}.example/{r}", f"ledger number {r}", "", None) for e in "ab" for r in range(10)] + [("none here", "a", 0, "https://q.example", "words", "", None)]

@@ -66,3 +66,30 @@ def test_jobs(spark, tmp_path):
     assert set(results) == {"r1", "r2", "r3"} and results["r3"].error and '"next": "dt1.' in results["r1"].result
     assert [(r.run_id, r["values"]) for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect()] == [("r1", "[1]")]
     assert [r.name for r in spark.read.parquet(str(tmp_path / "out" / "tables")).collect()] == ["s"]
+
+
+def test_images_in_windows_and_regions(spark):
+    import struct
+
+    import numpy as np
+
+    from millrace.operators import images
+
+    pnm = lambda a: b"P5 %d %d 255\n" % (a.shape[1], a.shape[0]) + a.astype(np.uint8).tobytes()
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 200, (100, 120))
+    b = a.copy()
+    b[3:7, 5:9] += 50
+    b[60:64, 80:110] += 50
+    df = spark.createDataFrame([(1, pnm(a), pnm(b)), (2, pnm(a), pnm(a)), (3, pnm(a), None), (4, b"xx", pnm(a)), (5, pnm(a), pnm(a[:50]))], "i int, x binary, y binary")
+    got = {r.i: r for r in images.differences(df, "i", "x", "y").collect()}
+    assert [(r.left, r.top, r.right, r.bottom, r.pixels) for r in got[1].regions] == [(80, 60, 110, 64, 120), (5, 3, 9, 7, 16)]
+    assert abs(got[1].changed - 136 / 12_000) < 1e-12 and 0.8 < got[1].ssim < 0.999 and got[2].ssim > 1 - 1e-9 and got[2].regions == []
+    assert got[3].error == "an image is missing" and got[4].error and "size" in got[5].error and len(got) == 5
+    x, y = a[20:28, 20:28].astype(float), b[20:28, 20:28] * 0.5
+    c = ((x - x.mean()) * (y - y.mean())).mean()
+    want = (2 * x.mean() * y.mean() + 6.5025) * (2 * c + 58.5225) / ((x.mean() ** 2 + y.mean() ** 2 + 6.5025) * (x.var() + y.var() + 58.5225))
+    assert abs(images.similarity(x, y) - want) < 1e-9
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 30, 400) + b"\x03"
+    sizes = spark.createDataFrame([(1, pnm(a)), (2, b"GIF89a" + struct.pack("<HH", 7, 9)), (3, jpeg), (4, b"\xff\xd8\xff"), (5, b""), (6, None)], "i int, x binary")
+    assert [tuple(r) for r in images.geometry(sizes, "i", "x", 100).orderBy("i").collect()] == [(1, "pnm", 120, 100, 100, 83), (2, "gif", 7, 9, 7, 9), (3, "jpeg", 400, 30, 100, 8), (4, None, None, None, None, None), (5, None, None, None, None, None)]
