@@ -28,8 +28,8 @@ from millrace.engine.session import Scratch
 CHUNK = 8_192
 #: Context on either side, more than any word that counts is long.
 CONTEXT = 1_024
-#: Partials merged at once; three levels reach beyond the longest text a column can hold.
-FAN, LEVELS = 256, 3
+#: Partials merged at once; two levels reach beyond the longest text a column can hold.
+FAN, LEVELS = 1_024, 2
 
 #: A word is common when at least this share of a language's documents has it, and at least so many of them.
 COMMON_SHARE, LEAST_DOCUMENTS = 0.2, 5
