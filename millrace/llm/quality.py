@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -37,6 +37,8 @@ COMMON_SHARE, LEAST_DOCUMENTS = 0.2, 5
 USUAL_SHARE, SEVERAL = 1 / 2000, 3
 
 _WORD = re.compile(r"[^\W_]+")
+#: The same in lower-cased ASCII text.
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
 _MARKED = re.compile(r"\s*(?:[-*+•–]\s+(?:\[[ xX]?\]\s+)?|\(?\d{1,4}[.)]\s+|\(?[a-z][.)]\s+)\S")
 _NAMED = re.compile(r"[\w][\w .\-/]{0,48}\s*[:=]\s*\S.{0,90}$|[\w][\w .\-/]{0,48}:$")
 _PATH = re.compile(r"[\w.\-]+(?:[/\\][\w.\- ]+)+$")
@@ -102,7 +104,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str | None = None) ->
         for b in batches:
             for g, t in zip(b["group_"], b["text_"]):
                 c = held.setdefault(g, Counter())
-                c.update(set(_WORD.findall(t.lower())))
+                c.update(set((_PLAIN_WORD if t.isascii() else _WORD).findall(t.lower())))
                 # The empty word counts the documents.
                 c[""] += 1
             if sum(map(len, held.values())) > 300_000:
@@ -128,12 +130,33 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str | None = None) ->
     return Words((w for w in common if not w.isdigit()), (p for p, n in zip(counted["pair_"].to_pylist(), counted["n_"].to_pylist()) if n >= total * USUAL_SHARE))
 
 
-def line_features(line: str, lo: int, hi: int, recent: deque, know: Words) -> dict:
+class Recent:
+    """Where each word was last, in words from the beginning."""
+
+    def __init__(self) -> None:
+        self.at, self.last = 0, {}
+
+    def add(self, words: list[str]) -> int:
+        """How many of the next words are among the ``WINDOW`` before them."""
+        at, last, again = self.at, self.last, 0
+        for w in words:
+            at += 1
+            if last.get(w, -WINDOW) + WINDOW >= at:
+                again += 1
+            last[w] = at
+        self.at = at
+        return again
+
+
+def line_features(line: str, lo: int, hi: int, recent: Recent, know: Words) -> dict:
     """Features of ``line[lo:hi]``, the rest of the line being context. What spans an edge counts where it begins."""
     whole = lo == 0 and hi == len(line)
     own = line if whole else line[lo:hi]
     f = dict.fromkeys(_ADDED, 0)
-    if whole:
+    if whole and own.isascii():
+        words = _PLAIN_WORD.findall(own.lower())
+        letters = sum(map(len, words))
+    elif whole:
         words = _WORD.findall(own)
         letters = sum(map(len, words))
     else:
@@ -143,15 +166,9 @@ def line_features(line: str, lo: int, hi: int, recent: deque, know: Words) -> di
     f["word_chars"] = f["alnum"] = letters
     f["space"] = own.count(" ") + own.count("\t") + own.count("\r") + own.count("\xa0")
     f["symbols"] = len(own) - letters - f["space"]
-    lows = [w.lower() for w in words]
+    lows = words if whole and own.isascii() else [w.lower() for w in words]
     f["common"] = sum(map(know.common.__contains__, lows))
-    if lows:
-        if len(lows) > len(set(lows)) or any(w in recent for w in lows):
-            for w in lows:
-                f["again"] += w in recent
-                recent.append(w)
-        else:
-            recent.extend(lows[-WINDOW:])
+    f["again"] = recent.add(lows)
     if not whole or f["common"] * 10 <= len(words):
         for w in words:
             p, q = know.fair(w)
@@ -236,9 +253,9 @@ def partial(piece: str, lo: int, hi: int, know: Words) -> dict:
     """Counts of ``piece[lo:hi]``; what lies outside is context. head and tail are the lines cut by its ends, the same
     one where no line ends within."""
     sums = dict.fromkeys(SUMS, 0)
-    recent: deque = deque(maxlen=WINDOW)
+    recent = Recent()
     if lo:
-        recent.extend(m.group().lower() for m in _WORD.finditer(piece[: lo + CONTEXT]) if m.start() < lo)
+        recent.add([m.group().lower() for m in _WORD.finditer(piece[: lo + CONTEXT]) if m.start() < lo])
     at, head, tail = lo, None, None
     while True:
         stop = piece.find("\n", at, hi)
