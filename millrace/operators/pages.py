@@ -21,6 +21,9 @@ JUNK = {"script", "style", "noscript", "template", "svg", "nav", "footer", "asid
 _BLOCKS = {"p", "div", "section", "article", "main", "td", "th", "figcaption", "dd", "dt", "body"}
 BLOCK = "pos bigint, kind string, level int, text string, path string"
 FEED_ITEMS = 60
+_SECTION = re.compile(r"(?i)<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])")
+#: Numbers of so many digits that Python refuses to read them.
+_LONG_NUMBER = re.compile(r"&#([0-9]{1000,})")
 
 
 class _Blocks(HTMLParser):
@@ -90,12 +93,18 @@ class _Blocks(HTMLParser):
         if not self.skip:
             self.held.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        # The library raises on a section of no known name; in a page it is a comment up to the next ">".
+        if _SECTION.match(self.rawdata, i):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i)
+
 
 def blocks_of(html: str) -> list[tuple[int, str, int | None, str, str]]:
     """(pos, kind, level, text, path) of a page's headings, paragraphs, list items, rows, code, quotes and media; path is the
     headings above. A text repeated right after itself is one block."""
     p = _Blocks()
-    p.feed(html)
+    p.feed(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0") or "0")[:8], html))
     p.close()
     p.flush()
     out, heads = [], []

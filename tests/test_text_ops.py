@@ -75,6 +75,17 @@ def test_blocks_links_feeds(spark):
     assert pages.feed_items("<rss><channel><item><title>t</title><link>u</link><pubDate>d</pubDate></item></channel></rss>") == [("t", "u", "d")]
 
 
+def test_blocks_of_markup_that_no_section_is_named_in(spark):
+    odd = ["a <![]+4> b", "a <![x y> b", "a <![ifx[> b", "a <!x> b"]
+    assert [[t for *_, t, _ in pages.blocks_of(h)] for h in odd] == [["a b"]] * 4
+    # Without an end it is text; sections of known names, and numbers of any length, are read as before.
+    texts = lambda h: [t for *_, t, _ in pages.blocks_of(h)]
+    assert texts("a <![+4 b") == ["a <![+4 b"] and texts("a <![CDATA[ x > y ]]> b") == ["a b"] and texts("<![if !IE]> c <![endif]>") == ["c"]
+    assert texts("x&#" + "9" * 5_000 + ";y&#" + "0" * 5_000 + "65;") == ["x\ufffdyA"]
+    df = spark.createDataFrame(list(enumerate([*odd, None, "<p>c"])), "id int, html string")
+    assert sorted((r.id, r.text) for r in pages.blocks(df, "id", "html").collect()) == [(0, "a b"), (1, "a b"), (2, "a b"), (3, "a b"), (5, "c")]
+
+
 def test_crawl(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), ("d", "a")], "from_key string, to_key string")
     got = {r.key: r.depth for r in pages.crawl(spark.createDataFrame([("a",)], "key string"), edges, 2).collect()}
